@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import byte_bpe, exact_dedup, packing, quality_rules, secret_scans, simhash, token_files
+from lamina.llm import byte_bpe, exact_dedup, importance, license_scans, packing, quality_rules, repeats, secret_scans, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,9 @@ def queries() -> dict[str, Query]:
         "op5_secret_scans": secret_scans.op5_secret_scans,
         "op6_token_files": token_files.op6_token_files,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_importance_resampling": importance.op8_importance_resampling,
+        "op9_repeated_passages": repeats.op9_repeated_passages,
+        "op10_license_scans": license_scans.op10_license_scans,
     }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
-    """Long texts must not meet in one Arrow batch: bound it by rows and, where Spark can, by bytes."""
+    """Long texts must not meet in one Arrow batch: bound it by rows and bytes. Python workers started from now on
+    also find this package where the driver has it, if that place exists for them."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
