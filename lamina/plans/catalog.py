@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamina.plans import baseline_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [baseline_queries]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.oracle_sql().items()}
