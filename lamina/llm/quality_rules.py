@@ -49,7 +49,8 @@ FEATURES = {
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    """Number of characters of a class; dropping the long runs of all others is cheaper than looking at each."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
 
 
 def _shifted(values: Column, by: int) -> Column:
@@ -94,27 +95,30 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = docs.withColumns(
         {
             "__words": F.filter(F.split(text, WORD_GAP), lambda w: w != ""),
-            "__lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
+            "__lines": F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))),
         }
     )
     step = step.withColumns({"__hashes": F.transform("__words", lambda w: F.xxhash64(w))})
-    pairs = _paired(_paired(_paired(F.col("__hashes"), 1), 2), 4)
-    step = step.withColumn("__windows", pairs)
+    # Windows of 2, 4 and 8 words, a projection each: every level refers to the one below several times, and one
+    # expression would compute it as often.
+    step = step.withColumn("__two", _paired(F.col("__hashes"), 1))
+    step = step.withColumn("__four", _paired(F.col("__two"), 2))
+    step = step.withColumn("__windows", _paired(F.col("__four"), 4))
     has_repeat = F.size(F.array_distinct("__windows")) < F.size("__windows")
     return step.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
+            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "n_symbols": _count_of(text, SYMBOLS),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.when(has_repeat, _covered(F.col("__windows"))).otherwise(F.lit(0)).cast("long"),
-            "n_marks": _count_of(text, "!?;:=_{}[]\\/~^"),
+            "n_marks": _count_of(text, r"!?;:=_{}\[\]\\/~^"),
             "n_lines": F.size("__lines").cast("long"),
             "n_distinct_words": F.size(F.array_distinct("__hashes")).cast("long"),
-            "n_upper": F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long"),
-            "n_digits": _count_of(text, "0123456789"),
+            "n_upper": _count_of(text, r"\p{Lu}"),
+            "n_digits": _count_of(text, "0-9"),
         }
-    ).drop("__words", "__lines", "__hashes", "__windows")
+    ).drop("__words", "__lines", "__hashes", "__two", "__four", "__windows")
 
 
 def base_failed() -> Column:
@@ -262,32 +266,40 @@ def fit(rows: DataFrame, bad_col: str = "bad", id_col: str = "doc_id", max_rows:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = FIT_ROWS) -> DataFrame:
-    """Measured documents with a label: `bad` is 1 for low quality. Labels are cut to `max_rows` first, by a
-    hash of the identifier, so the join below brings no more documents than that."""
-    wanted = (
-        labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(id_col)
-        .agg((F.min("quality") < 1).cast("int").alias("bad"))
-        .orderBy(F.xxhash64(F.lit("fit"), F.col(id_col)))
-        .limit(max_rows)
-    )
-    wanted = written(wanted, "labels")
-    some = docs.select(id_col, "text").join(F.broadcast(wanted), id_col)
-    return with_features(measure(some)).where(~base_failed())
+def bad_labels(labels: DataFrame, id_col: str = "doc_id", max_rows: int = FIT_ROWS) -> DataFrame:
+    """`id_col, bad` of at most `max_rows` labelled documents, chosen by a hash of the identifier; `bad` is 1 for low
+    quality. The bound makes the table fit for a broadcast."""
+    judged = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.min("quality") < 1).cast("int").alias("bad"))
+    return written(judged.orderBy(F.xxhash64(F.lit("fit"), F.col(id_col))).limit(max_rows), "labels")
+
+
+def measured(docs: DataFrame, name: str = "measured") -> DataFrame:
+    """Identifier and statistics of `docs` (doc_id, text), written before any filter, which Spark would otherwise
+    push below the statistics and compute them twice."""
+    return written(with_features(measure(docs)).drop("text"), name)
 
 
 def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """`docs` with statistics, `base_failed`, `rule` (0: none) and `kept`."""
-    out = with_features(measure(docs)).withColumns({"base_failed": base_failed(), "rule": rules.rule_number()})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    """`docs` with statistics, `base_failed`, `rule` (0: none) and `kept`. `kept` counts as not deterministic, so
+    that a filter on it stays above the statistics instead of computing them a second time."""
+    return decided(with_features(measure(docs)), rules)
+
+
+def decided(statistics: DataFrame, rules: DecisionList) -> DataFrame:
+    out = statistics.withColumns({"base_failed": base_failed(), "rule": rules.rule_number()})
+    here = F.monotonically_increasing_id() >= 0
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0) & here)
 
 
 def learned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DecisionList:
-    return fit(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """A decision list from the labelled ones of `docs`, which are the only ones that are measured for it."""
+    bad = bad_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    some = measured(docs.select("doc_id", "text").join(F.broadcast(bad), "doc_id"), "labelled")
+    return fit(some.where(~base_failed()))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    rules = learned(spark, docs, sf_dir)
-    return judged(docs, rules).select("doc_id", *STATISTICS, "base_failed", "kept", "rule")
+    statistics = measured(documents(spark, sf_dir).select("doc_id", "text"))
+    bad = bad_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rules = fit(statistics.join(F.broadcast(bad), "doc_id").where(~base_failed()))
+    return decided(statistics, rules).select("doc_id", *STATISTICS, "base_failed", "kept", "rule")
