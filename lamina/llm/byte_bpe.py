@@ -74,7 +74,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            ids = [own.encode(t.as_py()) for t in batch.column(1)]
+            ids = own.encoder.encode_many(batch.column(1))
             out = {"id": batch.column(0), "ids": pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))}
             if offsets:
                 both = [own.offsets(t.as_py() or "", i) if len(i) else (i, i) for t, i in zip(batch.column(1), ids, strict=True)]
@@ -108,8 +108,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         decimal = [str(n) for n in range(len(own.token_bytes))]
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
-            for t in batch.column(1):
-                ids = own.encode(t.as_py())
+            for ids in own.encoder.encode_many(batch.column(1)):
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())

@@ -15,14 +15,18 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct chunks that one worker remembers; the memo starts afresh beyond it.
-MEMO_CHUNKS = 400_000
+#: Distinct chunks that one worker remembers; beyond it those seen in one text only are forgotten.
+MEMO_CHUNKS = 1_000_000
 #: Chunks that are split here; the rest is left to the library, whose Unicode tables may be newer than ours.
 _PLAIN = re.compile("[\x00-\u024f]*")
+#: Between parts that are mapped together; no plain chunk has it.
+_BETWEEN = "\uffff"
 _TWO_BLANKS = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -60,6 +64,7 @@ class ChunkEncoder:
             pattern, self.lower = _steps(json.load(file))
         self.pattern = regex.compile(pattern)
         self.table = dict(enumerate(byte_characters()))
+        self.between = _BETWEEN.encode().decode("latin-1").translate(self.table)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
@@ -71,20 +76,47 @@ class ChunkEncoder:
         self._at: dict[str, int] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
         self._end = np.zeros(1 << 14, np.int64)  # chunk i has ids [end[i - 1], end[i])
+        self._texts = np.zeros(1 << 14, np.int32)  # texts, or pieces of texts, that had chunk i
         self._used = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        lists = [self._fresh(" " + c) for c in chunks]
-        n, m = len(self._at), sum(map(len, lists))
+    def _forget(self) -> None:
+        """Keeps the chunks seen in two texts or more, unless they are too many themselves."""
+        keys, seen = list(self._at), self._texts[: len(self._at)] > 1
+        if seen.sum() > self.memo_chunks // 2:
+            return self._reset()
+        kept = np.flatnonzero(seen)
+        start = np.where(kept > 0, self._end[kept - 1], 0)
+        ids, counts = self._gather(start, self._end[kept] - start), self._end[kept] - start
+        self._reset()
+        self._append([keys[i] for i in kept], ids, counts)
+
+    def _append(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = len(self._at), len(ids)
         while n + len(chunks) > len(self._end):
             self._end = np.concatenate([self._end, np.zeros_like(self._end)])
+            self._texts = np.concatenate([self._texts, np.zeros_like(self._texts)])
         while self._used + m > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        self._ids[self._used : self._used + m] = list(chain.from_iterable(lists))
-        self._end[n : n + len(chunks)] = self._used + np.cumsum([len(x) for x in lists])
+        self._ids[self._used : self._used + m] = ids
+        self._end[n : n + len(chunks)] = self._used + np.cumsum(counts)
         self._used += m
-        for i, c in enumerate(chunks):
-            self._at[c] = n + i
+        self._at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+
+    def _learn(self, chunks: list[str]) -> None:
+        whole = " " + " ".join(chunks)
+        if not _PLAIN.fullmatch(whole):
+            lists = [self._fresh(" " + c) for c in chunks]
+            self._append(chunks, np.array(list(chain.from_iterable(lists)), np.uint32), np.array([len(x) for x in lists], np.int64))
+            return
+        split, merge = self.pattern.findall, self.merge
+        parts = [split(" " + c.lower()) for c in chunks] if self.lower else [split(" " + c) for c in chunks]
+        flat = list(chain.from_iterable(parts))
+        mapped = _BETWEEN.join(flat).encode().decode("latin-1").translate(self.table).split(self.between) if flat else []
+        lists = [[t.id for t in merge(p)] for p in mapped]
+        sizes = np.zeros(len(lists) + 1, np.int64)
+        np.cumsum([len(x) for x in lists], out=sizes[1:])
+        ends = sizes[np.cumsum([len(p) for p in parts])]
+        self._append(chunks, np.array(list(chain.from_iterable(lists)), np.uint32), np.diff(ends, prepend=0))
 
     def _fresh(self, chunk: str) -> list[int]:
         if not _PLAIN.fullmatch(chunk):
@@ -104,24 +136,56 @@ class ChunkEncoder:
             return first
         return np.concatenate([first, self._expand(parts, 1)])
 
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a batch. Arrow splits the texts and numbers their distinct chunks, so that the
+        memo is asked once a chunk and batch."""
+        plain = [k for k, t in enumerate(texts) if t.is_valid and not _TWO_BLANKS.search(t.as_py())]
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        for k in set(range(len(texts))).difference(plain):
+            out[k] = self.encode(texts[k].as_py())
+        if not plain:
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(plain)).cast(pa.string()), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        index = self._numbers(coded.dictionary.to_pylist())[codes]
+        start = np.where(index > 0, self._end[index - 1], 0)
+        n = self._end[index] - start
+        n[offsets[:-1]] = 0  # first chunks have no blank before them, so they are not those of the memo
+        ids = self._gather(start, n)
+        place = np.concatenate([[0], np.cumsum(n)])
+        for k, a, b, first in zip(plain, place[offsets[:-1]].tolist(), place[offsets[1:]].tolist(), lists.values.take(pa.array(offsets[:-1])).to_pylist(), strict=True):
+            out[k] = np.concatenate([np.array(self._fresh(first), np.uint32), ids[a:b]])
+        return out
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Places of distinct chunks in the memo, learned where needed."""
+        if len(self._at) + len(chunks) > self.memo_chunks:
+            self._forget()
+        index = np.fromiter(map(self._at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            index[new] = np.arange(len(self._at), len(self._at) + len(new))
+            self._learn([chunks[i] for i in new.tolist()])
+        self._texts[index] += 1
+        return index
+
+    def _gather(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The ids of ranges of the memo, one after the other."""
+        before = np.cumsum(n) - n
+        return self._ids[np.repeat(start - before, n) + np.arange(int(n.sum()))]
+
     def _expand(self, parts: list[str], begin: int) -> np.ndarray:
         # Long texts go through the memo in pieces, so that one text can't outgrow it.
         out = []
         for lo in range(begin, len(parts), 50_000):
             piece = parts[lo : lo + 50_000]
-            new = list(set(piece).difference(self._at))
-            if len(self._at) + len(new) > self.memo_chunks:
-                self._reset()
-                new = list(set(piece))
-            if new:
-                self._learn(new)
-            index = np.fromiter(map(self._at.__getitem__, piece), np.int64, len(piece))
-            end = self._end[index]
+            distinct = list(dict.fromkeys(piece))
+            place = dict(zip(distinct, self._numbers(distinct).tolist(), strict=True))
+            index = np.fromiter(map(place.__getitem__, piece), np.int64, len(piece))
             start = np.where(index > 0, self._end[index - 1], 0)
-            n = end - start
-            total = int(n.sum())
-            place = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            out.append(self._ids[place])
+            out.append(self._gather(start, self._end[index] - start))
         return out[0] if len(out) == 1 else np.concatenate(out)
 
 

@@ -54,8 +54,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int
         own, end = encoder(path), np.array([separator], np.uint32)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([own.encode(text.as_py()), end]).astype("<u4")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_many(batch.column(1)), strict=True):
+                ids = np.concatenate([ids, end]).astype("<u4")
                 rows += [(doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(cut(len(ids), capacity))]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -161,8 +161,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col:
         own, writer, number = encoder(path), Writer(bits), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                writer.add(key.as_py(), np.concatenate([own.encode(text.as_py()), end]))
+            for key, ids in zip(batch.column(0).to_pylist(), own.encode_many(batch.column(1)), strict=True):
+                writer.add(key, np.concatenate([ids, end]))
         if not writer.ends:
             return
         store, root = _filesystem(folder)
