@@ -37,8 +37,8 @@ from lamina.llm.rolling import Ranges, mix
 WIDTH = 200
 GRAM = 24
 #: Bytes of a symbol of the index; WIDTH is a multiple of it.
-SYMBOL = 40
-BLOCK_BYTES = 1 << 20
+SYMBOL = 50
+BLOCK_BYTES = 1 << 17
 GROUP_STRINGS = 2000
 #: Windows whose minimizers are computed at once, and stretches that are added up at once.
 CHUNK = 1 << 17
@@ -57,9 +57,9 @@ def _slide(values: np.ndarray, width: int, best: np.ufunc, pad: int) -> np.ndarr
     return best(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def stretches(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, width: int = WIDTH, ask_twice: bool = False) -> tuple[np.ndarray, ...]:
     """Of one text: start, number of windows, minimizer, content hash of each stretch, and whether its minimizer
-    may occur in it twice (only then can one stretch hold equal windows)."""
+    may occur in it twice (only then can one stretch hold equal windows; false unless asked for)."""
     parts = []
     for at in range(0, len(data) - width + 1, CHUNK):
         piece = data[at : at + CHUNK + width - 1]
@@ -76,16 +76,20 @@ def stretches(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
             left = count[own] - turn * reach
             start, count = start[own] + turn * reach, np.minimum(left, reach)
         end = start + count + width - 1
+        key = least[start]
+        content = mix(ranges.hash(start, end) + count.astype(np.uint64))
+        if not ask_twice:
+            parts.append((start + at, count, key, content, np.zeros(len(start), bool)))
+            continue
         # A range is a minimizer if it equals the largest minimum of the windows around it.
         around = _slide(np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)]), reach, np.maximum, 0)
         sites = np.flatnonzero(around == grams)
         low, high = np.searchsorted(sites, start), np.searchsorted(sites, end - GRAM, "right")
-        key = least[start]
         seen = np.zeros(len(start), np.int64)
         for step in range(min(8, int((high - low).max(initial=0)))):
             inside = low + step < high
             seen[inside] += grams[sites[low[inside] + step]] == key[inside]
-        parts.append((start + at, count, key, mix(ranges.hash(start, end) + count.astype(np.uint64)), (seen > 1) | (high - low > 8)))
+        parts.append((start + at, count, key, content, (seen > 1) | (high - low > 8)))
     if not parts:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
@@ -165,7 +169,7 @@ def _counted(docs: DataFrame) -> DataFrame:
         rows, held = [], 0
         for batch in batches:
             for text, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                _, count, key, content, twice = stretches(np.frombuffer(_raw(text), np.uint8))
+                _, count, key, content, twice = stretches(np.frombuffer(_raw(text), np.uint8), ask_twice=True)
                 if len(key):
                     rows.append((key, content, count, twice, np.full(len(key), h, np.int64)))
                     held += len(key)
