@@ -1,11 +1,22 @@
-"""Cutting lineage through the shared folder."""
+"""Cutting lineage through the shared folder, and the search path of Python workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def with_workers(spark: SparkSession) -> SparkSession:
+    """Python workers started from now on find this package where the driver has it, if that place exists for them."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return spark
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
