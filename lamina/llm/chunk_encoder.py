@@ -28,6 +28,8 @@ _PLAIN = re.compile("[\x00-\u024f]*")
 #: Between parts that are mapped together; no plain chunk has it.
 _BETWEEN = "\uffff"
 _TWO_BLANKS = re.compile(r"\s ")
+#: The same for Arrow, whose \s is ASCII alone: all characters that Python's \s has.
+_TWO_BLANKS_RE2 = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _CUT = re.compile(r"(?<=\S) ")
 
 
@@ -139,13 +141,14 @@ class ChunkEncoder:
     def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a batch. Arrow splits the texts and numbers their distinct chunks, so that the
         memo is asked once a chunk and batch."""
-        plain = [k for k, t in enumerate(texts) if t.is_valid and not _TWO_BLANKS.search(t.as_py())]
+        texts = texts.cast(pa.string())
+        plain = np.flatnonzero(~pc.fill_null(pc.match_substring_regex(texts, _TWO_BLANKS_RE2), True).to_numpy(zero_copy_only=False)).tolist()
         out = [np.zeros(0, np.uint32)] * len(texts)
         for k in set(range(len(texts))).difference(plain):
             out[k] = self.encode(texts[k].as_py())
         if not plain:
             return out
-        lists = pc.split_pattern(texts.take(pa.array(plain)).cast(pa.string()), " ")
+        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
         codes = coded.indices.to_numpy()

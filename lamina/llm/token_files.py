@@ -45,14 +45,22 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: Widths at which NumPy's own integers have the same layout, without taking bits apart.
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    return ids.astype(_WHOLE[bits]).tobytes() if bits in _WHOLE else pack_bits(ids, bits)
+
+
+def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     spread = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
     return np.packbits(spread.ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
-    if bits == 16:  # the same layout, without taking bits apart
-        return np.frombuffer(data, "<u2", count).astype(np.uint32)
+    if bits in _WHOLE:
+        return np.frombuffer(data, _WHOLE[bits], count).astype(np.uint32)
     spread = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: count * bits].reshape(count, bits)
     whole = np.zeros((count, 32), np.uint8)
     whole[:, :bits] = spread

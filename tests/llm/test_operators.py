@@ -275,6 +275,7 @@ def test_token_file_round_trip(bits):
     reader = token_files.Reader(io.BytesIO(data))
     assert [(d, ids.tolist()) for d, _, ids in reader.documents(batch_ids=70)] == [(d, i.tolist()) for d, i in docs]
     flat = np.concatenate([i for _, i in docs])
+    assert token_files.pack(flat, bits) == token_files.pack_bits(flat, bits)
     for a, b in ((0, 0), (0, 333), (63, 65), (100, 101), (332, 333)):
         assert reader.ids(a, b).tolist() == flat[a:b].tolist()
     assert reader.document(5).tolist() == docs[5][1].tolist()
