@@ -57,7 +57,7 @@ def nested_loio(facts: DataFrame, delta: float = 0.0, temperature: float = 2.0,
     that are all fitted without it.
 
     Leaving out a sample of another batch leaves the statistics alone, so those folds share one feature table and
-    leave-one-out medians. Leaving out a baseline sample gives one of few (median, scale) pairs an indicator; as
+    leave-one-out medians; samples that lack an indicator don't enter its centroids. Leaving out a baseline sample gives one of few (median, scale) pairs an indicator; as
     features are linear in the values, batch medians of values carry over to medians of features."""
     clean = facts.withColumn("value", finite(F.col("value")))
     others = clean.where(F.col("batch") != batch)
@@ -65,15 +65,17 @@ def nested_loio(facts: DataFrame, delta: float = 0.0, temperature: float = 2.0,
     folds = loo_stats(clean, batch).select("sample_id", "batch", "kpi", "value", "med", "scale")
     folds = folds.unionByName(others.join(F.broadcast(base), "kpi").select("sample_id", "batch", "kpi", "value", "med", "scale"))
     # medians of raw values by batch, the own one without the sample
-    whole = clean.groupBy("batch", "kpi").agg(median(F.col("value")).alias("m"))
-    table = whole.groupBy("kpi").agg(F.collect_list(F.struct(F.col("batch").alias("candidate"), "m")).alias("table"))
+    whole = clean.groupBy("batch", "kpi").agg(median(F.col("value")).alias("m"), F.count("value").alias("n"))
+    table = whole.groupBy("kpi").agg(F.collect_list(F.struct(F.col("batch").alias("candidate"), "m", "n")).alias("table"))
     own = A.loo_median(clean, ["batch", "kpi"], "value", "own", "sample_id").select("sample_id", "kpi", "own")
     both = folds.join(own, ["sample_id", "kpi"]).join(F.broadcast(table), "kpi")
 
     def feature(value: Column) -> Column:
         return F.coalesce((value - F.col("med")) / F.col("scale") * weight(F.col("kpi")), F.lit(0.0))
 
-    refitted = F.transform("table", lambda t: F.struct(t["candidate"].alias("candidate"), feature(F.when(t["candidate"] == F.col("batch"), F.col("own")).otherwise(t["m"])).alias("c")))
+    # a batch without any other sample is no candidate
+    left = F.filter("table", lambda t: (t["candidate"] != F.col("batch")) | (t["n"] > 1))
+    refitted = F.transform(left, lambda t: F.struct(t["candidate"].alias("candidate"), feature(F.when(t["candidate"] == F.col("batch"), F.col("own")).otherwise(t["m"])).alias("c")))
     spread = both.select("sample_id", "batch", "kpi", feature(F.col("value")).alias("x"), refitted.alias("table")).withColumn("centre", A._middle(F.col("table")["c"]))
     wide = spread.select("sample_id", "batch", "x", "centre", F.explode("table").alias("t"))
     off = F.col("x") - A._shrink(F.col("t.c"), F.col("centre"), F.lit(float(delta)))

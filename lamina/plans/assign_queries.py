@@ -119,7 +119,7 @@ ls AS (SELECT out_id, kpi, any_value(c.med) AS med, greatest(1.4826::DOUBLE * me
        FROM facts JOIN lc c USING (kpi) WHERE sample_id <> out_id AND batch = 3 GROUP BY out_id, kpi),
 lb AS (SELECT out_id, batch, kpi, median(value) AS mid FROM ids JOIN facts ON sample_id <> out_id AND batch <> 3 GROUP BY ALL),
 st AS (SELECT e.batch, e.kpi, any_value(effect) AS effect,
-              avg((sign((mid - med) / scale) = sign(effect) AND abs((mid - med) / scale) > 1)::INT) AS stability
+              count(*) FILTER (sign((mid - med) / scale) = sign(effect) AND abs((mid - med) / scale) > 1) / (SELECT count(*) FROM ids)::DOUBLE AS stability
        FROM eff e JOIN lb ON lb.batch = e.batch AND lb.kpi = e.kpi JOIN ls ON ls.out_id = lb.out_id AND ls.kpi = e.kpi GROUP BY e.batch, e.kpi)"""
 )
 _WEIGHT = "CASE WHEN kpi IN ('qty_mean', 'price_mean', 'unit_price_mean') THEN 1.0 WHEN kpi = 'open_frac' THEN 0.4 ELSE 0.7 END::DOUBLE"

@@ -10,8 +10,8 @@ from lamina.operators import baseline as B
 from lamina.operators import facts as X
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 8) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
 
 def robust_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def quadrat_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vertical_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.band_slope(pixels(spark, sf_dir)), "slope", "intercept")
+    return rounded(G.band_slope(pixels(spark, sf_dir)), "slope", "intercept", digits=10)
 
 
 def block_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "vertical_slope": _PIXELS
         + """, h AS (SELECT max(r) + 1 AS h FROM px),
 b AS (SELECT k, avg(p::INT) AS f FROM px, h, (SELECT unnest(range(5)) AS k) WHERE r >= k * h // 5 AND r < (k + 1) * h // 5 GROUP BY k)
-SELECT round(regr_slope(f, k::DOUBLE), 8) AS slope, round(regr_intercept(f, k::DOUBLE), 8) AS intercept FROM b""",
+SELECT round(regr_slope(f, k::DOUBLE), 10) AS slope, round(regr_intercept(f, k::DOUBLE), 10) AS intercept FROM b""",
         "block_majority": _PIXELS + " SELECT r // 4 AS br, c // 4 AS bc, (CASE WHEN 2 * sum(p::INT) > count(*) THEN 1 WHEN 2 * sum(p::INT) = count(*) THEN 3 ELSE 0 END)::BIGINT AS label FROM px GROUP BY ALL",
         "euler": _PIXELS
         + """, o AS (SELECT r, c FROM px WHERE p)

@@ -69,7 +69,7 @@ def simulation_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simulation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.summary(X.facts(spark, sf_dir), ["batch"]), "median", "p10", "p90")
+    return rounded(T.summary(X.facts(spark, sf_dir), ["batch"]), "median", "p10", "p90", digits=6)
 
 
 def queries() -> dict:
@@ -91,5 +91,5 @@ SELECT sample_id, round(CASE WHEN d > 0 THEN 70e-6::DOUBLE ** 2 / (1.77e-10::DOU
        round(eps, 8) AS porosity,
        round((1 - eps) * (o * 2.33::DOUBLE * 1700 + greatest(1 - o - 0.08::DOUBLE, 0) * 2.26::DOUBLE * 360), 8) AS energy,
        round(CASE WHEN d > 0 THEN d0 / d END, 8) AS plating FROM e""",
-        "simulation_summary": FACTS + " SELECT batch, kpi, count(value) AS n, round(median(value), 8) AS median, round(quantile_cont(value, 0.1), 8) AS p10, round(quantile_cont(value, 0.9), 8) AS p90 FROM facts GROUP BY batch, kpi",
+        "simulation_summary": FACTS + " SELECT batch, kpi, count(value) AS n, round(median(value), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90 FROM facts GROUP BY batch, kpi",
     }

@@ -137,7 +137,7 @@ FROM s a JOIN s b USING (kpi) WHERE a.batch < b.batch""",
 w AS (SELECT sample_id, batch, max(value) FILTER (kpi = 'qty_mean') AS x, max(value) FILTER (kpi = 'price_mean') AS y FROM facts GROUP BY ALL),
 r AS (SELECT batch, rank() OVER (PARTITION BY batch ORDER BY x) + (count(*) OVER (PARTITION BY batch, x) - 1) / 2.0::DOUBLE AS rx,
              rank() OVER (PARTITION BY batch ORDER BY y) + (count(*) OVER (PARTITION BY batch, y) - 1) / 2.0::DOUBLE AS ry FROM w)
-SELECT batch, count(*) AS n, round(corr(rx, ry), 8) AS rho FROM r GROUP BY batch""",
+SELECT batch, count(*) AS n, round(CASE WHEN isfinite(corr(rx, ry)) THEN corr(rx, ry) END, 8) AS rho FROM r GROUP BY batch""",
         "kruskal_h": FACTS + ", few AS (SELECT * FROM facts WHERE batch IN (1, 2, 3))," + _kruskal("few"),
         "confound_separation": FACTS
         + """,
