@@ -56,7 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
+def small_arrow_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
     """Long texts must not meet in one Arrow batch: bound it by rows and bytes. Python workers started from now on
     also find this package where the driver has it, if that place exists for them."""
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
