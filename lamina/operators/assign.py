@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.ranks import count_beside
 from lamina.functions.robust import loo_median, median
 from lamina.operators.baseline import loo_stats
 from lamina.operators.facts import BASELINE, weight
@@ -18,6 +19,8 @@ SHRINKAGES = [0.0, 0.25, 0.5, 1.0]
 TEMPERATURES = [0.5, 1.0, 2.0, 4.0, 8.0]
 LEAST_P = 1e-3
 TIE = 1e-12
+#: Chances that agree to so many digits are equal: sums of squares depend on the order of their terms.
+P_DIGITS = 9
 CONFIDENT_P, CONFIDENT_STABILITY, MODERATE_P = 0.75, 0.8, 0.5
 NOVEL_N, NOVEL_QUANTILE, NOVEL_FACTOR = 40, 0.975, 1.25
 SIGNATURE_EFFECT, SIGNATURE_STABILITY, SIGNATURE_Z = 1.5, 0.8, 1.0
@@ -61,8 +64,8 @@ def softmax(measured: DataFrame, temperature: Column, keys: list[str]) -> DataFr
 
 
 def best(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The candidate with the largest p of each key; the smaller candidate wins a tie."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("p"), "candidate")
+    """The candidate with the largest p of each key; the smaller candidate wins a tie, up to rounding."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("p", P_DIGITS)), "candidate")
     return rows.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
@@ -85,7 +88,7 @@ def tuning(rows: DataFrame, deltas: list[float] = SHRINKAGES, temperatures: list
     keys = ["sample_id", "batch", "delta", "temperature"]
     chances = softmax(measured, F.col("temperature"), keys)
     true = F.max(F.when(F.col("candidate") == F.col("batch"), F.col("p")))
-    top = F.max(F.struct(F.col("p"), (-F.col("candidate")).alias("c")))
+    top = F.max(F.struct(F.round("p", P_DIGITS).alias("p"), (-F.col("candidate")).alias("c")))
     each = chances.groupBy(*keys).agg(F.coalesce(true, F.lit(0.0)).alias("p_true"), top.alias("top"))
     loss = -F.log(F.greatest(F.col("p_true"), F.lit(LEAST_P)))
     return each.groupBy("delta", "temperature").agg(F.avg(loss).alias("nll"), F.avg((-F.col("top.c") == F.col("batch")).cast("double")).alias("accuracy"))
@@ -107,13 +110,11 @@ def within_distances(rows: DataFrame, delta: float) -> DataFrame:
 
 def novelty(nearest: DataFrame, within: DataFrame) -> DataFrame:
     """`sample_id, dmin, id_score, novel` of samples `sample_id, dmin`: where the distance lies among the labelled
-    samples' own distances. One sort of both sides gives the counts."""
+    samples' own distances."""
     limits = within.agg(F.count("d").alias("n"), F.max("d").alias("most"), F.percentile("d", F.lit(NOVEL_QUANTILE)).alias("high"))
-    both = nearest.select("sample_id", F.col("dmin").alias("d"), F.lit(0).alias("ref")).unionByName(within.select("sample_id", "d", F.lit(1).alias("ref")))
-    below = F.sum("ref").over(Window.orderBy("d").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = both.withColumn("n_below", below).where("ref = 0").crossJoin(F.broadcast(limits))  # one row
+    counted = count_beside(nearest.select("sample_id", F.col("dmin").alias("d")), within, "d", above=False).crossJoin(F.broadcast(limits))  # one row
     novel = F.when(F.col("n") == 0, False).when(F.col("n") >= NOVEL_N, F.col("d") > F.col("high")).otherwise(F.col("d") > NOVEL_FACTOR * F.col("most"))
-    return counted.select("sample_id", F.col("d").alias("dmin"), F.when(F.col("n") > 0, 1 - F.col("n_below") / (F.col("n") + 1)).alias("id_score"), novel.alias("novel"))
+    return counted.select("sample_id", F.col("d").alias("dmin"), F.when(F.col("n") > 0, 1 - F.col("n_beside") / (F.col("n") + 1)).alias("id_score"), novel.alias("novel"))
 
 
 def confidence(p: Column, stability: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.functions.ranks import count_beside
 from lamina.functions.robust import MAD_FACTOR, finite, loo_median, robust_stats, scale_of
 from lamina.operators.facts import BASELINE, abs_floor
 
@@ -98,9 +99,6 @@ def loo_scores(facts: DataFrame, batch: int = BASELINE) -> DataFrame:
 
 def conformal(scores: DataFrame, reference: DataFrame) -> DataFrame:
     """`sample_id, batch, score, p_rank, p_floor`: share of reference scores, itself included, that are at least
-    as large. Ranks come from one sort of both sides together."""
-    both = scores.select("sample_id", "batch", "score", F.lit(0).alias("ref")).unionByName(reference.select("sample_id", F.lit(None).cast("long").alias("batch"), "score", F.lit(1).alias("ref")))
-    above = Window.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = both.where("score IS NOT NULL").withColumns({"n_above": F.sum("ref").over(above), "n_ref": F.sum("ref").over(Window.partitionBy())})
-    own = counted.where("ref = 0")
-    return own.select("sample_id", "batch", "score", ((1 + F.col("n_above")) / (F.col("n_ref") + 1)).alias("p_rank"), (1 / (F.col("n_ref") + 1)).alias("p_floor"))
+    as large."""
+    own = count_beside(scores.select("sample_id", "batch", "score"), reference, "score", above=True)
+    return own.select("sample_id", "batch", "score", ((1 + F.col("n_beside")) / (F.col("n_reference") + 1)).alias("p_rank"), (1 / (F.col("n_reference") + 1)).alias("p_floor"))

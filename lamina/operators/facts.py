@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.tables import stored
+
 STRIPS = 5
 BASELINE = 3
 
@@ -87,10 +89,11 @@ def strip_facts(spark: SparkSession, sf_dir: str, indicators: list[Indicator] =
 
 def facts(spark: SparkSession, sf_dir: str, indicators: list[Indicator] = INDICATORS) -> DataFrame:
     """`sample_id, batch, kpi, value, se`: the mean over all line items, and the standard error that the spread
-    of the strips implies (null with fewer than two strips)."""
+    of the strips implies (null with fewer than two strips). Facts are few and used several times over, so they are
+    stored: whatever follows, line items are read once."""
     sums = strip_sums(spark, sf_dir, indicators)
     keys = ["sample_id", "batch"]
     means = {i.name: F.sum(i.name) / F.sum("n") for i in indicators}
     errors = {i.name: F.when(F.count(F.lit(1)) >= 2, F.stddev_samp(F.col(i.name) / F.col("n")) / F.sqrt(F.count(F.lit(1)))) for i in indicators}
     wide = sums.groupBy(*keys).agg(*[F.struct(means[i.name].alias("value"), errors[i.name].alias("se")).alias(i.name) for i in indicators])
-    return _long(wide, keys, indicators).select(*keys, "kpi", F.col("value.value").alias("value"), F.col("value.se").alias("se"))
+    return stored(_long(wide, keys, indicators).select(*keys, "kpi", F.col("value.value").alias("value"), F.col("value.se").alias("se")), "facts")

@@ -97,7 +97,7 @@ def confusion(chances: DataFrame) -> DataFrame:
 def likelihood(chances: DataFrame) -> DataFrame:
     """`n, nll, brier, accuracy, majority`: quality of the chances, beside the share of the largest batch."""
     hit = (F.col("candidate") == F.col("batch")).cast("double")
-    top = F.max(F.struct(F.col("p"), (-F.col("candidate")).alias("c")))
+    top = F.max(F.struct(F.round("p", A.P_DIGITS).alias("p"), (-F.col("candidate")).alias("c")))
     each = chances.groupBy("sample_id", "batch").agg(F.sum(F.col("p") * hit).alias("pt"), F.sum((F.col("p") - hit) ** 2).alias("b"), top.alias("top"))
     size = F.max(F.col("size"))
     sized = each.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("batch")))

@@ -126,7 +126,7 @@ _WEIGHT = "CASE WHEN kpi IN ('qty_mean', 'price_mean', 'unit_price_mean') THEN 1
 
 
 def oracle_sql() -> dict[str, str]:
-    best = "row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, candidate)"
+    best = "row_number() OVER (PARTITION BY sample_id ORDER BY round(p, 9) DESC, candidate)"
     return {
         "shrunken_centroids": _CENTRES + " SELECT batch, kpi, round(c, 8) AS c FROM centres",
         "softmax_assign": _CENTRES + f" SELECT sample_id, batch, candidate AS assigned, round(d, 8) AS d, round(p, 8) AS p FROM (SELECT *, {best} AS r FROM soft) WHERE r = 1",
@@ -134,7 +134,7 @@ def oracle_sql() -> dict[str, str]:
         + """,
 soft AS (SELECT *, exp(-d * d / (2 * t)) / sum(exp(-d * d / (2 * t))) OVER (PARTITION BY sample_id, delta, t) AS p
          FROM dist, (SELECT unnest([0.5, 1, 2, 4, 8]::DOUBLE[]) AS t)),
-each AS (SELECT sample_id, batch, delta, t, coalesce(max(p) FILTER (candidate = batch), 0) AS pt, (list(candidate ORDER BY p DESC, candidate))[1] AS top FROM soft GROUP BY ALL)
+each AS (SELECT sample_id, batch, delta, t, coalesce(max(p) FILTER (candidate = batch), 0) AS pt, (list(candidate ORDER BY round(p, 9) DESC, candidate))[1] AS top FROM soft GROUP BY ALL)
 SELECT round(delta, 8) AS delta, round(t, 8) AS temperature, round(avg(-ln(greatest(pt, 0.001::DOUBLE))), 8) AS nll, round(avg((top = batch)::INT), 8) AS accuracy FROM each GROUP BY delta, t""",
         "within_distance": _refit(f"[{DELTA}]") + " SELECT sample_id, batch, round(d, 8) AS d FROM dist WHERE candidate = batch",
         "novelty": _refit(f"[{DELTA}]").replace("dist AS", "ref AS")
@@ -165,7 +165,7 @@ sx AS (SELECT sample_id, strip, kpi, (v - med) / scale * {_WEIGHT} AS s FROM sl
 sv AS (SELECT sample_id, strip, kpi, x + s - avg(s) OVER (PARTITION BY sample_id, kpi) AS x FROM sx JOIN feat USING (sample_id, kpi)),
 wd AS (SELECT sample_id, candidate, sum((x - c) ** 2) AS e FROM feat JOIN raw USING (kpi) GROUP BY ALL),
 wp AS (SELECT *, exp(-e / 4) / sum(exp(-e / 4)) OVER (PARTITION BY sample_id) AS p FROM wd),
-top AS (SELECT sample_id, candidate AS assigned, p AS p_top FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, candidate) AS r FROM wp) WHERE r = 1),
+top AS (SELECT sample_id, candidate AS assigned, p AS p_top FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(p, 9) DESC, candidate) AS r FROM wp) WHERE r = 1),
 sd AS (SELECT sample_id, strip, candidate, sum((x - c) ** 2) AS e FROM sv JOIN raw USING (kpi) GROUP BY ALL),
 sc AS (SELECT sample_id, strip, candidate FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, strip ORDER BY e, candidate) AS r FROM sd) WHERE r = 1),
 sh AS (SELECT sample_id, assigned, p_top, avg((candidate = assigned)::INT) AS a FROM sc JOIN top USING (sample_id) GROUP BY ALL)

@@ -78,7 +78,7 @@ def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chances = V.nested_loio(X.facts(spark, sf_dir)).select("sample_id", F.col("candidate").cast("string").alias("c"), "p")
-    top = F.max(F.struct(F.col("p"), (-F.col("c").cast("long")).alias("c")))
+    top = F.max(F.struct(F.round("p", 9).alias("p"), (-F.col("c").cast("long")).alias("c")))
     predicted = chances.groupBy("sample_id").agg(top.alias("top"), F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("chances"))
     predictions = predicted.select("sample_id", (-F.col("top.c")).cast("string").alias("assigned"), (F.col("top.p") < 0.25).alias("novel"), "chances")
     truth = X.samples(spark, sf_dir).select("sample_id", F.when(F.col("batch") == 4, "none").otherwise(F.col("batch").cast("string")).alias("truth"))
@@ -112,7 +112,7 @@ d AS (SELECT f.sample_id, f.batch, x.batch AS candidate, sqrt(sum(((f.value - me
       FROM facts f JOIN (SELECT out_id, kpi AS k2, med, scale FROM s) q ON q.out_id = f.sample_id AND q.k2 = f.kpi
            JOIN (SELECT out_id, kpi AS k3, batch, m FROM x) x ON x.out_id = f.sample_id AND x.k3 = f.kpi GROUP BY ALL),
 soft AS (SELECT *, exp(-d * d / 4) / sum(exp(-d * d / 4)) OVER (PARTITION BY sample_id) AS p FROM d),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p DESC, candidate) AS r FROM soft) WHERE r = 1)"""
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(p, 9) DESC, candidate) AS r FROM soft) WHERE r = 1)"""
     )
 
 
