@@ -6,6 +6,7 @@ keep each task's share bounded:
 1. Each window of WIDTH bytes has a minimizer, the smallest hash of its GRAM-byte ranges. Equal windows have equal
    minimizers, so a run of windows with one minimizer (a stretch) can share windows only with stretches of the same
    minimizer. Tasks add up equal stretches before the shuffle; stretches whose minimizer occurs once are dropped.
+   Stretches of very frequent minimizers are dealt to tasks by their content too, so no task gets all of them.
 2. A minimizer whose stretches are all equal needs no index: its windows repeat if the stretch does.
 3. For the others one text of each distinct stretch goes into a collection index. Its columns are SYMBOL bytes
    wide; round by round one symbol of every string, from the right, is inserted, and the Burrows-Wheeler transform
@@ -43,7 +44,9 @@ GROUP_STRINGS = 2000
 #: Windows whose minimizers are computed at once, and stretches that are added up at once.
 CHUNK = 1 << 17
 COMBINE = 1 << 17
-_REACH = WIDTH - GRAM + 1  # ranges of a window
+#: Documents that decide which minimizers are dealt by stretch, and the occurrences there that make one frequent.
+SEEN_DOCS = 20_000
+FREQUENT = 200
 
 
 def _slide(values: np.ndarray, width: int, best: np.ufunc, pad: int) -> np.ndarray:
@@ -182,6 +185,15 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("raw", "h").mapInArrow(run, "k long, c long, n int, seen long, h long, twice boolean")
 
 
+def _frequent(docs: DataFrame) -> DataFrame:
+    """`k, hot`: minimizers that occur FREQUENT times or more in about SEEN_DOCS documents. This only decides how rows
+    are dealt to tasks, never what is found. The keys number those documents' stretches / FREQUENT at most, however
+    large the input is."""
+    share = min(1.0, SEEN_DOCS / max(docs.count(), 1))
+    some = _counted(docs.sample(False, share, 1))
+    return written(some.groupBy("k").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT).select("k", F.lit(True).alias("hot")), "frequent")
+
+
 def _sites(docs: DataFrame) -> DataFrame:
     """`k, c, start, key, h`: all stretches of all rows."""
 
@@ -294,10 +306,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), id_key(id_col).alias("key"), raw.alias("raw")).withColumn("h", F.xxhash64("key", "raw"))
     group = Window.partitionBy("k")
+    hot = _frequent(rows)
+    counted = _counted(rows).join(F.broadcast(hot), "k", "left")
+    sums = [F.first("n").alias("n"), F.sum("seen").alias("seen"), F.min("h").alias("h"), F.max("twice").alias("twice")]
     # One exchange by minimizer serves the sums over stretches and those over groups.
-    each = _counted(rows).repartition("k").groupBy("k", "c").agg(F.first("n").alias("n"), F.sum("seen").alias("seen"), F.min("h").alias("h"), F.max("twice").alias("twice"))
-    known = each.withColumns({"total": F.sum("seen").over(group), "kinds": F.count(F.lit(1)).over(group), "any_twice": F.max("twice").over(group)})
-    known = written(known.where("total > 1 OR any_twice").drop("total", "twice"), "stretches")
+    cold = counted.where("hot IS NULL").repartition("k").groupBy("k", "c").agg(*sums)
+    cold = cold.withColumns({"total": F.sum("seen").over(group), "kinds": F.count(F.lit(1)).over(group), "any_twice": F.max("twice").over(group)})
+    # Frequent minimizers are dealt by stretch as well; their groups' sums are a row each.
+    warm = written(counted.where("hot").groupBy("k", "c").agg(*sums), "frequent-stretches")
+    totals = warm.groupBy("k").agg(F.sum("seen").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any_twice"))
+    both = cold.unionByName(warm.join(F.broadcast(totals), "k").select(cold.columns))
+    known = written(both.where("total > 1 OR any_twice").drop("total", "twice"), "stretches")
     plain = known.where("kinds = 1 AND NOT any_twice").select("k", "c", "n", F.lit(None).cast("binary").alias("mask"))
     mixed = known.where("kinds > 1 OR any_twice")
     texts = written(_texts(rows, mixed), "stretch-texts").join(mixed.select("k", "c", "seen", "kinds"), ["k", "c"])

@@ -353,8 +353,9 @@ def test_repeated_passages(spark, texts, monkeypatch):
     mixed = [words(rng, rng.randrange(1, 40), 5000) + " " + rng.choice(shared)[rng.randrange(60) :] + " " + words(rng, 9, 5000) for _ in range(60)]
     cases = texts + mixed + ["ab" * 400, "abc" * 90 + "x", "x" * 199, "y" * 200, "z" * 201, words(rng, 50) * 3]
     docs = table(spark, cases, [None, *range(1, len(cases))])
-    for limit in (repeats.GROUP_STRINGS, 1):
+    for limit, frequent in ((repeats.GROUP_STRINGS, repeats.FREQUENT), (1, 2), (repeats.GROUP_STRINGS, 1)):
         monkeypatch.setattr(repeats, "GROUP_STRINGS", limit)
+        monkeypatch.setattr(repeats, "FREQUENT", frequent)
         got = {r["id"]: r for r in repeats.remove(docs).collect()}
         for i, (raw, gone) in enumerate(brute_repeats(cases)):
             r = got[i or None]
