@@ -6,7 +6,7 @@ columns of `documents`; the last returns the pieces with their place in a sequen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import exact_dedup, packing, quality_rules, secret_scans, simhash
@@ -14,14 +14,15 @@ from lamina.llm.chunk_encoder import tokenizer_path
 from lamina.llm.common import text_of, written
 
 
-def _same_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that columns which an operator adds can't replace columns of the input."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list let pass."""
     rules = quality_rules.learned(spark, docs, sf_dir)
-    return _same_columns(quality_rules.judged(docs, rules).where("kept"), docs)
+    return quality_rules.judged(_carried(docs), rules).where("kept").select("__row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +38,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; the number of characters follows the text."""
     text = text_of("text")
-    clean = secret_scans.scan(docs).withColumn("__clean", secret_scans.redacted(text, F.col("all_spans")))
+    clean = secret_scans.scan(_carried(docs)).withColumn("__clean", secret_scans.redacted(text, F.col("all_spans")))
     changed = F.size("all_spans") > 0
-    out = clean.withColumns(
-        {
-            "text": F.when(changed, F.col("__clean")).otherwise(F.col("text")),
-            "n_chars": F.when(changed, F.length("__clean").cast("long")).otherwise(F.col("n_chars")),
-        }
-    )
-    return _same_columns(out, docs)
+    new = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
+
+    def column(name: str) -> Column:
+        old = F.col("__row").getField(name)
+        return (F.when(changed, new[name]).otherwise(old) if name in new else old).alias(name)
+
+    return clean.select(*[column(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,20 @@ from tests.oracle import SF
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stages_carry_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(7) for c in ("kept", "n_words", "base_spans", "digest", "rule", "fp", "all_spans")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert out.where("kept = 7 AND n_words = 7 AND base_spans = 7 AND digest = 7 AND rule = 7 AND fp = 7").count() == out.count() > 0
+
+
+def test_stages_on_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
