@@ -302,21 +302,20 @@ def _covered(size: int, marks: list[dict]) -> np.ndarray:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, raw, marks` of every row: its bytes and its stretches with repeated windows."""
-    small_arrow_batches(docs.sparkSession)
+    small_arrow_batches(docs.sparkSession, 256, "4m")
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), id_key(id_col).alias("key"), raw.alias("raw")).withColumn("h", F.xxhash64("key", "raw"))
-    group = Window.partitionBy("k")
-    hot = _frequent(rows)
-    counted = _counted(rows).join(F.broadcast(hot), "k", "left")
-    sums = [F.first("n").alias("n"), F.sum("seen").alias("seen"), F.min("h").alias("h"), F.max("twice").alias("twice")]
-    # One exchange by minimizer serves the sums over stretches and those over groups.
-    cold = counted.where("hot IS NULL").repartition("k").groupBy("k", "c").agg(*sums)
-    cold = cold.withColumns({"total": F.sum("seen").over(group), "kinds": F.count(F.lit(1)).over(group), "any_twice": F.max("twice").over(group)})
-    # Frequent minimizers are dealt by stretch as well; their groups' sums are a row each.
-    warm = written(counted.where("hot").groupBy("k", "c").agg(*sums), "frequent-stretches")
-    totals = warm.groupBy("k").agg(F.sum("seen").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any_twice"))
-    both = cold.unionByName(warm.join(F.broadcast(totals), "k").select(cold.columns))
-    known = written(both.where("total > 1 OR any_twice").drop("total", "twice"), "stretches")
+    # One exchange serves the sums over stretches and those over groups: by minimizer, and for frequent ones by
+    # content as well, so that a group's stretches are dealt to all tasks.
+    dealt = _counted(rows).join(F.broadcast(_frequent(rows)), "k", "left").withColumn("deal", F.when(F.col("hot"), F.col("c")).otherwise(F.lit(0)))
+    each = dealt.repartition("k", "deal").groupBy("k", "deal", "c").agg(F.first("n").alias("n"), F.sum("seen").alias("seen"), F.min("h").alias("h"), F.max("twice").alias("twice"), F.first("hot").alias("hot"))
+    group = Window.partitionBy("k", "deal")
+    each = each.withColumns({"total": F.sum("seen").over(group), "kinds": F.count(F.lit(1)).over(group), "any_twice": F.max("twice").over(group)})
+    each = written(each.where("hot OR total > 1 OR any_twice"), "stretches")
+    # The sums of frequent groups, a row each.
+    whole = each.where("hot").groupBy("k").agg(F.sum("seen").alias("t"), F.count(F.lit(1)).alias("m"), F.max("twice").alias("a"))
+    known = each.join(F.broadcast(whole), "k", "left").select("k", "c", "n", "seen", "h", F.coalesce("t", "total").alias("total"), F.coalesce("m", "kinds").alias("kinds"), F.coalesce("a", "any_twice").alias("any_twice"))
+    known = known.where("total > 1 OR any_twice")
     plain = known.where("kinds = 1 AND NOT any_twice").select("k", "c", "n", F.lit(None).cast("binary").alias("mask"))
     mixed = known.where("kinds > 1 OR any_twice")
     texts = written(_texts(rows, mixed), "stretch-texts").join(mixed.select("k", "c", "seen", "kinds"), ["k", "c"])
