@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.tables import stored
+
 RANGES = 64
 
 
@@ -14,7 +16,7 @@ def count_beside(rows: DataFrame, reference: DataFrame, value: str, above: bool)
 
     Cut points from the reference deal both sides into ranges; a range is counted by itself, and the totals of the
     ranges beyond it, one row each, are added."""
-    clean = reference.where(F.col(value).isNotNull()).select(F.col(value).alias("__v"))
+    clean = stored(reference.where(F.col(value).isNotNull()).select(F.col(value).alias("__v")), "reference")
     cuts = sorted(set(clean.approxQuantile("__v", [i / RANGES for i in range(1, RANGES)], 0.005)))
     place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("__v"))) if cuts else F.lit(0)
     both = rows.where(F.col(value).isNotNull()).withColumns({"__v": F.col(value), "__ref": F.lit(0)})

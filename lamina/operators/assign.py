@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.ranks import count_beside
 from lamina.functions.robust import loo_median, median
+from lamina.functions.tables import stored
 from lamina.operators.baseline import loo_stats
 from lamina.operators.facts import BASELINE, weight
 
@@ -111,6 +112,7 @@ def within_distances(rows: DataFrame, delta: float) -> DataFrame:
 def novelty(nearest: DataFrame, within: DataFrame) -> DataFrame:
     """`sample_id, dmin, id_score, novel` of samples `sample_id, dmin`: where the distance lies among the labelled
     samples' own distances."""
+    within = stored(within.select("d"), "within")
     limits = within.agg(F.count("d").alias("n"), F.max("d").alias("most"), F.percentile("d", F.lit(NOVEL_QUANTILE)).alias("high"))
     counted = count_beside(nearest.select("sample_id", F.col("dmin").alias("d")), within, "d", above=False).crossJoin(F.broadcast(limits))  # one row
     novel = F.when(F.col("n") == 0, False).when(F.col("n") >= NOVEL_N, F.col("d") > F.col("high")).otherwise(F.col("d") > NOVEL_FACTOR * F.col("most"))
