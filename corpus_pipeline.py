@@ -51,7 +51,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences."""
-    return packing.pack(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json")))
+    # Executors have run the other stages before, so the encoder's memo is kept small.
+    return packing.pack(packing.pieces(docs, tokenizer_path("byte_bpe_50k.json"), memo_chunks=300_000))
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("secret scans", secrets), ("best-fit packing", pack)]

@@ -193,9 +193,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file; workers are reused, and so is its memo."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, memo_chunks)
 
 
 def tokenizer_path(name: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.chunk_encoder import encoder, tokenizer_path
+from lamina.llm.chunk_encoder import MEMO_CHUNKS, encoder, tokenizer_path
 from lamina.llm.common import documents, small_arrow_batches, written
 
 CAPACITY = 2048
@@ -46,12 +46,12 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, length, capacity))]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text", memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
     """Every document's pieces, with the separator at its end; ids themselves stay in the worker."""
     small_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(path), np.array([separator], np.uint32)
+        own, end = encoder(path, memo_chunks), np.array([separator], np.uint32)
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_many(batch.column(1)), strict=True):
