@@ -9,6 +9,13 @@ equi-join on cells finds all pairs at one step or none (a step down is the partn
 verified by the exact number of differing bits inside the join. Cells hold distinct fingerprints only, so copies
 never meet; frequent cells are split by adaptive execution.
 
+`keep_one` can also link by similarity, as the pipeline's stage does: all pairs of texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more. A radius in bits can't give these, as such pairs differ in up to
+a dozen bits and more. In any fixed order of shingles two sets that are so alike share one of their first
+n - ceil(0.8 n) + 1, so an equi-join on these prefixes loses no pair. The order puts shingles that a sample of texts
+shares last; it decides how many candidates there are and nothing else. Parities of the sets rule out most candidates, the
+whole sets decide on the others.
+
 Components come from min-label propagation with pointer jumping over distinct linked fingerprints; every round is
 written to the shared folder.
 
@@ -19,7 +26,7 @@ they alone make it up; an empty table gives an empty result; other columns are c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,15 @@ SEGMENT_BITS = 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Similarity of whole texts: words of a shingle, and the least Jaccard similarity as a fraction.
+SIMILAR_WORDS = 5
+SIMILAR = (4, 5)
+#: Texts that are looked at to see which shingles are common, and the most of these that are put last.
+ORDER_DOCS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.05, 200_000
+#: Least length of a sketch; texts of more shingles have as many bits as shingles at least, a power of two.
+SKETCH_BITS = 1024
+#: Places of a table, by hash, of the texts whose whole sets are needed: it spares the shuffle of most others.
+NEEDED_MARKS = 1 << 22
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -68,6 +84,173 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_key(id_col).alias("row_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row_key long, fp long")
 
 
+def shingle_set(text: str | None, words: int = SIMILAR_WORDS, wanted: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+    """A 64-bit hash of the text's words, and the sorted distinct 64-bit hashes of the shingles of the whole text; none
+    of a text that `wanted` has no mark for."""
+    from xxhash import xxh64_intdigest
+
+    parts = (text or "").encode().translate(_LOWER).split()
+    joined = b" ".join(parts)
+    doc = int.from_bytes(xxh64_intdigest(joined, SEED).to_bytes(8, "little"), "little", signed=True)
+    if wanted is not None and not wanted[doc % len(wanted)]:
+        return doc, np.empty(0, np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    k = min(words, len(parts))
+    begins, ends = (starts[: len(parts) - k + 1].tolist(), (starts + sizes)[k - 1 :].tolist()) if k else ([], [])
+    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends, strict=True)), np.uint64, len(begins))
+    return doc, np.unique(hashes)
+
+
+def _texts(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    small_arrow_batches(docs.sparkSession)
+    key = id_key(id_col) if id_col else F.lit(LOWEST_ID)
+    return docs.select(key.alias("row_key"), F.col(text_col).cast("string").alias("text"))
+
+
+def _common(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Shingles that several texts of a sample share, the rarest first."""
+    share = min(1.0, max(ORDER_SHARE, ORDER_DOCS / max(1, docs.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_pydict({"token": shingle_set(text.as_py())[1].view(np.int64)})
+
+    seen = _texts(docs.sample(share, SEED), None, text_col).mapInArrow(run, "token long").groupBy("token").count().where("count > 1")
+    found = seen.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).collect()
+    return np.array([r["token"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _prefix(common: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The first shingles of a sorted set in the order that puts common ones last."""
+    rank = np.argsort(common)
+    ordered = common[rank]
+    up, down = SIMILAR
+
+    def chosen(shingles: np.ndarray) -> np.ndarray:
+        size = len(shingles) - (up * len(shingles) + down - 1) // down + 1 if len(shingles) else 0
+        at = np.searchsorted(ordered, shingles)
+        at[at == len(ordered)] = 0
+        late = ordered[at] == shingles if len(ordered) else np.zeros(len(shingles), bool)
+        rare = shingles[~late][:size]
+        return rare if len(rare) == size else np.concatenate([rare, common[np.sort(rank[at[late]])][: size - len(rare)]])
+
+    return chosen
+
+
+def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """`row_key, fp` of every row, and of its text the hash `doc`, the number `n` of five-word shingles, the parities
+    `sketch` of their hashes by their last bits, and the `prefix` of eight bytes a hash."""
+    chosen = _prefix(_common(docs, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"fp": [], "doc": [], "n": [], "sketch": [], "prefix": []}
+            for text in batch.column(1):
+                doc, shingles = shingle_set(text.as_py())
+                bits = max(SKETCH_BITS, 1 << len(shingles).bit_length())
+                odd = np.bincount((shingles % bits).astype(np.int64), minlength=bits) & 1
+                row = (fingerprint(text.as_py(), words), doc, len(shingles), np.packbits(odd.astype(bool)).tobytes(), chosen(shingles).tobytes())
+                for values, value in zip(out.values(), row, strict=True):
+                    values.append(value)
+            yield pa.RecordBatch.from_pydict({"row_key": batch.column(0), **out}, schema)
+
+    kinds = {"row_key": pa.int64(), "fp": pa.int64(), "doc": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "prefix": pa.binary()}
+    schema = pa.schema(list(kinds.items()))
+    return _texts(docs, id_col, text_col).mapInArrow(run, "row_key long, fp long, doc long, n long, sketch binary, prefix binary")
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """`token, doc, n` of every shingle of the prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            counts = [len(x) for x in tokens]
+            doc, n = (np.repeat(batch.column(k).to_numpy(), counts) for k in (0, 1))
+            yield pa.RecordBatch.from_pydict({"token": np.concatenate([*tokens, np.empty(0, np.int64)]), "doc": doc, "n": n})
+
+    return rows.select("doc", "n", "prefix").mapInArrow(run, "token long, doc long, n long")
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Parities that differ; the longer sketch is folded to the length of the other."""
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, size // 8), axis=0) for v in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _promising(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`doc_a, doc_b, a, b` of the pairs whose sketches allow similarity: texts that are so alike have at most
+    (down - up) / (down + up) of the sum of their shingles on one side only, and each changes one parity."""
+    texts = written(rows.select("doc", "fp", "n", "sketch").dropDuplicates(["doc"]), "sketches")
+    left, right = texts.toDF("doc_a", "a", "n_a", "sketch_a"), texts.toDF("doc_b", "b", "n_b", "sketch_b")
+    up, down = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.array([_differing(x.as_py(), y.as_py()) for x, y in zip(batch.column(6), batch.column(7), strict=True)], np.int64)
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            yield batch.select([0, 1, 2, 3]).filter(pa.array((up + down) * differ <= (down - up) * total))
+
+    both = pairs.join(left.hint("merge"), "doc_a").join(right.hint("merge"), "doc_b").select("doc_a", "doc_b", "a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return written(both.mapInArrow(run, "doc_a long, doc_b long, a long, b long"), "candidates")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs `doc_a, doc_b, a, b` that are similar by their whole sets."""
+    needed = written(pairs.select(F.col("doc_a").alias("doc")).unionByName(pairs.select(F.col("doc_b").alias("doc"))).distinct(), "needed")
+    marks = np.zeros(NEEDED_MARKS, bool)
+    for r in needed.select(F.pmod("doc", F.lit(NEEDED_MARKS)).cast("int").alias("m")).distinct().toLocalIterator():
+        marks[r["m"]] = True
+    packed = np.packbits(marks).tobytes()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        for batch in batches:
+            found = [(d, x.tobytes()) for t in batch.column(1) for d, x in [shingle_set(t.as_py(), wanted=wanted)] if wanted[d % NEEDED_MARKS]]
+            yield pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in found], pa.int64()), "shingles": pa.array([x for _, x in found], pa.binary())})
+
+    whole = _texts(docs, None, text_col).mapInArrow(sets, "doc long, shingles binary")
+    table = written(whole.hint("merge").join(needed, "doc", "left_semi").dropDuplicates(["doc"]), "shingle-sets")
+    up, down = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                same.append(down * both >= up * (len(p) + len(q) - both))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(same, pa.bool_()))
+
+    left, right = table.toDF("doc_a", "set_a"), table.toDF("doc_b", "set_b")
+    both = pairs.join(left.hint("merge"), "doc_a").join(right.hint("merge"), "doc_b").select("doc_a", "doc_b", "a", "b", "set_a", "set_b")
+    return written(both.mapInArrow(run, "doc_a long, doc_b long, a long, b long"), "similar")
+
+
+def similar_links(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Fingerprints `a, b` of pairs of similar texts of `docs`, of which `rows` is `shingled`: all pairs, without those
+    that the pairs with a shared third text already link."""
+    tokens = _tokens(rows)
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    placed = written(tokens.hint("merge").join(shared, "token").distinct(), "prefixes")
+    up, down = SIMILAR
+    # Every text of a prefix shingle meets the shortest one first; texts that are similar to that one are linked
+    # with each other by it, so only the others meet all.
+    centres = placed.groupBy("token").agg(F.min(F.struct("n", "doc")).alias("c")).select("token", F.col("c.n").alias("cn"), F.col("c.doc").alias("centre"))
+    beside = written(placed.join(centres.hint("merge"), "token").where("doc != centre"), "beside")
+    around = beside.where(down * F.col("cn") >= up * F.col("n")).select(F.col("centre").alias("doc_a"), F.col("doc").alias("doc_b")).distinct()
+    star = _verified(_promising(around, rows), docs, text_col)
+    linked = star.select(F.col("doc_a").alias("centre"), F.col("doc_b").alias("doc"))
+    rest = beside.join(linked.hint("merge"), ["centre", "doc"], "left_anti").select("token", F.col("doc").alias("doc_a"), F.col("n").alias("na"))
+    others = beside.select("token", F.col("doc").alias("doc_b"), F.col("n").alias("nb"))
+    near = (down * F.least("na", "nb") >= up * F.greatest("na", "nb")) & (F.col("doc_a") != F.col("doc_b"))
+    pairs = rest.hint("merge").join(others, "token").where(near).select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct()
+    return star.unionByName(_verified(_promising(pairs, rows), docs, text_col)).where("a != b").select("a", "b")
+
+
 def _segment_counts(fp: Column) -> list[Column]:
     """Bit counts of the segments, from the lowest bits on."""
     mask = (1 << SEGMENT_BITS) - 1
@@ -127,11 +310,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """`row_key, fp, component` of every row: the smallest key that links reach."""
-    rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, bits: int = MAX_BITS, similar: bool = False) -> DataFrame:
+    """`row_key, fp, component` of every row: the smallest key that links reach. With `similar`, texts that are
+    similar by their five-word shingles are linked too."""
+    rows = written((shingled if similar else fingerprints)(docs, id_col, text_col, words), "fingerprints")
     groups = written(rows.groupBy("fp").agg(F.min("row_key").alias("first_key")), "distinct-fingerprints")
-    found = components(written(links(groups.select("fp"), bits).distinct(), "links"))
+    pairs = links(groups.select("fp"), bits)
+    if similar:
+        pairs = pairs.unionByName(similar_links(rows, docs, text_col))
+    found = components(written(pairs.distinct(), "links"))
     # A component's label is a fingerprint; the smallest key over its fingerprints replaces it.
     keyed = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_key", F.coalesce("label", "fp").alias("label"))
     smallest = keyed.groupBy("label").agg(F.min("first_key").alias("component"))
@@ -139,10 +326,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return rows.join(table.hint("merge"), "fp").select("row_key", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
     """The rows of `docs`, all columns, with the smallest identifier of their component. Rows that repeat that
-    identifier stay together, as they can't be told apart by it."""
-    stay = classes(docs, id_col, text_col).where("row_key = component").select(F.col("row_key").alias("__key")).distinct()
+    identifier stay together, as they can't be told apart by it. `similar` is that of `classes`."""
+    stay = classes(docs, id_col, text_col, similar=similar).where("row_key = component").select(F.col("row_key").alias("__key")).distinct()
     keyed = docs.withColumn("__key", id_key(id_col))
     return keyed.join(stay, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 

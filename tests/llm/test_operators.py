@@ -157,6 +157,52 @@ def test_components_of_a_chain(spark):
     assert {r["node"]: r["label"] for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_similar_texts_are_linked(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    common = " ".join(rng.choices(words, k=30))
+    texts = [None, "", "one", "one two"]
+    for n in (8, 25, 60, 150, 400):
+        for _ in range(6):
+            base = rng.choices(words, k=n)
+            texts.append(" ".join(base))
+            for _ in range(8):
+                copy = list(base)
+                for _ in range(rng.randrange(1, max(2, n // 20))):
+                    copy[rng.choice([0, len(copy) - 1, rng.randrange(len(copy))])] = rng.choice(words)
+                texts.append(" ".join(copy) + rng.choice(["", " ", " " + common[:20]]))
+            texts.append(common + " " + " ".join(rng.choices(words, k=n)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    prints = [fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            similar = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            close = (prints[i] ^ prints[j]).bit_count() <= 3
+            far += similar and not close
+            if similar or close:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert far > 20
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert {r["doc_id"] for r in simhash.keep_one(docs, similar=True).collect()} == want
+    assert simhash.keep_one(docs.limit(0), similar=True).count() == 0
+    import corpus_pipeline
+
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == want
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
