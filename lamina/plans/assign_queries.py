@@ -76,8 +76,28 @@ def strip_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(share.withColumn("confidence", A.confidence(F.col("p_top"), F.col("strip_agreement"))), "p_top", "strip_agreement")
 
 
+def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample's batch with its label by the stability of bootstrap means, and its novelty with the signatures' rules.
+    The draws have no SQL; `strip_agreement` and `novelty` are the parts that have."""
+    facts = X.facts(spark, sf_dir)
+    stats = B.baseline(facts)
+    scored = B.zscores(facts, stats)
+    rows = A.features(scored)
+    strips = B.zscores(X.strip_facts(spark, sf_dir), stats).select("sample_id", "strip", "kpi", F.coalesce(F.col("z") * X.weight(F.col("kpi")), F.lit(0.0)).alias("x"))
+    centres = A.centroids(rows, 0.0)
+    measured = A.distances(rows, centres)
+    whole = A.best(A.softmax(measured, F.lit(TEMPERATURE), ["sample_id"]), ["sample_id"]).select("sample_id", F.col("candidate").alias("assigned"), F.col("p").alias("p_top"))
+    steady = A.stability(A.strip_vectors(rows, strips), centres, whole)
+    signs = A.signatures(facts, stats)
+    matches = A.signature_match(scored, signs)
+    found = A.novelty(measured.groupBy("sample_id").agg(F.min("d").alias("dmin")), A.within_distances(rows, 0.0))
+    novel = A.novelty_by_signature(found, whole, matches, A.new_way(scored, signs, matches))
+    out = whole.join(steady, "sample_id", "left").join(novel, "sample_id")
+    return rounded(out.withColumn("confidence", A.confidence(F.col("p_top"), F.col("stability"))), "p_top", "stability", "dmin", "id_score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (shrunken_centroids, softmax_assign, grid_tune, within_distance, novelty, signatures, signature_match, jaccard, strip_agreement)}
+    return {f.__name__: f for f in (shrunken_centroids, softmax_assign, grid_tune, within_distance, novelty, signatures, signature_match, jaccard, strip_agreement, assignment)}
 
 
 _VECTORS = """

@@ -123,3 +123,26 @@ def test_snapshot_rules(spark):
     stats = spark.createDataFrame([("x", 1.0), ("f", 10.0)], "kpi string, scale double")
     got = {r["sample_id"]: r["changed"] for r in V.snapshot_diff(old, new, stats, F.col("kpi") == "f").collect()}
     assert got == {"a": False, "c": True, "d": True}
+
+
+def test_stability_is_that_of_bootstrap_means(spark):
+    """Three of five strips agree, yet means of strips agree far more often."""
+    strips = [(1, k, "u", x) for k, x in enumerate([0.0, 0.0, 0.0, 1.1, 1.1])]
+    centres = spark.createDataFrame([(1, "u", 0.0), (2, "u", 2.0)], "batch long, kpi string, c double")
+    moved = spark.createDataFrame(strips, "sample_id long, strip long, kpi string, x double")
+    assigned = spark.createDataFrame([(1, 1)], "sample_id long, assigned long")
+    picks = np.random.default_rng(0).integers(0, 5, size=(1000, 5))
+    means = np.array([x for *_, x in strips])[picks].mean(axis=1)
+    got = A.stability(moved, centres, assigned).collect()[0]["stability"]
+    assert got == (abs(means) <= abs(means - 2)).mean() and got > 0.9
+
+
+def test_signatures_withdraw_and_force_novelty(spark):
+    found = spark.createDataFrame([(i, 9.0, 0.1, i < 3) for i in range(5)], "sample_id long, dmin double, id_score double, novel boolean")
+    assigned = spark.createDataFrame([(i, 1) for i in range(5)], "sample_id long, assigned long")
+    matches = spark.createDataFrame([(0, 1, 1.5), (1, 1, 1.4), (2, 2, 3.0), (4, 1, 1.6)], "sample_id long, signature long, match double")
+    signs = spark.createDataFrame([(1, "u", True), (1, "v", False)], "batch long, kpi string, in_signature boolean")
+    scored = spark.createDataFrame([(i, k, z) for i in range(5) for k, z in (("u", 50.0), ("v", -13.0 if i > 2 else 1.0))], "sample_id long, kpi string, z double")
+    ways = A.new_way(scored, signs, matches)
+    got = {r["sample_id"]: r["novel"] for r in A.novelty_by_signature(found, assigned, matches, ways).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: True, 4: False}
