@@ -19,13 +19,22 @@ def with_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df`, written once to the folder that spark.checkpoint.dir names and read back."""
-    spark = df.sparkSession
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is set, a local session gets a temporary one; on a
+    cluster that would be a folder which other machines can't see, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lamina/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """The rows of `df`, written once to the folder that spark.checkpoint.dir names and read back."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/lamina/{name}-{uuid.uuid4().hex}"
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
