@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.tables import scratch_root, stored
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: White space between words, as a Java regular expression.
@@ -35,13 +36,9 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LOWEST_ID))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def packed_row(docs: DataFrame) -> Column:
+    """The whole row as one column `row`, so that columns which an operator adds can't replace columns of the input."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,10 +47,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows are written to the shared folder once and read back from there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name, compression="zstd")
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
