@@ -1,13 +1,16 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
 A fingerprint has 64 bits; bit b is the majority of bit b over the 64-bit hashes of all word shingles. The
-embedding maps a fingerprint to the bit counts of its SEGMENTS segments. Changing one bit changes one count by
-one, so the Manhattan distance of two embeddings never exceeds the Hamming distance, and a pair within MAX_BITS
-bits lies within MAX_BITS in the grid of embeddings. Split into two halves, such a pair is within one step in one
-of them. So each distinct fingerprint enters, for each half, its own cell and the cells one step up, and an
-equi-join on cells finds all pairs at one step or none (a step down is the partner's step up). Candidates are
-verified by the exact number of differing bits inside the join. Cells hold distinct fingerprints only, so copies
-never meet; frequent cells are split by adaptive execution.
+embedding maps a fingerprint to the bit counts of its 32 segments of two bits, each written as 0, 1 or 2 ones, so that
+the Manhattan distance of two embeddings is the number of bits in which they differ. Changing one bit of a fingerprint
+changes one count by one, so this distance never exceeds the Hamming distance, and a pair within MAX_BITS bits lies
+within MAX_BITS in the grid of embeddings. Split into two halves, such a pair differs in at most one bit in one of
+them; of this half's two quarters one is equal, bit by bit, and the other is within one step of the grid. So each
+distinct fingerprint enters, for each quarter, the cell of that quarter's bits and the embedding of its neighbour, and
+probes the cells one step up, and an equi-join on cells finds all pairs at one step or none (a step down is the
+partner's step up). Inside the join the Manhattan distance of the whole embeddings rules out candidates before the exact
+number of differing bits decides. Cells hold distinct fingerprints only, so copies never meet; frequent cells are split
+by adaptive execution.
 
 `keep_one` can also link by similarity, as the pipeline's stage does: all pairs of texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more. A radius in bits can't give these, as such pairs differ in up to
@@ -33,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import LOWEST_ID, documents, id_key, small_arrow_batches, written
+from lamina.llm.common import LOWEST_ID, documents, id_key, packed_row, small_arrow_batches, written
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
-#: Two-bit segments: the more segments, the fewer unlike pairs share a cell.
+#: Two-bit segments: the more segments, the fewer unlike pairs share a cell. Bits of a quarter of a fingerprint.
 SEGMENT_BITS = 2
+QUARTER = 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
@@ -251,31 +255,27 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> D
     return star.unionByName(_verified(_promising(pairs, rows), docs, text_col)).where("a != b").select("a", "b")
 
 
-def _segment_counts(fp: Column) -> list[Column]:
-    """Bit counts of the segments, from the lowest bits on."""
-    mask = (1 << SEGMENT_BITS) - 1
-    return [F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(mask))) for at in range(0, 64, SEGMENT_BITS)]
-
-
 def _embedded(fp: Column) -> Column:
-    """The embedding as 64 bits: as no count exceeds SEGMENT_BITS, each takes its segment's place."""
-    out = F.lit(0).cast("long")
-    for k, count in enumerate(_segment_counts(fp)):
-        out = out.bitwiseOR(F.shiftleft(count.cast("long"), k * SEGMENT_BITS))
-    return out
-
-
-def _cells(embedding: Column, half: int, up: bool) -> Column:
-    """The cell of one half of the embedding, or the cells one step up: an array of longs, the half in the sign."""
-    wide = F.shiftrightunsigned(embedding, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-    own = wide * 2 + half
+    """The embedding as 64 bits: a segment's count in its own place, as no, the low or both bits set."""
+    low = F.lit(0x5555555555555555)
+    shifted = F.shiftrightunsigned(fp, 1)
+    any_, both = fp.bitwiseOR(shifted).bitwiseAND(low), fp.bitwiseAND(shifted).bitwiseAND(low)
+    return any_.bitwiseOR(F.shiftleft(both, 1))
+
+
+def _cells(fp: Column, embedding: Column, quarter: int, up: bool) -> Column:
+    """Cells of one quarter as the equal one: its number and bits, and the embedding of the other quarter of its half,
+    or that and all embeddings one step up."""
+    other = quarter ^ 1
+    equal = F.shiftrightunsigned(fp, QUARTER * quarter).bitwiseAND(F.lit(0xFFFF))
+    near = F.shiftrightunsigned(embedding, QUARTER * other).bitwiseAND(F.lit(0xFFFF))
+    own = (F.lit(quarter).cast("long") * (1 << 32)).bitwiseOR(F.shiftleft(equal, QUARTER)).bitwiseOR(near)
     if not up:
         return F.array(own)
     steps = []
-    mask = (1 << SEGMENT_BITS) - 1
-    for at in range(0, 32, SEGMENT_BITS):
-        count = F.shiftrightunsigned(wide, at).bitwiseAND(F.lit(mask))
-        steps.append(F.when(count < SEGMENT_BITS, own + 2 * (1 << at)))
+    for at in range(0, QUARTER, SEGMENT_BITS):
+        count = F.shiftrightunsigned(near, at).bitwiseAND(F.lit(3))
+        steps.append(F.when(count == 0, own + (1 << at)).when(count == 1, own + (2 << at)))
     return F.array_compact(F.array(own, *steps))
 
 
@@ -289,9 +289,14 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     if bits > 3:
         raise ValueError("two halves cover 3 bits at most")
     embedded = distinct.select("fp", _embedded(F.col("fp")).alias("e"))
-    base = embedded.select(F.col("fp").alias("a"), F.explode(F.concat(_cells(F.col("e"), 0, False), _cells(F.col("e"), 1, False))).alias("cell"))
-    probe = embedded.select(F.col("fp").alias("b"), F.explode(F.concat(_cells(F.col("e"), 0, True), _cells(F.col("e"), 1, True))).alias("cell"))
-    near = (F.col("a") != F.col("b")) & (_distance(F.col("a"), F.col("b")) <= bits)
+
+    def entered(name: str, up: bool) -> DataFrame:
+        cells = F.concat(*[_cells(F.col("fp"), F.col("e"), q, up) for q in range(4)])
+        return embedded.select(F.col("fp").alias(name), F.explode(cells).alias("cell"))
+
+    base, probe = entered("a", False), entered("b", True)
+    a, b = F.col("a"), F.col("b")
+    near = (a != b) & (_distance(_embedded(a), _embedded(b)) <= bits) & (_distance(a, b) <= bits)
     return base.hint("merge").join(probe, (base["cell"] == probe["cell"]) & near).select("a", "b")
 
 
@@ -329,9 +334,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
     """The rows of `docs`, all columns, with the smallest identifier of their component. Rows that repeat that
     identifier stay together, as they can't be told apart by it. `similar` is that of `classes`."""
-    stay = classes(docs, id_col, text_col, similar=similar).where("row_key = component").select(F.col("row_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", id_key(id_col))
-    return keyed.join(stay, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = classes(docs, id_col, text_col, similar=similar).where("row_key = component").select("row_key").distinct()
+    keyed = docs.select(packed_row(docs), id_key(id_col).alias("row_key"))
+    return keyed.join(stay.hint("merge"), "row_key", "left_semi").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
