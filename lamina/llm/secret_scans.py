@@ -6,8 +6,10 @@ gaps and of the matches add up to the starts, so one pass gives all spans in cod
 case: a window of WINDOW characters slides over the string while an array of symbol counts and the sum of
 c * log2(c) are updated by the character that enters and the one that leaves. Windows whose Shannon entropy
 reaches the threshold of the string's character class (hexadecimal, alphanumeric, base64) give one span from the
-first to the last of them. Allow-listed strings (identifiers with words, dates, counters, placeholders, paths)
-and strings that touch a base span are left out.
+first to the last of them. Base spans are cut out of a candidate first, and each part that is left and is long enough
+is a candidate of its own. Allow-listed strings (identifiers with words, dates, counters, placeholders, paths) are
+left out. Time grows in proportion to the text: candidates carry their own characters, spans are merged in one pass,
+and a redacted text is put together from short chunks of it.
 
 Results for unusual input: null and empty texts have no spans; a text of any length is scanned whole; repeated
 rows get equal results; other columns are carried along.
@@ -45,8 +47,14 @@ ALLOWED = [
     r"^(?:[A-Z]?[a-z]{2,}){2,}[0-9]{0,4}$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 ]
-#: Spans gathered in one array before it is set aside: appending stays cheap however many there are.
+#: Items of an array that are folded at once. Spark copies a fold's whole state at every step, so an array that grows in
+#: it must stay short.
 CHUNK = 256
+#: Characters of the chunks that a text is cut into for redaction.
+TEXT_CHUNK = 1024
+#: Counts of the symbols in a window, COUNT_BITS each, as many to a long as fit.
+COUNT_BITS = 5
+COUNTS = 12
 
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
@@ -56,71 +64,100 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _no_spans() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the pattern's matches for which `keep(part)` holds; parts are the matches with their group 2."""
+def _folded(items: Column, state: dict[str, Column], step, kind: str, last=None) -> Column:
+    """Everything that a fold over `items` emits, items of type `kind`. `step(s, x)` gives the new values of the
+    fields of `state` and an array to emit; `last(s)` is emitted in the end."""
+
+    def inner(s: Column, chunk: Column) -> Column:
+        def one(s: Column, x: Column) -> Column:
+            fields, more = step(s, x)
+            return F.struct(*[v.alias(k) for k, v in fields.items()], F.concat(s["now"], more).alias("now"))
+
+        return F.aggregate(chunk, F.struct(*[s[k].alias(k) for k in state], _none(kind).alias("now")), one)
+
+    def outer(s: Column, chunk: Column) -> Column:
+        return _let(inner(s, chunk), lambda i: F.struct(*[i[k].alias(k) for k in state], F.concat(s["full"], F.array(i["now"])).alias("full")))
+
+    def whole(items: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+        begin = F.struct(*[v.alias(k) for k, v in state.items()], _none(f"array<{kind}>").alias("full"))
+        end = F.struct(*[v.alias(k) for k, v in state.items()])
+        nothing = _let(end, last) if last else _none(kind)
+        found = F.aggregate(chunks, begin, outer, lambda s: F.concat(F.flatten(s["full"]), last(s)) if last else F.flatten(s["full"]))
+        return F.when(F.size(items) > 0, found).otherwise(nothing)
+
+    return _let(items, whole)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """`start, end, m` of all matches, m the matched string; for ASSIGN `v`, its group 2, too."""
     p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    value = F.regexp_extract_all(text, p, F.lit(2)) if pattern == ASSIGN else whole
-    gaps = F.split(text, pattern, -1)
-    parts = F.transform(
-        F.arrays_zip(F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"), whole.alias("m"), value.alias("v")),
-        lambda x: F.struct(F.length(x["gap"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("n"), keep(x["v"]).alias("keep")),
-    )
-    empty = F.struct(F.lit(0).cast("long").alias("at"), _no_spans().alias("now"), F.array().cast(f"array<array<{SPAN}>>").alias("full"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end")))
-        now = F.when(x["keep"], F.concat(s["now"], one)).otherwise(s["now"])
-        roll = F.size(s["now"]) >= CHUNK
-        return F.struct(
-            (start + x["n"]).alias("at"),
-            F.when(roll, F.when(x["keep"], one).otherwise(_no_spans())).otherwise(now).alias("now"),
-            F.when(roll, F.concat(s["full"], F.array(s["now"]))).otherwise(s["full"]).alias("full"),
-        )
+    def placed(whole: Column) -> Column:
+        value = F.regexp_extract_all(text, p, F.lit(2)) if pattern == ASSIGN else whole
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), whole, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n")))
+        zero = {"at": F.lit(0).cast("long")}
+        starts = _folded(sizes, zero, lambda s, x: ({"at": s["at"] + x["gap"] + x["n"]}, F.array(s["at"] + x["gap"])), "bigint")
+        parts = F.arrays_zip(starts.alias("start"), whole.alias("m"), value.alias("v"))
+        return F.transform(parts, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["v"].alias("v")))
+
+    found = _let(F.regexp_extract_all(text, p, F.lit(0)), placed)
+    return F.when(F.rlike(text, p), found).otherwise(_none("struct<start:bigint,end:bigint,m:string,v:string>"))
 
-    found = F.aggregate(parts, empty, step, lambda s: F.concat(F.flatten(s["full"]), s["now"]))
-    return F.when(F.rlike(text, p), found).otherwise(_no_spans())
+
+def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
+    """Spans of the pattern's matches for which `keep(value)` holds; the value is group 2 of ASSIGN, else the match."""
+    found = F.filter(_matches(text, pattern), lambda x: keep(x["v"]))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
 def _hot_range(candidate: Column) -> Column:
     """`first, last` start (from 1) of the windows of the candidate whose entropy reaches its class's threshold;
     0, 0 if none does."""
-    size = len(ALPHABET)
+    longs = -(-len(ALPHABET) // COUNTS)
     terms = F.array(*[F.lit(0.0)] + [F.lit(c * log2(c)) for c in range(1, WINDOW + 1)])
     least = (
         F.when(F.rlike(candidate, F.lit("^[0-9a-fA-F]+$")), THRESHOLDS["hex"])
         .when(F.rlike(candidate, F.lit("^[A-Za-z0-9]+$")), THRESHOLDS["alnum"])
         .otherwise(THRESHOLDS["base64"])
     )
-    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    start = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    empty = F.struct(*[F.lit(0).cast("long").alias(f"n{k}") for k in range(longs)], F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def slide(codes: Column, terms: Column, most: Column) -> Column:
-        # leaving[i] is the symbol WINDOW places before, 0 while the window still fills
-        leaving = F.concat(F.array_repeat(F.lit(0), WINDOW), codes)
-        moves = F.zip_with(codes, F.slice(leaving, 1, F.size(codes)), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
-        moves = F.transform(moves, lambda m, i: F.struct(m["new"].alias("new"), m["old"].alias("old"), i.alias("at")))
+        # `old` is the symbol WINDOW places before, -1 while the window still fills
+        leaving = F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), codes), 1, F.size(codes))
+
+        def place(symbol: Column) -> Column:
+            """The symbol's long and how far its count is shifted in it."""
+            return F.struct(F.floor(symbol / COUNTS).cast("int").alias("k"), (COUNT_BITS * F.pmod(symbol, F.lit(COUNTS))).cast("int").alias("by"))
+
+        moves = F.zip_with(codes, leaving, lambda a, b: F.struct(place(a).alias("new"), F.when(b >= 0, place(b)).alias("old"), (a == b).alias("same")))
+        moves = F.transform(moves, lambda m, i: F.struct(m["new"].alias("new"), m["old"].alias("old"), m["same"].alias("same"), i.alias("at")))
+
+        def count(s: Column, at: Column) -> Column:
+            chosen = F.lit(None).cast("long")
+            for k in reversed(range(longs)):
+                chosen = F.when(at["k"] == k, s[f"n{k}"]).otherwise(chosen)
+            return F.call_function("shiftrightunsigned", chosen, at["by"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
 
         def step(s: Column, m: Column) -> Column:
-            new, old = s["n"][m["new"] - 1], F.when(m["old"] > 0, s["n"][F.greatest(m["old"] - 1, F.lit(0))]).otherwise(F.lit(0))
-            change = terms[F.least(new + 1, F.lit(WINDOW))] - terms[new] + F.when(m["old"] > 0, terms[F.greatest(old - 1, F.lit(0))] - terms[old]).otherwise(0.0)
-            total = s["s"] + F.when(m["new"] == m["old"], 0.0).otherwise(change)
+            new, full = m["new"], m["old"].isNotNull()
+            one = F.call_function("shiftleft", F.lit(1).cast("long"), new["by"])
+            out = F.call_function("shiftleft", F.lit(1).cast("long"), m["old"]["by"])
+            entering, going = count(s, new), count(s, m["old"])
+            change = terms[entering + 1] - terms[entering] + F.when(full, terms[F.greatest(going - 1, F.lit(0))] - terms[going]).otherwise(0.0)
+            total = s["s"] + F.when(m["same"], 0.0).otherwise(change)
             hot = (m["at"] >= WINDOW - 1) & (total <= most)
-            counts = F.transform(s["n"], lambda c, k: c + F.when(k == m["new"] - 1, 1).otherwise(0) - F.when(k == m["old"] - 1, 1).otherwise(0))
             begin = m["at"] - WINDOW + 2
-            return F.struct(
-                counts.alias("n"),
-                total.alias("s"),
-                F.when(hot & (s["first"] == 0), begin).otherwise(s["first"]).alias("first"),
-                F.when(hot, begin).otherwise(s["last"]).alias("last"),
-            )
+            counts = [(s[f"n{k}"] + F.when(new["k"] == k, one).otherwise(0) - F.when(full & (m["old"]["k"] == k), out).otherwise(0)).alias(f"n{k}") for k in range(longs)]
+            return F.struct(*counts, total.alias("s"), F.when(hot & (s["first"] == 0), begin).otherwise(s["first"]).alias("first"), F.when(hot, begin).otherwise(s["last"]).alias("last"))
 
-        return F.aggregate(moves, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+        return F.aggregate(moves, empty, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
     # entropy = log2(WINDOW) - sum(c log2 c) / WINDOW >= least
     most = F.lit(float(WINDOW)) * (F.lit(log2(WINDOW)) - least) + F.lit(1e-9)
@@ -136,19 +173,55 @@ def _candidate(value: Column) -> Column:
     return out
 
 
-def _entropy_spans(text: Column, base: Column) -> Column:
-    raw = _spans(text, CANDIDATE, KINDS.index("entropy"), _candidate)
+def _parts(candidates: Column, base: Column) -> Column:
+    """`start, m` of what is left of the candidates between the base spans, in one pass over both in order."""
+    zero = F.lit(0).cast("long")
+    # The open candidate: its number, where its unread rest starts, where it ends; and the last base span's end.
+    state = {"number": F.lit(-1), "at": zero, "end": zero, "covered": zero}
 
-    def free(spans: Column, base: Column) -> Column:
-        return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    def cut(s: Column, upto: Column) -> Column:
+        """The open candidate from its rest to `upto`, if that is long enough."""
+        stop = F.least(upto, s["end"])
+        return F.when(stop - s["at"] >= MIN_CANDIDATE, F.array(F.struct(s["number"].alias("number"), s["at"].alias("a"), stop.alias("b")))).otherwise(_none(kind))
 
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        own = x["number"] >= 0
+        fields = {
+            "number": F.when(own, x["number"]).otherwise(s["number"]),
+            "at": F.when(own, F.greatest(x["start"], s["covered"])).otherwise(F.greatest(s["at"], x["end"])),
+            "end": F.when(own, x["end"]).otherwise(s["end"]),
+            "covered": F.when(own, s["covered"]).otherwise(F.greatest(s["covered"], x["end"])),
+        }
+        return fields, cut(s, x["start"])
+
+    kind = "struct<number:int,a:bigint,b:bigint>"
+
+    def left(found: Column) -> Column:
+        ours = F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), i.alias("number"), x["end"].alias("end")))
+        theirs = F.transform(base, lambda x: F.struct(x["start"].alias("start"), F.lit(-1).alias("number"), x["end"].alias("end")))
+        pieces = _folded(F.sort_array(F.concat(ours, theirs)), state, step, kind, lambda s: cut(s, s["end"]))
+
+        # Candidates are ASCII, so their characters are bytes, and a part is taken without reading what is before it.
+        def named(starts: Column, data: Column) -> Column:
+            def part(p: Column) -> Column:
+                value = F.substring(F.get(data, p["number"]), (p["a"] - F.get(starts, p["number"]) + 1).cast("int"), (p["b"] - p["a"]).cast("int"))
+                return F.struct(p["a"].alias("start"), value.cast("string").alias("m"))
+
+            return F.transform(pieces, part)
+
+        return _let(F.transform(found, lambda x: x["start"]), lambda starts: _let(F.transform(found, lambda x: F.to_binary(x["m"], F.lit("utf-8"))), lambda data: named(starts, data)))
+
+    return _let(candidates, left)
+
+
+def _entropy_spans(text: Column, base: Column) -> Column:
     def judged(x: Column) -> Column:
-        value = F.substring(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
-        narrowed = _let(_hot_range(value), lambda r: F.when(r["first"] > 0, F.struct((x["start"] + r["first"] - 1).alias("start"), x["kind"].alias("kind"), (x["start"] + r["last"] - 1 + WINDOW).alias("end"))))
-        return narrowed
+        span = lambda r: F.struct((x["start"] + r["first"] - 1).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (x["start"] + r["last"] - 1 + WINDOW).alias("end"))
+        return _let(_hot_range(x["m"]), lambda r: F.when(r["first"] > 0, span(r)))
 
-    found = _let(base, lambda b: F.filter(F.transform(free(raw, b), judged), lambda x: x.isNotNull()))
-    return F.when(F.rlike(text, F.lit(CANDIDATE)), found).otherwise(_no_spans())
+    worth = F.filter(_parts(_matches(text, CANDIDATE), base), lambda x: _candidate(x["m"]))
+    found = F.filter(F.transform(worth, judged), lambda x: x.isNotNull())
+    return F.when(F.rlike(text, F.lit(CANDIDATE)), found).otherwise(_none(SPAN))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -169,19 +242,33 @@ def spans_text(spans: str) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or union of overlapping spans, replaced by the mark."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,n:bigint>>").alias("keep"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.array(F.struct(s["at"].alias("a"), (x["start"] - s["at"]).alias("n")))
-        return F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when((x["start"] < s["at"]) & (s["at"] > 0), s["keep"]).otherwise(F.concat(s["keep"], gap)).alias("keep"),
-        )
-
-    tail = F.aggregate(spans, start, step, lambda s: F.concat(s["keep"], F.array(F.struct(s["at"].alias("a"), F.lit(2**31 - 1).cast("long").alias("n")))))
-    parts = F.transform(tail, lambda k: F.substring(text, (k["a"] + 1).cast("int"), k["n"].cast("int")))
-    return F.when(F.size(spans) > 0, F.array_join(parts, mark)).otherwise(text)
+    """The text with each span, or union of overlapping spans, replaced by the mark; `spans` are in order."""
+    kind = "struct<a:bigint,b:bigint>"
+    state = {"at": F.lit(0).cast("long")}
+
+    def gap(a: Column, b: Column) -> Column:
+        return F.array(F.struct(a.alias("a"), b.alias("b")))
+
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        overlaps = (x["start"] < s["at"]) & (s["at"] > 0)
+        return {"at": F.greatest(s["at"], x["end"])}, F.when(overlaps, _none(kind)).otherwise(gap(s["at"], x["start"]))
+
+    def cut(chunks: Column, size: Column, spans: Column) -> Column:
+        gaps = _folded(spans, state, step, kind, lambda s: gap(s["at"], size))
+
+        def part(g: Column) -> Column:
+            i, j = (F.floor(g[e] / TEXT_CHUNK).cast("int") for e in "ab")
+            low, high = (F.pmod(g[e], F.lit(TEXT_CHUNK)).cast("int") for e in "ab")
+            first, last = F.get(chunks, i), F.coalesce(F.get(chunks, j), F.lit(""))
+            within = F.substring(first, low + 1, high - low)
+            across = F.concat(F.substring(first, low + 1, F.lit(TEXT_CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), high))
+            return F.when(g["a"] >= g["b"], "").when(i == j, within).otherwise(across)
+
+        return F.array_join(F.transform(gaps, part), mark)
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_CHUNK}}}"), F.lit(0))
+    whole = _let(chunks, lambda c: _let(spans, lambda x: cut(c, F.length(text).cast("long"), x)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
