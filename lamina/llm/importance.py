@@ -33,21 +33,34 @@ TARGET_DOCS = 100_000
 SEED = 7
 _SPACE, _WORD, _OTHER = 0, 1, 2
 _KIND = np.array([_SPACE if b in (32, *range(9, 14)) else _WORD if chr(b).isalnum() and b < 128 or b >= 128 else _OTHER for b in range(256)], np.uint8)
-#: Bytes that are hashed at once; a token that spans a cut counts as two.
+#: Bytes that are hashed at once, but for a token that is longer; cuts lie between tokens.
 PIECE = 1 << 20
 
 
+def _cut(data: np.ndarray, at: int) -> int:
+    """The last edge of a token within PIECE bytes from `at` on; if there is none, the first one after that."""
+    reach = PIECE
+    while at + reach < len(data):
+        edges = np.flatnonzero(np.diff(_KIND[data[at : at + reach + 1]]))
+        if len(edges):
+            return at + 1 + int(edges[-1])
+        reach *= 2
+    return len(data)
+
+
 def buckets(text: str | None, size: int = BUCKETS) -> np.ndarray:
     """The buckets of all unigrams and bigrams of the whole text."""
     data = np.frombuffer((text or "").encode(), np.uint8)
-    parts = []
-    for at in range(0, len(data), PIECE):
-        piece = data[at : at + PIECE]
+    parts, at = [], 0
+    while at < len(data):
+        end = _cut(data, at)
+        piece = data[at:end]
         kind = _KIND[piece]
         edges = np.flatnonzero(np.diff(kind)) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(piece)]])
         real = kind[starts] != _SPACE
         parts.append(Ranges(piece).hash(starts[real], ends[real]))
+        at = end
     if not parts:
         return np.zeros(0, np.int64)
     one = np.concatenate(parts)
