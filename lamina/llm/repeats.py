@@ -17,6 +17,9 @@ keep each task's share bounded:
    is not put into one block: its windows are counted one by one, by two independent 64-bit hashes.
 5. Stretches get back to their documents by a join, and every document's intervals to its text.
 
+Texts are read once: rows get a number, and the stretches of every row are stored with their place, so that sums over
+stretches, one text of each and the way back all work on that table. Rows are told apart by their number alone.
+
 Results for unusual input: null and empty texts, and texts shorter than WIDTH, lose nothing; texts of any length are
 judged whole; of repeated rows each counts as a document, so all their windows repeat; null identifiers stay null;
 an empty table gives an empty result; other columns are ignored.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import documents, id_key, small_arrow_batches, written
+from lamina.llm.common import documents, small_arrow_batches, written
 from lamina.llm.rolling import Ranges, mix
 
 WIDTH = 200
@@ -44,8 +47,8 @@ GROUP_STRINGS = 2000
 #: Windows whose minimizers are computed at once, and stretches that are added up at once.
 CHUNK = 1 << 17
 COMBINE = 1 << 17
-#: Documents that decide which minimizers are dealt by stretch, and the occurrences there that make one frequent.
-SEEN_DOCS = 20_000
+#: Stretches that decide which minimizers are dealt by stretch, and the occurrences there that make one frequent.
+SEEN_SITES = 2_000_000
 FREQUENT = 200
 
 
@@ -60,9 +63,9 @@ def _slide(values: np.ndarray, width: int, best: np.ufunc, pad: int) -> np.ndarr
     return best(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def stretches(data: np.ndarray, width: int = WIDTH, ask_twice: bool = False) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
     """Of one text: start, number of windows, minimizer, content hash of each stretch, and whether its minimizer
-    may occur in it twice (only then can one stretch hold equal windows; false unless asked for)."""
+    may occur in it twice (only then can one stretch hold equal windows)."""
     parts = []
     for at in range(0, len(data) - width + 1, CHUNK):
         piece = data[at : at + CHUNK + width - 1]
@@ -81,9 +84,6 @@ def stretches(data: np.ndarray, width: int = WIDTH, ask_twice: bool = False) ->
         end = start + count + width - 1
         key = least[start]
         content = mix(ranges.hash(start, end) + count.astype(np.uint64))
-        if not ask_twice:
-            parts.append((start + at, count, key, content, np.zeros(len(start), bool)))
-            continue
         # A range is a minimizer if it equals the largest minimum of the windows around it.
         around = _slide(np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)]), reach, np.maximum, 0)
         sites = np.flatnonzero(around == grams)
@@ -159,78 +159,70 @@ def _raw(text: pa.Scalar) -> bytes:
     return text.as_py() or b""
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """`k, c, n, seen, h, twice`: distinct stretches of parts of the input with their number, added up by task."""
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        key, content, count, twice, h = (np.concatenate(x) for x in zip(*rows, strict=True))
-        _, first, back, seen = np.unique(mix(key) + content, return_index=True, return_inverse=True, return_counts=True)
-        any_twice = np.bincount(back, twice) > 0
-        return pa.RecordBatch.from_pydict({"k": _signed(key[first]), "c": _signed(content[first]), "n": pa.array(count[first], pa.int32()), "seen": pa.array(seen, pa.int64()), "h": pa.array(h[first], pa.int64()), "twice": pa.array(any_twice, pa.bool_())})
+def _sites(rows: DataFrame) -> DataFrame:
+    """`k, c, n, twice, row, start`: all stretches of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
         for batch in batches:
-            for text, h in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                _, count, key, content, twice = stretches(np.frombuffer(_raw(text), np.uint8), ask_twice=True)
-                if len(key):
-                    rows.append((key, content, count, twice, np.full(len(key), h, np.int64)))
-                    held += len(key)
-                if held >= COMBINE:
-                    yield flush(rows)
-                    rows, held = [], 0
-        if rows:
-            yield flush(rows)
-
-    return docs.select("raw", "h").mapInArrow(run, "k long, c long, n int, seen long, h long, twice boolean")
+            found = []
+            for text, row in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                start, count, k, c, twice = stretches(np.frombuffer(_raw(text), np.uint8))
+                if len(k):
+                    found.append((k, c, count, twice, np.full(len(k), row, np.int64), start))
+            if found:
+                k, c, count, twice, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict({"k": _signed(k), "c": _signed(c), "n": pa.array(count, pa.int32()), "twice": pa.array(twice, pa.bool_()), "row": pa.array(row, pa.int64()), "start": pa.array(start, pa.int32())})
 
+    return rows.select("raw", "row").mapInArrow(run, "k long, c long, n int, twice boolean, row long, start int")
 
-def _frequent(docs: DataFrame) -> DataFrame:
-    """`k, hot`: minimizers that occur FREQUENT times or more in about SEEN_DOCS documents. This only decides how rows
-    are dealt to tasks, never what is found. The keys number those documents' stretches / FREQUENT at most, however
-    large the input is."""
-    share = min(1.0, SEEN_DOCS / max(docs.count(), 1))
-    some = _counted(docs.sample(False, share, 1))
-    return written(some.groupBy("k").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT).select("k", F.lit(True).alias("hot")), "frequent")
 
+def _counted(sites: DataFrame) -> DataFrame:
+    """`k, c, n, seen, twice, row, start`: distinct stretches of parts of the input with their number, added up by
+    task, each with one of its places."""
 
-def _sites(docs: DataFrame) -> DataFrame:
-    """`k, c, start, key, h`: all stretches of all rows."""
+    def flush(parts: list[tuple]) -> pa.RecordBatch:
+        k, c, n, twice, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, back, seen = np.unique(mix(k.view(np.uint64)) + c.view(np.uint64), return_index=True, return_inverse=True, return_counts=True)
+        any_twice = np.bincount(back, twice) > 0
+        return pa.RecordBatch.from_pydict({"k": k[first], "c": c[first], "n": n[first], "seen": pa.array(seen, pa.int64()), "twice": any_twice, "row": row[first], "start": start[first]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            rows = []
-            for text, key, h in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                start, _, k, c, _ = stretches(np.frombuffer(_raw(text), np.uint8))
-                if len(k):
-                    rows.append((k, c, start, np.full(len(k), key, np.int64), np.full(len(k), h, np.int64)))
-            if rows:
-                k, c, start, key, h = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_pydict({"k": _signed(k), "c": _signed(c), "start": pa.array(start, pa.int32()), "key": pa.array(key, pa.int64()), "h": pa.array(h, pa.int64())})
+            parts.append(tuple(x.to_numpy(zero_copy_only=False) for x in batch.columns))
+            held += batch.num_rows
+            if held >= COMBINE:
+                yield flush(parts)
+                parts, held = [], 0
+        if held:
+            yield flush(parts)
 
-    return docs.select("raw", "key", "h").mapInArrow(run, "k long, c long, start int, key long, h long")
+    return sites.select("k", "c", "n", "twice", "row", "start").mapInArrow(run, "k long, c long, n int, seen long, twice boolean, row long, start int")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`k, c, raw` of the wanted stretches (k, c, h), each from a row with that hash."""
-    lists = wanted.groupBy("h").agg(F.collect_list(F.struct("k", "c")).alias("wanted"))
+def _frequent(sites: DataFrame) -> DataFrame:
+    """`k, hot`: minimizers that occur FREQUENT times or more in about SEEN_SITES stretches. This only decides how rows
+    are dealt to tasks, never what is found. There are about SEEN_SITES / FREQUENT of them at most, however large the
+    input is."""
+    some = sites.sample(False, min(1.0, SEEN_SITES / max(sites.count(), 1)), 1)
+    return written(some.groupBy("k").count().where(F.col("count") >= FREQUENT).select("k", F.lit(True).alias("hot")), "frequent")
+
+
+def _strings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`k, c, seen, kinds, raw` of the wanted stretches, which have the place `row, start, n` of one text of each."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("k", "c", "seen", "kinds", "start", "n")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, c, raw = [], [], []
-            for text, list_ in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = _raw(text)
-                left = {(x["k"], x["c"]) for x in list_}
-                start, count, key, content, _ = stretches(np.frombuffer(data, np.uint8))
-                for a, n, kk, cc in zip(start.tolist(), count.tolist(), key.view(np.int64).tolist(), content.view(np.int64).tolist(), strict=True):
-                    if (kk, cc) in left:
-                        left.discard((kk, cc))
-                        k.append(kk)
-                        c.append(cc)
-                        raw.append(data[a : a + n + WIDTH - 1])
-            yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "c": pa.array(c, pa.int64()), "raw": pa.array(raw, pa.binary())})
+            asked = batch.column(1)
+            flat, counts = asked.flatten(), asked.value_lengths().to_numpy()
+            own = np.repeat(np.arange(len(counts)), counts).tolist()
+            texts = [_raw(t) for t in batch.column(0)]
+            begin, size = flat.field("start").to_pylist(), flat.field("n").to_pylist()
+            raw = [texts[i][a : a + n + WIDTH - 1] for i, a, n in zip(own, begin, size, strict=True)]
+            yield pa.RecordBatch.from_pydict({**{c: flat.field(c) for c in ("k", "c", "seen", "kinds")}, "raw": pa.array(raw, pa.binary())})
 
-    return docs.select("h", "raw").join(lists.hint("merge"), "h").select("raw", "wanted").mapInArrow(run, "k long, c long, raw binary")
+    return rows.select("row", "raw").join(lists.hint("merge"), "row").select("raw", "wanted").mapInArrow(run, "k long, c long, seen long, kinds long, raw binary")
 
 
 def _indexed(strings: DataFrame) -> DataFrame:
@@ -241,17 +233,15 @@ def _indexed(strings: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in rows], pa.int64()), "c": pa.array([r[1] for r in rows], pa.int64()), "mask": pa.array([np.packbits(m, bitorder="little").tobytes() for m in found], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last = [], 0, (None, None)
+        rows, held, last = [], 0, None
         for batch in batches:
             for k, c, seen, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (k, c) == last:
-                    continue  # the same stretch from rows with equal hashes
-                if held >= BLOCK_BYTES and k != last[0]:
+                if held >= BLOCK_BYTES and k != last:
                     yield judge(rows)
                     rows, held = [], 0
                 rows.append((k, c, seen, raw))
                 held += len(raw)
-                last = (k, c)
+                last = k
         if rows:
             yield judge(rows)
 
@@ -278,8 +268,7 @@ def _one_by_one(strings: DataFrame) -> DataFrame:
                 out.append(np.packbits(bits, bitorder="little").tobytes())
             yield pa.RecordBatch.from_pydict({"k": batch.column(0), "c": batch.column(1), "mask": pa.array(out, pa.binary())})
 
-    single = strings.dropDuplicates(["k", "c"]).select("k", "c", "seen", "raw")
-    windows = written(single.mapInArrow(run, "k long, c long, seen long, at int, w1 long, w2 long"), "windows")
+    windows = written(strings.select("k", "c", "seen", "raw").mapInArrow(run, "k long, c long, seen long, at int, w1 long, w2 long"), "windows")
     often = windows.groupBy("w1", "w2").agg(F.sum("seen").alias("times")).where("times > 1").select("w1", "w2")
     marked = windows.join(often.hint("merge"), ["w1", "w2"]).groupBy("k", "c").agg(F.collect_list("at").alias("at"))
     return marked.mapInArrow(masks, "k long, c long, mask binary")
@@ -302,32 +291,33 @@ def _covered(size: int, marks: list[dict]) -> np.ndarray:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, raw, marks` of every row: its bytes and its stretches with repeated windows."""
-    small_arrow_batches(docs.sparkSession, 256, "4m")
+    small_arrow_batches(docs.sparkSession, 4096, "4m")
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), id_key(id_col).alias("key"), raw.alias("raw")).withColumn("h", F.xxhash64("key", "raw"))
+    # Numbered rows are stored, so that a number means the same row whenever they are read.
+    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("raw"), F.monotonically_increasing_id().alias("row")), "texts")
+    sites = written(_sites(rows), "sites")
     # One exchange serves the sums over stretches and those over groups: by minimizer, and for frequent ones by
     # content as well, so that a group's stretches are dealt to all tasks.
-    dealt = _counted(rows).join(F.broadcast(_frequent(rows)), "k", "left").withColumn("deal", F.when(F.col("hot"), F.col("c")).otherwise(F.lit(0)))
-    each = dealt.repartition("k", "deal").groupBy("k", "deal", "c").agg(F.first("n").alias("n"), F.sum("seen").alias("seen"), F.min("h").alias("h"), F.max("twice").alias("twice"), F.first("hot").alias("hot"))
+    dealt = _counted(sites).join(F.broadcast(_frequent(sites)), "k", "left").withColumn("deal", F.when(F.col("hot"), F.col("c")).otherwise(F.lit(0)))
+    each = dealt.repartition("k", "deal").groupBy("k", "deal", "c").agg(F.first("n").alias("n"), F.sum("seen").alias("seen"), F.min(F.struct("row", "start")).alias("site"), F.max("twice").alias("twice"), F.first("hot").alias("hot"))
     group = Window.partitionBy("k", "deal")
     each = each.withColumns({"total": F.sum("seen").over(group), "kinds": F.count(F.lit(1)).over(group), "any_twice": F.max("twice").over(group)})
     each = written(each.where("hot OR total > 1 OR any_twice"), "stretches")
     # The sums of frequent groups, a row each.
     whole = each.where("hot").groupBy("k").agg(F.sum("seen").alias("t"), F.count(F.lit(1)).alias("m"), F.max("twice").alias("a"))
-    known = each.join(F.broadcast(whole), "k", "left").select("k", "c", "n", "seen", "h", F.coalesce("t", "total").alias("total"), F.coalesce("m", "kinds").alias("kinds"), F.coalesce("a", "any_twice").alias("any_twice"))
+    known = each.join(F.broadcast(whole), "k", "left").select("k", "c", "n", "seen", "site.row", "site.start", F.coalesce("t", "total").alias("total"), F.coalesce("m", "kinds").alias("kinds"), F.coalesce("a", "any_twice").alias("any_twice"))
     known = known.where("total > 1 OR any_twice")
-    plain = known.where("kinds = 1 AND NOT any_twice").select("k", "c", "n", F.lit(None).cast("binary").alias("mask"))
+    plain = known.where("kinds = 1 AND NOT any_twice").select("k", "c", F.lit(None).cast("binary").alias("mask"))
     mixed = known.where("kinds > 1 OR any_twice")
-    texts = written(_texts(rows, mixed), "stretch-texts").join(mixed.select("k", "c", "seen", "kinds"), ["k", "c"])
-    texts = written(texts, "strings")
+    strings = written(_strings(rows, mixed), "strings")
     small, large = F.col("kinds") <= GROUP_STRINGS, F.col("kinds") > GROUP_STRINGS
-    masks = _indexed(texts.where(small))
-    if not texts.where(large).isEmpty():
-        masks = masks.unionByName(_one_by_one(texts.where(large)))
-    judged = masks.join(mixed.select("k", "c", "n"), ["k", "c"]).where(F.rlike(F.hex("mask"), F.lit("[1-9A-F]")))
-    verdicts = written(plain.unionByName(judged.select(plain.columns)), "verdicts")
-    marked = _sites(rows).join(verdicts.hint("merge"), ["k", "c"]).groupBy("key", "h").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
-    return rows.join(marked.hint("merge"), ["key", "h"], "left").select("id", "raw", "marks")
+    masks = _indexed(strings.where(small))
+    if not strings.where(large).isEmpty():
+        masks = masks.unionByName(_one_by_one(strings.where(large)))
+    judged = masks.where(F.rlike(F.hex("mask"), F.lit("[1-9A-F]")))
+    verdicts = written(plain.unionByName(judged), "verdicts")
+    marked = sites.select("k", "c", "n", "row", "start").join(verdicts.hint("merge"), ["k", "c"]).groupBy("row").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks"))
+    return rows.join(marked.hint("merge"), "row", "left").select("id", "raw", "marks")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
