@@ -4,7 +4,8 @@ Documents become pieces of at most `capacity` tokens; a full piece is a sequence
 into blocks of about BLOCK_PIECES by a hash of their number, so a task never sees more than that. Each block has
 ISLANDS populations of groupings. A generation picks whole well-filled bins of one parent and injects them into
 another: the bins there that hold an injected piece go, and the pieces which that displaces, with those of the
-emptiest bins, are best-fitted in descending order. After every round the best grouping of an island migrates to
+emptiest bins, are best-fitted in descending order. A round goes on while its best grouping gets better; none is
+needed once a block has the least possible number of sequences. After every round the best grouping of an island migrates to
 the next island of its block; rounds are separate jobs whose state lies in the shared folder. The best grouping
 of a block is used in the end.
 
@@ -31,11 +32,19 @@ CAPACITY = 2048
 SEPARATOR = 0
 BLOCK_PIECES = 16384
 ISLANDS = 2
-ROUNDS = 2
-POPULATION = 4
-GENERATIONS = 10
-#: Bins at least this full may be injected.
+ROUNDS = 3
+POPULATION = 8
+#: Most generations of a round; it ends before if the least possible number of bins is reached, or if the best
+#: grouping has not changed for PATIENCE generations.
+GENERATIONS = 400
+PATIENCE = 60
+#: Bins at least this full may be injected; the share of them that is, and the share of bins that is loosened.
 WELL_FILLED = 0.99
+INJECTED = (0.02, 0.2)
+LOOSENED = (0.01, 0.08)
+#: Passes in which displaced pieces change places with smaller ones, and the places looked at for each.
+EXCHANGES = 2
+TRIES = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 STATE = "block long, island int, bins long, squares double, grouping binary"
 
@@ -112,6 +121,31 @@ def seeded(sizes: np.ndarray, capacity: int, noise: float, random: np.random.Gen
     return grouping
 
 
+def exchange(sizes: np.ndarray, order: np.ndarray, grouping: np.ndarray, fills: list[int], capacity: int) -> np.ndarray:
+    """Best fit by exchange: a piece of `order` takes the place of a smaller one where that leaves the least room, at
+    most once a bin; changes `grouping` and `fills` and returns the pieces that have no bin then."""
+    placed = np.flatnonzero(grouping >= 0)
+    reach = sizes[placed] + capacity - np.array(fills, np.int64)[grouping[placed]]  # the largest piece that fits instead
+    rank = np.argsort(reach, kind="stable")
+    placed, reach = placed[rank].tolist(), reach[rank]
+    own, used, out = sizes.tolist(), set(), []
+    first = np.searchsorted(reach, sizes[order]).tolist()
+    for piece, at in zip(order.tolist(), first, strict=True):
+        size = own[piece]
+        for k in range(at, min(at + TRIES, len(placed))):
+            other = placed[k]
+            number = int(grouping[other])
+            if own[other] < size and number >= 0 and number not in used:
+                grouping[piece], grouping[other] = number, -1
+                fills[number] += size - own[other]
+                used.add(number)
+                out.append(other)
+                break
+        else:
+            out.append(piece)
+    return np.array(out, np.int64)
+
+
 def crossed(sizes: np.ndarray, receiver: np.ndarray, donor: np.ndarray, capacity: int, random: np.random.Generator) -> np.ndarray:
     """The receiver with some well-filled bins of the donor."""
     donor_fill = np.bincount(donor, sizes)
@@ -119,13 +153,14 @@ def crossed(sizes: np.ndarray, receiver: np.ndarray, donor: np.ndarray, capacity
     if not len(good):
         good = np.flatnonzero(donor_fill >= np.quantile(donor_fill, 0.75))
     chosen = np.zeros(len(donor_fill), bool)
-    chosen[random.choice(good, max(1, int(len(good) * random.uniform(0.1, 0.5))), replace=False)] = True
+    chosen[random.choice(good, max(1, int(len(good) * random.uniform(*INJECTED))), replace=False)] = True
     injected = chosen[donor]
     fill = np.bincount(receiver, sizes)
     gone = np.zeros(len(fill), bool)
     gone[receiver[injected]] = True  # they hold duplicates of injected pieces
-    emptiest = np.argsort(fill, kind="stable")[: max(1, len(fill) // 50)]
-    gone[emptiest] = True
+    # The emptiest bins, and some at random, give their pieces another chance.
+    loose = np.argsort(fill * random.uniform(0.9, 1, len(fill)), kind="stable")[: max(1, int(len(fill) * random.uniform(*LOOSENED)))]
+    gone[loose] = True
     displaced = gone[receiver] & ~injected
     kept = ~gone[receiver] & ~injected
     # Bins anew: the receiver's that stay, then the injected.
@@ -137,6 +172,8 @@ def crossed(sizes: np.ndarray, receiver: np.ndarray, donor: np.ndarray, capacity
     placed = kept | injected
     fills = np.bincount(out[placed], sizes[placed]).astype(int).tolist() if placed.any() else []
     order = np.flatnonzero(displaced)
+    for _ in range(EXCHANGES):
+        order = exchange(sizes, order[np.argsort(-sizes[order], kind="stable")], out, fills, capacity)
     best_fit(sizes, order[np.argsort(-sizes[order], kind="stable")], out, fills, capacity)
     return out
 
@@ -154,13 +191,17 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], seed: int, capacity:
         population.append(seeded(sizes, capacity, 0.0 if not population else 0.02 * len(population), random))
     rated = sorted(((fitness(sizes, g), g) for g in population), key=lambda x: x[0], reverse=True)[:POPULATION]
     least = -(-int(sizes.sum()) // capacity)
+    idle = 0
     for _ in range(generations):
-        if -rated[0][0][0] <= least:
-            break  # no grouping has fewer bins
+        if -rated[0][0][0] <= least or idle >= PATIENCE:
+            break  # no grouping has fewer bins, or none has been found for long
         a, b = random.choice(len(rated), 2, replace=False)
         receiver, donor = rated[min(a, b)][1], rated[max(a, b)][1]
         child = crossed(sizes, receiver, donor, capacity, random)
-        rated = sorted([*rated, (fitness(sizes, child), child)], key=lambda x: x[0], reverse=True)[:POPULATION]
+        rating = fitness(sizes, child)
+        idle = 0 if rating > rated[0][0] else idle + 1
+        if rating not in [r for r, _ in rated]:  # equals would crowd out others
+            rated = sorted([*rated, (rating, child)], key=lambda x: x[0], reverse=True)[:POPULATION]
     return [g for _, g in rated]
 
 
@@ -191,11 +232,10 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BL
         return _state(key[0], key[1], sizes, evolve(sizes, population, hash((key[0], key[1], len(population))) % 2**32, capacity))
 
     state = written(sized.groupBy("block", "island").applyInPandas(begin, STATE), "islands")
-    best = F.max_by("grouping", F.struct(-F.col("bins"), F.col("squares"))).alias("grouping")
+    first = F.max_by(F.struct("bins", "squares", "grouping"), F.struct(-F.col("bins"), F.col("squares"))).alias("first")
     for _ in range(rounds - 1):
-        elites = state.groupBy("block", "island").agg(F.min("bins").alias("bins"), F.max("squares").alias("squares"), best)
-        migrants = elites.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
-        both = state.unionByName(migrants).repartition(deal, "block", "island")
+        elites = state.groupBy("block", "island").agg(first).select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "first.*")
+        both = state.unionByName(elites).repartition(deal, "block", "island")
         state = written(sized.groupBy("block", "island").cogroup(both.groupBy("block", "island")).applyInPandas(go_on, STATE), "islands")
 
     def finish(key: tuple, items: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +246,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BL
         return items[[*columns, "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
     deal = min(blocks, deal)
-    chosen = state.groupBy("block").agg(best).repartition(deal, "block")
+    chosen = state.groupBy("block").agg(first).select("block", "first.grouping").repartition(deal, "block")
     schema = f"{PIECE}, sequence_id long, offset long"
     packed = placed.select("block", "number", *columns).repartition(deal, "block").groupBy("block").cogroup(chosen.groupBy("block")).applyInPandas(finish, schema)
     return packed.unionByName(whole)
