@@ -10,7 +10,8 @@ A file holds the ids of consecutive documents. Layout, little-endian:
     payload   blocks; id k of a block takes bits [k * bits, (k + 1) * bits), lowest bit first
 
 Blocks start on a byte, so any range of ids is read by seeking to its blocks, and NumPy unpacks a block at once.
-Rows are range-partitioned by identifier before encoding; every partition writes one file, under a name of its
+Rows are range-partitioned by identifier before encoding, rows of one identifier by their texts' hash and a number, so
+that no identifier, nor the lack of one, fills a task; every partition writes one file, under a name of its
 own that is then moved to the final one, so a task that runs again replaces equal content.
 
 Results for unusual input: null and empty texts have the end id only; null identifiers come first and are marked
@@ -36,8 +37,10 @@ from lamina.llm.common import LOWEST_ID, documents, id_key, scratch_path, small_
 
 MAGIC = b"LAMTOK01"
 BLOCK_IDS = 8192
-#: Text bytes that a file gets on average.
+#: Text bytes that a file gets on average: at least and at most, and the number of files that an input gets between.
 FILE_BYTES = 24 << 20
+MOST_FILE_BYTES = 192 << 20
+FILES = 10_000
 END_ID = 1
 
 
@@ -160,7 +163,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col:
     bits = bits_for(encoder(path).vocabulary)
     rows = docs.select(id_key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     if files is None:
-        files = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1, -(-total // min(MOST_FILE_BYTES, max(FILE_BYTES, total // FILES))))
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +186,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col:
             {"file": pa.array([number], pa.int64()), "path": [f"{folder}/tokens-{number:06d}.bin"], "n_docs": pa.array([len(writer.ends)], pa.int64()), "n_ids": pa.array([writer.count], pa.int64()), "n_bytes": pa.array([store.get_file_info(final).size], pa.int64())}
         )
 
-    ordered = rows.repartitionByRange(files, "key").sortWithinPartitions("key", F.xxhash64("text"))
+    # Rows of one identifier, as all without any, are told apart by text and number, so a range can end between them.
+    told = rows.withColumns({"h": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    ordered = told.repartitionByRange(files, "key", "h", "number").sortWithinPartitions("key", "h", "number").select("key", "text")
     return written(ordered.mapInArrow(run, "file long, path string, n_docs long, n_ids long, n_bytes long"), "token-files")
 
 
