@@ -33,10 +33,10 @@ SEPARATOR = 0
 BLOCK_PIECES = 16384
 ISLANDS = 2
 ROUNDS = 3
-POPULATION = 8
-#: Most generations of a round; it ends before if the least possible number of bins is reached, or if the best
-#: grouping has not changed for PATIENCE generations.
-GENERATIONS = 400
+POPULATION = 6
+#: Most generations of a round; it ends before if the least possible number of bins is reached, or if no grouping with
+#: fewer bins has come up for PATIENCE generations. An island that ended so goes on only when a better migrant arrives.
+GENERATIONS = 200
 PATIENCE = 60
 #: Bins at least this full may be injected; the share of them that is, and the share of bins that is loosened.
 WELL_FILLED = 0.99
@@ -46,7 +46,7 @@ LOOSENED = (0.01, 0.08)
 EXCHANGES = 2
 TRIES = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-STATE = "block long, island int, bins long, squares double, grouping binary"
+STATE = "block long, island int, bins long, squares double, grouping binary, done boolean, migrant boolean"
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -127,23 +127,26 @@ def exchange(sizes: np.ndarray, order: np.ndarray, grouping: np.ndarray, fills:
     placed = np.flatnonzero(grouping >= 0)
     reach = sizes[placed] + capacity - np.array(fills, np.int64)[grouping[placed]]  # the largest piece that fits instead
     rank = np.argsort(reach, kind="stable")
-    placed, reach = placed[rank].tolist(), reach[rank]
-    own, used, out = sizes.tolist(), set(), []
-    first = np.searchsorted(reach, sizes[order]).tolist()
-    for piece, at in zip(order.tolist(), first, strict=True):
-        size = own[piece]
-        for k in range(at, min(at + TRIES, len(placed))):
-            other = placed[k]
-            number = int(grouping[other])
-            if own[other] < size and number >= 0 and number not in used:
-                grouping[piece], grouping[other] = number, -1
-                fills[number] += size - own[other]
-                used.add(number)
-                out.append(other)
+    placed, first = placed[rank], np.searchsorted(reach[rank], sizes[order]).tolist()
+    bins, held, last = grouping[placed].tolist(), sizes[placed].tolist(), len(placed)
+    used = bytearray(len(fills))
+    moved, left = [], []
+    for n, (size, at) in enumerate(zip(sizes[order].tolist(), first, strict=True)):
+        for k in range(at, min(at + TRIES, last)):
+            number = bins[k]
+            if held[k] < size and not used[number]:
+                used[number] = 1
+                fills[number] += size - held[k]
+                moved.append((n, k, number))
                 break
         else:
-            out.append(piece)
-    return np.array(out, np.int64)
+            left.append(n)
+    if not moved:
+        return order
+    new, old, into = (np.array(x) for x in zip(*moved, strict=True))
+    grouping[placed[old]] = -1
+    grouping[order[new]] = into
+    return np.concatenate([order[left], placed[old]])
 
 
 def crossed(sizes: np.ndarray, receiver: np.ndarray, donor: np.ndarray, capacity: int, random: np.random.Generator) -> np.ndarray:
@@ -165,12 +168,10 @@ def crossed(sizes: np.ndarray, receiver: np.ndarray, donor: np.ndarray, capacity
     kept = ~gone[receiver] & ~injected
     # Bins anew: the receiver's that stay, then the injected.
     out = np.full(len(sizes), -1, np.int32)
-    _, own = np.unique(receiver[kept], return_inverse=True)
-    _, given = np.unique(donor[injected], return_inverse=True)
-    stay = int(own.max()) + 1 if len(own) else 0
-    out[kept], out[injected] = own, given + stay
-    placed = kept | injected
-    fills = np.bincount(out[placed], sizes[placed]).astype(int).tolist() if placed.any() else []
+    stay, given = np.bincount(receiver[kept], minlength=len(fill)) > 0, np.cumsum(chosen)
+    out[kept] = (np.cumsum(stay) - 1)[receiver[kept]]
+    out[injected] = int(stay.sum()) + given[donor[injected]] - 1
+    fills = [*fill[stay].astype(int).tolist(), *donor_fill[chosen].astype(int).tolist()]
     order = np.flatnonzero(displaced)
     for _ in range(EXCHANGES):
         order = exchange(sizes, order[np.argsort(-sizes[order], kind="stable")], out, fills, capacity)
@@ -184,30 +185,37 @@ def fitness(sizes: np.ndarray, grouping: np.ndarray) -> tuple[int, float]:
     return -len(fill), float((fill**2).sum())
 
 
-def evolve(sizes: np.ndarray, population: list[np.ndarray], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS) -> list[np.ndarray]:
-    """The population after some generations, best first; a population that is too small is filled up first."""
+def evolved(sizes: np.ndarray, population: list[np.ndarray], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS) -> tuple[list[np.ndarray], bool]:
+    """The population after some generations, best first, and whether it ended for want of anything better; a
+    population that is too small is filled up first, unless its first member is as good as any can be."""
     random = np.random.default_rng(seed)
-    while len(population) < POPULATION:
+    fewest = -(-int(sizes.sum()) // capacity)
+    while len(population) < POPULATION and not (population and population[0].max(initial=-1) < fewest):
         population.append(seeded(sizes, capacity, 0.0 if not population else 0.02 * len(population), random))
     rated = sorted(((fitness(sizes, g), g) for g in population), key=lambda x: x[0], reverse=True)[:POPULATION]
-    least = -(-int(sizes.sum()) // capacity)
     idle = 0
     for _ in range(generations):
-        if -rated[0][0][0] <= least or idle >= PATIENCE:
+        if -rated[0][0][0] <= fewest or idle >= PATIENCE:
             break  # no grouping has fewer bins, or none has been found for long
         a, b = random.choice(len(rated), 2, replace=False)
         receiver, donor = rated[min(a, b)][1], rated[max(a, b)][1]
         child = crossed(sizes, receiver, donor, capacity, random)
         rating = fitness(sizes, child)
-        idle = 0 if rating > rated[0][0] else idle + 1
+        idle = 0 if rating[0] > rated[0][0][0] else idle + 1
         if rating not in [r for r, _ in rated]:  # equals would crowd out others
             rated = sorted([*rated, (rating, child)], key=lambda x: x[0], reverse=True)[:POPULATION]
-    return [g for _, g in rated]
+    return [g for _, g in rated], -rated[0][0][0] <= fewest or idle >= PATIENCE
+
+
+def evolve(sizes: np.ndarray, population: list[np.ndarray], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS) -> list[np.ndarray]:
+    """The groupings of `evolved`."""
+    return evolved(sizes, population, seed, capacity, generations)[0]
 
 
-def _state(block: int, island: int, sizes: np.ndarray, population: list[np.ndarray]) -> pd.DataFrame:
+def _state(block: int, island: int, sizes: np.ndarray, evolved: tuple[list[np.ndarray], bool]) -> pd.DataFrame:
+    population, done = evolved
     rated = [fitness(sizes, g) for g in population]
-    return pd.DataFrame({"block": block, "island": island, "bins": [-b for b, _ in rated], "squares": [s for _, s in rated], "grouping": [g.astype("<i4").tobytes() for g in population]})
+    return pd.DataFrame({"block": block, "island": island, "bins": [-b for b, _ in rated], "squares": [s for _, s in rated], "grouping": [g.astype("<i4").tobytes() for g in population], "done": done, "migrant": False})
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
@@ -224,17 +232,20 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BL
 
     def begin(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         sizes = items.sort_values("number")["length"].to_numpy()
-        return _state(key[0], key[1], sizes, evolve(sizes, [], hash((key[0], key[1], 0)) % 2**32, capacity))
+        return _state(key[0], key[1], sizes, evolved(sizes, [], hash((key[0], key[1], 0)) % 2**32, capacity))
 
     def go_on(key: tuple, items: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        own, given = state[~state["migrant"]], state[state["migrant"]]
+        if own["done"].all() and own["bins"].min() <= given["bins"].min():
+            return own
         sizes = items.sort_values("number")["length"].to_numpy()
         population = [np.frombuffer(g, "<i4") for g in state.sort_values(["bins", "squares"], ascending=[True, False])["grouping"]]
-        return _state(key[0], key[1], sizes, evolve(sizes, population, hash((key[0], key[1], len(population))) % 2**32, capacity))
+        return _state(key[0], key[1], sizes, evolved(sizes, population, hash((key[0], key[1], len(population))) % 2**32, capacity))
 
     state = written(sized.groupBy("block", "island").applyInPandas(begin, STATE), "islands")
-    first = F.max_by(F.struct("bins", "squares", "grouping"), F.struct(-F.col("bins"), F.col("squares"))).alias("first")
+    first = F.max_by(F.struct("bins", "squares", "grouping", "done"), F.struct(-F.col("bins"), F.col("squares"))).alias("first")
     for _ in range(rounds - 1):
-        elites = state.groupBy("block", "island").agg(first).select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "first.*")
+        elites = state.groupBy("block", "island").agg(first).select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "first.*", F.lit(True).alias("migrant"))
         both = state.unionByName(elites).repartition(deal, "block", "island")
         state = written(sized.groupBy("block", "island").cogroup(both.groupBy("block", "island")).applyInPandas(go_on, STATE), "islands")
 
