@@ -113,12 +113,18 @@ class ChunkEncoder:
         split, merge = self.pattern.findall, self.merge
         parts = [split(" " + c.lower()) for c in chunks] if self.lower else [split(" " + c) for c in chunks]
         flat = list(chain.from_iterable(parts))
-        mapped = _BETWEEN.join(flat).encode().decode("latin-1").translate(self.table).split(self.between) if flat else []
+        # Many chunks share a part, as their last sign: each distinct one is merged once.
+        distinct = list(dict.fromkeys(flat))
+        mapped = _BETWEEN.join(distinct).encode().decode("latin-1").translate(self.table).split(self.between) if distinct else []
         lists = [[t.id for t in merge(p)] for p in mapped]
-        sizes = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum([len(x) for x in lists], out=sizes[1:])
-        ends = sizes[np.cumsum([len(p) for p in parts])]
-        self._append(chunks, np.array(list(chain.from_iterable(lists)), np.uint32), np.diff(ends, prepend=0))
+        ids, sizes = np.array(list(chain.from_iterable(lists)), np.uint32), np.array([len(x) for x in lists], np.int64)
+        place = dict(zip(distinct, range(len(distinct)), strict=True))
+        part = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        n = sizes[part]
+        before = np.cumsum(n) - n
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[part] - before, n) + np.arange(int(n.sum()))]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(p) for p in parts])]
+        self._append(chunks, ids, np.diff(ends, prepend=0))
 
     def _fresh(self, chunk: str) -> list[int]:
         if not _PLAIN.fullmatch(chunk):
