@@ -67,17 +67,20 @@ def interpolate(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Co
     return y0 + F.coalesce(F.try_divide(x - x0, x1 - x0), F.lit(0.0)) * (y1 - y0)
 
 
-def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, quantiles: list[float]) -> DataFrame:
+def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, quantiles: list[float], by_item: bool = False) -> DataFrame:
     """`keys, q, value`: quantiles of the cumulative weight share, linear between data points, clamped below the
-    first point. Equal values are one step, so ties need no order."""
-    steps = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
+    first point. Equal values are one step, so ties need no order; with `by_item` every row is a step of its own, which
+    takes a weight that depends on the value alone."""
+    steps = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("__w"), F.avg(weight).alias("__one"))
     ordered = Window.partitionBy(*keys).orderBy(value)
     share = F.sum("__w").over(ordered) / F.sum("__w").over(Window.partitionBy(*keys))
     first_share = F.col("__w") / F.sum("__w").over(Window.partitionBy(*keys))
     curve = steps.withColumns({"__share": share, "__own": first_share}).withColumns({"__before": F.lag("__share").over(ordered), "__last": F.lag(value).over(ordered)})
     spread = curve.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     here = (F.col("q") <= F.col("__share")) & (F.col("__before").isNull() | (F.col("q") > F.col("__before")))
-    got = F.when(F.col("__before").isNull(), F.col(value).cast("double")).otherwise(interpolate(F.col("q"), F.col("__before"), F.col("__last"), F.col("__share"), F.col(value)))
+    reached = F.col("__before") + F.col("__own") * F.col("__one") / F.col("__w") if by_item else F.col("__share")
+    between = interpolate(F.col("q"), F.col("__before"), F.col("__last"), reached, F.col(value))
+    got = F.when(F.col("__before").isNull() | (F.col("q") > reached), F.col(value).cast("double")).otherwise(between)
     return spread.where(here).select(*keys, "q", got.alias("value"))
 
 

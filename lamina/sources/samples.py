@@ -79,8 +79,13 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     own = parsed(files.select("path", F.sha1("content").alias("sha")), "path")
     first = Window.partitionBy("sample_id", "channel").orderBy("path")
     kept = own.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return fingerprint(kept)
+
+
+def fingerprint(channels: DataFrame) -> DataFrame:
+    """`sample_id, fingerprint` of the digests `sample_id, channel, sha`, a row for each channel."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("channel", "sha"))), lambda x: F.concat_ws(":", x["channel"], x["sha"])), ",")
-    return kept.groupBy("sample_id").agg(F.substring(F.sha1(joined), 1, 12).alias("fingerprint"))
+    return channels.groupBy("sample_id").agg(F.substring(F.sha1(joined), 1, 12).alias("fingerprint"))
 
 
 def manifest_sizes(manifest: DataFrame, listing: DataFrame) -> DataFrame:
