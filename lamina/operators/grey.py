@@ -231,3 +231,57 @@ def squared_distances(on: DataFrame, off: DataFrame) -> DataFrame:
     other = rows.select("image", F.col("r").alias("q"), "c", "h")
     found = asked.join(other, ["image", "q", "c"], "left").groupBy(*PLACE).agg(F.least(F.min(F.col("h") ** 2 + (F.col("r") - F.col("q")) ** 2), F.max(F.col("reach") ** 2)).alias("d2"))
     return found.select(*PLACE, F.col("d2").cast("long").alias("d2"))
+
+
+def eroded_times(on: DataFrame, times: int) -> DataFrame:
+    for _ in range(times):
+        on = eroded(on)
+    return on
+
+
+def dilated_times(on: DataFrame, height: int, width: int, times: int) -> DataFrame:
+    for _ in range(times):
+        on = dilated(on, height, width)
+    return on
+
+
+def core_median(pixels: DataFrame, mask: DataFrame, times: int, name: str, least: int = 50) -> DataFrame:
+    """`image, name`: the median level inside the mask eroded a few times, or in all of it if too little is left."""
+    own = mask.join(pixels, PLACE)
+    core = eroded_times(mask, times).withColumn("core", F.lit(True))
+    both = own.join(core, PLACE, "left").groupBy("image").agg(F.count("core").alias("n"), F.percentile(F.when(F.col("core"), F.col("g")), F.lit(0.5)).alias("inner"), F.percentile("g", F.lit(0.5)).alias("whole"))
+    return both.select("image", F.when(F.col("n") >= least, F.col("inner")).otherwise(F.col("whole")).alias(name))
+
+
+def edge_runs(flags: DataFrame, size: int, most: int | None = None) -> DataFrame:
+    """`image, first, last, inner` of the flagged positions `image, at`: how many in a row at either end (none if more
+    than `most`), and how many others."""
+    order = Window.partitionBy("image").orderBy("at")
+    back = Window.partitionBy("image").orderBy(F.desc("at"))
+    placed = flags.withColumns({"__a": F.row_number().over(order) - 1, "__b": F.row_number().over(back) - 1})
+    each = placed.groupBy("image").agg(F.count(F.when(F.col("__a") == F.col("at"), 1)).alias("first"), F.count(F.when(F.col("__b") == size - 1 - F.col("at"), 1)).alias("last"), F.count(F.lit(1)).alias("n"))
+    limit = size if most is None else most
+    return each.select("image", *[F.when(F.col(c) <= limit, F.col(c)).otherwise(0).alias(c) for c in ("first", "last")], (F.col("n") - F.col("first") - F.col("last")).alias("inner"))
+
+
+def bad_columns(pixels: DataFrame) -> DataFrame:
+    """`image, at` of the columns in most of whose pixels the colours `g, red, blue` differ."""
+    differ = (F.col("red") != F.col("g")) | (F.col("blue") != F.col("g"))
+    return pixels.groupBy("image", F.col("c").alias("at")).agg(F.avg(differ.cast("double")).alias("share")).where("share > 0.5").select("image", "at")
+
+
+def edge_bands(pixels: DataFrame, height: int, width: int, dark: float, rough: float) -> DataFrame:
+    """`image, at` of the rows in a band that is dark in `g` and locally rough in `e`, by the mean of the flags of nine rows
+    (mirrored at the frame)."""
+    second = pixels.select(*PLACE, F.col("e").alias("g"))
+    square = pixels.select(*PLACE, (F.col("e") * F.col("e")).alias("g"))
+    local = local_mean(square, height, width).withColumnRenamed("m", "q").join(local_mean(second, height, width), PLACE).withColumn("v", F.round(F.col("q") - F.col("m") ** 2, 6))
+    both = pixels.join(local, PLACE)
+    half = F.lit(0.5)
+    whole = both.groupBy("image").agg(F.percentile("g", half).alias("gm"), F.percentile("v", half).alias("vm"))
+    rows = both.groupBy("image", "r").agg(F.percentile("g", half).alias("rg"), F.percentile("v", half).alias("rv")).join(whole, "image")
+    flags = rows.select("image", "r", F.lit(0).cast("long").alias("c"), ((F.col("rg") < dark * F.col("gm")) & (F.col("rv") > rough * F.col("vm"))).cast("double").alias("m"))
+    s = F.col("r").cast("int")
+    places = F.flatten(F.transform(F.array(*[F.lit(k) for k in range(-4, 5)]), lambda k: F.array(s - k, -s - 1 - k, 2 * height - 1 - s - k)))
+    targets = F.transform(F.filter(places, lambda t: (t >= 0) & (t < height)), lambda t: F.struct(t.cast("long").alias("at"), F.lit(1.0 / 9).alias("w")))
+    return _handed(flags, "r", "m", targets).where(F.round("m", 9) > 0.5).select("image", F.col("r").alias("at"))

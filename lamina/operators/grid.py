@@ -11,11 +11,24 @@ from pyspark.sql import functions as F
 from lamina.functions.tables import stored
 
 
+#: Positions of a line that one task looks at together, and columns of a bucket in which runs look for neighbours.
+PART = 4096
+BUCKET = 256
+
+
 def runs(pixels: DataFrame, line: str = "row", at: str = "col") -> DataFrame:
     """`line, first, last` of each maximal run of set pixels along a line: pixels of a run share the difference of
-    position and rank."""
-    rank = F.row_number().over(Window.partitionBy(line).orderBy(at))
-    return pixels.where("on").withColumn("__g", F.col(at) - rank).groupBy(line, "__g").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("__g")
+    position and rank. Lines are cut into parts first, so that a few long lines fill many tasks; only the runs at the
+    ends of parts, two a part, have to be put together again."""
+    rank = F.row_number().over(Window.partitionBy(line, "__part").orderBy(at))
+    cut = pixels.where("on").withColumn("__part", F.floor(F.col(at) / PART))
+    each = cut.withColumn("__g", F.col(at) - rank).groupBy(line, "__part", "__g").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    open_ = (F.pmod("first", F.lit(PART)) == 0) | (F.pmod(F.col("last") + 1, F.lit(PART)) == 0)
+    ordered = Window.partitionBy(line).orderBy("first")
+    starts = F.coalesce((F.col("first") != F.lag("last").over(ordered) + 1).cast("int"), F.lit(1))
+    ends = each.where(open_).withColumn("__new", starts).withColumn("__run", F.sum("__new").over(ordered))
+    whole = ends.groupBy(line, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return each.where(~open_).select(line, "first", "last").unionByName(whole.select(line, "first", "last"))
 
 
 def chords(pixels: DataFrame, line: str, at: str, size: int | None = None) -> DataFrame:
@@ -68,13 +81,23 @@ def euler_number(pixels: DataFrame) -> DataFrame:
 _PARTS = [(1, 0, 0), (2, 0, 0), (2, 0, 1), (3, 0, 0), (3, 1, 0), (4, 0, 0), (4, 0, 1), (4, 1, 0), (4, 1, 1)]
 
 
-def components(pixels: DataFrame) -> DataFrame:
-    """`row, first, last, component` of every run, 4-connected: the smallest run number (row * 2^32 + first) that
-    can be reached. Labels sink to the smallest neighbour and jump along their own labels; each round is stored."""
+def components(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
+    """`row, first, last, component` of every run, connected along four directions, or eight with `diagonal`: the
+    smallest run number (row * 2^32 + first) that can be reached. Labels sink to the smallest neighbour and jump along
+    their own labels; each round is stored."""
     node = F.col("row").cast("long") * F.lit(2**32) + F.col("first").cast("long")
     line = stored(runs(pixels).withColumn("node", node), "runs")
-    below = line.select((F.col("row") - 1).alias("row"), F.col("first").alias("f2"), F.col("last").alias("l2"), F.col("node").alias("other"))
-    touch = line.join(below, (line["row"] == below["row"]) & (F.col("first") <= F.col("l2")) & (F.col("f2") <= F.col("last"))).select("node", "other")
+    # Runs look for neighbours in buckets of columns, so that two wide rows are not compared run by run; of the
+    # buckets that two runs share, the one where the later of them starts counts.
+    reach = int(diagonal)
+
+    def bucketed(rows: DataFrame, first: str, last: str) -> DataFrame:
+        return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(first) / BUCKET), F.floor(F.col(last) / BUCKET))))
+
+    here = bucketed(line.select("row", "node", "first", (F.col("last") + reach).alias("end")), "first", "end")
+    below = bucketed(line.select((F.col("row") - 1).alias("row"), F.col("first").alias("f2"), (F.col("last") + reach).alias("l2"), F.col("node").alias("other")), "f2", "l2")
+    overlap = (F.col("first") <= F.col("l2")) & (F.col("f2") <= F.col("end")) & (F.col("bucket") == F.floor(F.greatest("first", "f2") / BUCKET))
+    touch = here.join(below, ["row", "bucket"]).where(overlap).select("node", "other")
     edges = stored(touch.unionByName(touch.select(F.col("other").alias("node"), F.col("node").alias("other"))), "edges")
     labels = line.select("node", F.col("node").alias("label"))
     while True:

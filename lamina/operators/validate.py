@@ -99,9 +99,9 @@ def likelihood(chances: DataFrame) -> DataFrame:
     hit = (F.col("candidate") == F.col("batch")).cast("double")
     top = F.max(F.struct(F.round("p", A.P_DIGITS).alias("p"), (-F.col("candidate")).alias("c")))
     each = chances.groupBy("sample_id", "batch").agg(F.sum(F.col("p") * hit).alias("pt"), F.sum((F.col("p") - hit) ** 2).alias("b"), top.alias("top"))
+    largest = each.groupBy("batch").count().agg(F.max("count").alias("size"))
     size = F.max(F.col("size"))
-    sized = each.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("batch")))
-    return sized.agg(
+    return each.crossJoin(F.broadcast(largest)).agg(  # one row
         F.count(F.lit(1)).alias("n"),
         F.avg(-F.log(F.greatest(F.col("pt"), F.lit(A.LEAST_P)))).alias("nll"),
         F.avg("b").alias("brier"),

@@ -192,9 +192,84 @@ def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.groupBy("image").agg(*counts, *bounds, F.avg("conflict").alias("conflict")), "conflict", digits=6)
 
 
+def material_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    parts = [Y.core_median(px, _mask(px, name), times, name, least=20) for name, times in (("si", 1), ("carbon", 1), ("pore", 1))]
+    both = parts[0].join(parts[1], "image", "full").join(parts[2], "image", "full")
+    value = F.when(F.col("carbon") > F.col("pore"), (F.col("si") - F.col("carbon")) / (F.col("carbon") - F.col("pore")))
+    return rounded(both.select("image", "si", "carbon", "pore", value.alias("contrast")), "si", "carbon", "pore", "contrast")
+
+
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies two to four pixels from silicon."""
+    px = pixels(spark, sf_dir)
+    si = px.where("g > 190").select(*Y.PLACE)  # the brightest only: almost all pixels are near some silicon
+    near = Y.dilated(si, HEIGHT, WIDTH)
+    ring = Y.dilated_times(near, HEIGHT, WIDTH, 3).join(near, Y.PLACE, "left_anti").join(px, Y.PLACE)
+    p = Y.phases(LOW, HIGH)
+    return rounded(ring.groupBy("image").agg(F.count(F.lit(1)).alias("n"), *[F.avg(p[k].cast("double")).alias(k) for k in ("pore", "carbon")]), "pore", "carbon")
+
+
+def exposed_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silicon, weighted three times, and carbon next to pores, by area: a proxy of the first cycle's loss."""
+    px = pixels(spark, sf_dir)
+    pore = _mask(px, "pore")
+    ring = Y.dilated(pore, HEIGHT, WIDTH).join(pore, Y.PLACE, "left_anti").join(px, Y.PLACE)
+    si = F.count(F.when(F.col("g") >= HIGH, 1))
+    return rounded(ring.groupBy("image").agg(si.alias("si"), (F.count(F.lit(1)) - si).alias("carbon")).withColumn("index", (3 * F.col("si") + F.col("carbon")) / (HEIGHT * WIDTH) / PIXEL_UM), "index")
+
+
+def inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bright components, connected along eight directions, of 2 pixels or more."""
+    on = pixels(spark, sf_dir).where("g > 190").select(*Y.PLACE)
+    runs = G.components(on.select((F.col("image") * STEP + F.col("r")).alias("row"), F.col("c").alias("col"), F.lit(True).alias("on")), diagonal=True)
+    found = G.component_sizes(runs).withColumn("image", F.floor(F.col("top") / STEP)).groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n_pixels") >= 2, 1)).alias("n_large"), F.max("n_pixels").alias("largest"))
+    return found
+
+
+def threshold_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of the pore share by a level of the threshold."""
+    low, high = ((F.col("g") < LOW + d).cast("double") for d in (-3, 3))
+    return rounded(pixels(spark, sf_dir).groupBy("image").agg(((F.avg(high) - F.avg(low)) / 6).alias("slope")), "slope")
+
+
+def image_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Euler number of the pores by square millimetre: pixels less pairs plus full squares."""
+    on = _mask(pixels(spark, sf_dir), "pore")
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for k, a, b in G._PARTS])
+    each = on.select("image", "r", "c", F.explode(parts).alias("p")).groupBy("image", (F.col("r") - F.col("p.dr")).alias("r"), (F.col("c") - F.col("p.dc")).alias("c"), F.col("p.k").alias("k")).count()
+    full = each.where(F.col("count") == F.element_at(F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(4)), F.col("k")))
+    sign = F.sum(F.when(F.col("k").isin(2, 3), -1).otherwise(1)).cast("long")
+    return full.groupBy("image").agg(sign.alias("euler")).withColumn("density_mm2", F.round(F.col("euler") / (HEIGHT * WIDTH * PIXEL_UM**2 * 1e-6), 2))
+
+
+def edge_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns at the frame whose colours differ, to be cropped, and those inside, which are only flagged. Colours are
+    made from the grey level, with differences in a few columns."""
+    c, r, image = F.col("c"), F.col("r"), F.col("image")
+    off = ((c < F.pmod(image, F.lit(4))) | (c >= WIDTH - 2) | (c == 20 + image)) & (F.pmod(r, F.lit(10)) < 6)
+    px = pixels(spark, sf_dir).withColumns({"red": F.col("g") + off.cast("int"), "blue": F.col("g")})
+    return Y.edge_runs(Y.bad_columns(px), WIDTH)
+
+
+def edge_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of dark and rough rows at the frame. The first channel is made darker, the second rougher, near the top."""
+    dark = F.col("r") < F.pmod("image", F.lit(7))
+    px = pixels(spark, sf_dir).withColumns({"e": F.when(dark, 3 * (F.col("g") - 128) + 128).otherwise(F.col("g")), "g": F.when(dark, F.floor(F.col("g") / 3)).otherwise(F.col("g"))})
+    return Y.edge_runs(Y.edge_bands(px, HEIGHT, WIDTH, 0.6, 2.0), HEIGHT, HEIGHT // 10)
+
+
+def grey_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of 16 bins with their share, the table behind a figure of distributions."""
+    px = pixels(spark, sf_dir)
+    each = px.groupBy("image", F.least(F.floor(F.col("g") / 16), F.lit(15)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("share", F.round(F.col("n") / (HEIGHT * WIDTH), 8))
+
+
 QUERIES = (
     image_fractions, strip_fractions, strip_cv, depth_slopes, chord_statistics, smoothing, noise_level, morphology, otsu_thresholds, shading_flag, image_gates, block_labels, block_audit,
     local_means, manual_masks, sensitivity, particle_sizes, pore_connectivity, hysteresis, distance_transform, evidence_fusion,
+    material_contrast, contacts, exposed_interface, inclusions, threshold_slope, image_euler, edge_crop, edge_band, grey_histograms,
 )
 
 
@@ -262,6 +337,13 @@ bl AS (SELECT image, br, bc, (CASE WHEN count(*) > 1 THEN 3 ELSE min(p) END)::BI
     def varied(name: str, low: int, high: int, src: str = "px") -> str:
         return f"SELECT '{name}' AS variation, image, count(*) FILTER (g >= {high}) / greatest(count(*) FILTER (g >= {low}), 1)::DOUBLE AS s, avg((g < {low})::INT) AS p FROM {src} GROUP BY image"
 
+    core = (
+        _PX
+        + f""", d5 AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dr, dc)), ph AS (SELECT *, CASE WHEN g < {LOW} THEN 'pore' WHEN g >= {HIGH} THEN 'si' ELSE 'carbon' END AS p FROM px),
+er AS (SELECT s.image, s.r, s.c, s.p FROM ph s, d5 JOIN ph t ON t.image = s.image AND t.r = s.r + dr AND t.c = s.c + dc AND t.p = s.p GROUP BY ALL HAVING count(*) = 5),
+md AS (SELECT ph.image, ph.p, CASE WHEN count(er.r) >= 20 THEN median(g) FILTER (er.r IS NOT NULL) ELSE median(g) END AS m FROM ph LEFT JOIN er ON er.image = ph.image AND er.r = ph.r AND er.c = ph.c GROUP BY ALL),
+mc AS (SELECT image, max(m) FILTER (p = 'si') AS si, max(m) FILTER (p = 'carbon') AS carbon, max(m) FILTER (p = 'pore') AS pore FROM md GROUP BY image)"""
+    )
     change = "round(max(abs((m.{0} - b.{0}) / nullif(abs(b.{0}), 0))) FILTER (m.variation = '{1}'), 8) AS {1}"
     return {
         "image_fractions": _PX + f" SELECT image, {_FRACTIONS} FROM px GROUP BY image",
@@ -346,4 +428,42 @@ n AS (SELECT *, (pp * (ep + 0.1::DOUBLE) + pb * ep + pb * 0.1::DOUBLE / 2) / gre
 l AS (SELECT *, CASE WHEN g >= {HIGH} THEN 2 WHEN bp >= bc THEN 0 ELSE 1 END AS mid, g < {HIGH} AND (conflict > 0.3 OR (greatest(bp, bc) < 0.6 AND abs(bp - bc) < 0.2)) AS unsure FROM n)
 SELECT image, count(*) FILTER (mid = 0) AS pore, count(*) FILTER (mid = 1) AS carbon, count(*) FILTER (mid = 2) AS si, count(*) FILTER (mid = 0 AND NOT unsure) AS pore_least,
        count(*) FILTER (mid = 0 OR unsure) AS pore_most, round(avg(conflict), 6) AS conflict FROM l GROUP BY image""",
+        "material_contrast": core + " SELECT image, round(si, 8) AS si, round(carbon, 8) AS carbon, round(pore, 8) AS pore, round(CASE WHEN carbon > pore THEN (si - carbon) / (carbon - pore) END, 8) AS contrast FROM mc",
+        "contacts": _PX
+        + f""", s AS (SELECT image, r, c FROM px WHERE g > 190),
+d AS (SELECT p.image, p.r, p.c, p.g, min(abs(p.r - s.r) + abs(p.c - s.c)) AS d FROM px p JOIN s ON s.image = p.image AND abs(p.r - s.r) + abs(p.c - s.c) <= 4 GROUP BY ALL)
+SELECT image, count(*) AS n, round(avg((g < {LOW})::INT), 8) AS pore, round(avg((g >= {LOW} AND g < {HIGH})::INT), 8) AS carbon FROM d WHERE d >= 2 GROUP BY image""",
+        "exposed_interface": _PX
+        + f""", d AS (SELECT DISTINCT p.image, p.r, p.c, p.g FROM px p JOIN px q ON q.image = p.image AND abs(p.r - q.r) + abs(p.c - q.c) = 1 AND q.g < {LOW} WHERE p.g >= {LOW})
+SELECT image, count(*) FILTER (g >= {HIGH}) AS si, count(*) FILTER (g < {HIGH}) AS carbon,
+       round((3 * count(*) FILTER (g >= {HIGH}) + count(*) FILTER (g < {HIGH})) / {HEIGHT * WIDTH}::DOUBLE / {PIXEL_UM}::DOUBLE, 8) AS index FROM d GROUP BY image""",
+        "inclusions": _PX
+        + f""", o AS (SELECT image, image * 10000 + r * 100 + c AS id, r, c FROM px WHERE g > 190),
+e AS (SELECT a.id AS u, b.id AS v FROM o a JOIN o b ON b.image = a.image AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.id <> b.id),
+reach(id, label) AS (SELECT id, id FROM o UNION SELECT e.v, reach.label FROM reach JOIN e ON e.u = reach.id WHERE reach.label < e.v),
+l AS (SELECT id, min(label) AS label FROM reach GROUP BY id), s AS (SELECT image, label, count(*) AS n FROM l JOIN o USING (id) GROUP BY ALL)
+SELECT image, count(*) AS n, count(*) FILTER (n >= 2) AS n_large, max(n) AS largest FROM s GROUP BY image""",
+        "threshold_slope": _PX + f" SELECT image, round((avg((g < {LOW + 3})::INT) - avg((g < {LOW - 3})::INT)) / 6, 8) AS slope FROM px GROUP BY image",
+        "image_euler": _PX
+        + f""", o AS (SELECT image, r, c FROM px WHERE g < {LOW}),
+t AS (SELECT a.image, 1 AS s FROM o a UNION ALL SELECT a.image, -1 FROM o a JOIN o b ON b.image = a.image AND (b.r = a.r AND b.c = a.c + 1 OR b.c = a.c AND b.r = a.r + 1)
+  UNION ALL SELECT a.image, 1 FROM o a JOIN o b ON b.image = a.image AND b.r = a.r AND b.c = a.c + 1 JOIN o d ON d.image = a.image AND d.r = a.r + 1 AND d.c = a.c JOIN o f ON f.image = a.image AND f.r = a.r + 1 AND f.c = a.c + 1)
+SELECT image, sum(s)::BIGINT AS euler, round(sum(s) / ({HEIGHT} * {WIDTH} * {PIXEL_UM}::DOUBLE ** 2 * 1e-6::DOUBLE), 2) AS density_mm2 FROM t GROUP BY image""",
+        "edge_crop": _PX
+        + f""", bad AS (SELECT image, c FROM px GROUP BY image, c HAVING avg(((c < image % 4 OR c >= {WIDTH - 2} OR c = 20 + image) AND r % 10 < 6)::INT) > 0.5),
+good AS (SELECT image, min(c) AS a, max(c) AS b FROM (SELECT DISTINCT image, c FROM px) WHERE (image, c) NOT IN (SELECT (image, c) FROM bad) GROUP BY image)
+SELECT image, count(*) FILTER (c < a) AS first, count(*) FILTER (c > b) AS last, count(*) FILTER (c > a AND c < b) AS inner FROM bad JOIN good USING (image) GROUP BY image""",
+        "edge_band": _PX
+        + f""", z AS (SELECT image, r, c, CASE WHEN r < image % 7 THEN g // 3 ELSE g END AS g, CASE WHEN r < image % 7 THEN 3 * (g - 128) + 128 ELSE g END AS e FROM px),
+f AS (SELECT size, reach, p, CASE WHEN t < 0 THEN -t - 1 WHEN t >= size THEN 2 * size - 1 - t ELSE t END AS at
+      FROM (SELECT size, reach, p, p + k AS t FROM (SELECT {HEIGHT} AS size, unnest(range({HEIGHT})) AS p UNION ALL SELECT {WIDTH}, unnest(range({WIDTH}))), (VALUES (2), (4)) v(reach), (SELECT unnest(range(-4, 5)) AS k) WHERE abs(k) <= reach)),
+h AS (SELECT image, r, f.p AS c, avg(e) AS m, avg(e * e) AS q FROM z JOIN f ON f.size = {WIDTH} AND f.reach = 2 AND f.at = z.c GROUP BY ALL),
+b AS (SELECT image, f.p AS r, c, round(avg(q) - avg(m) ** 2, 6) AS v FROM h JOIN f ON f.size = {HEIGHT} AND f.reach = 2 AND f.at = h.r GROUP BY ALL),
+w AS (SELECT image, median(g) AS gm, median(v) AS vm FROM z JOIN b USING (image, r, c) GROUP BY image),
+fl AS (SELECT image, r, (median(g) < 0.6::DOUBLE * any_value(gm) AND median(v) > 2 * any_value(vm))::INT AS flag FROM z JOIN b USING (image, r, c) JOIN w USING (image) GROUP BY image, r),
+sm AS (SELECT image, f.p AS r, round(avg(flag), 9) > 0.5 AS bad FROM fl JOIN f ON f.size = {HEIGHT} AND f.reach = 4 AND f.at = fl.r GROUP BY ALL),
+g AS (SELECT image, min(r) FILTER (NOT bad) AS a, max(r) FILTER (NOT bad) AS b FROM sm GROUP BY image),
+n AS (SELECT image, count(*) FILTER (r < a) AS x, count(*) FILTER (r > b) AS y, count(*) AS n FROM sm JOIN g USING (image) WHERE bad GROUP BY image)
+SELECT image, CASE WHEN x <= 5 THEN x ELSE 0 END AS first, CASE WHEN y <= 5 THEN y ELSE 0 END AS last, n - x - y AS inner FROM n""",
+        "grey_histograms": _PX + f" SELECT image, least(g // 16, 15) AS bin, count(*) AS n, round(count(*) / {HEIGHT * WIDTH}::DOUBLE, 8) AS share FROM px GROUP BY ALL",
     }
