@@ -285,3 +285,16 @@ def edge_bands(pixels: DataFrame, height: int, width: int, dark: float, rough: f
     places = F.flatten(F.transform(F.array(*[F.lit(k) for k in range(-4, 5)]), lambda k: F.array(s - k, -s - 1 - k, 2 * height - 1 - s - k)))
     targets = F.transform(F.filter(places, lambda t: (t >= 0) & (t < height)), lambda t: F.struct(t.cast("long").alias("at"), F.lit(1.0 / 9).alias("w")))
     return _handed(flags, "r", "m", targets).where(F.round("m", 9) > 0.5).select("image", F.col("r").alias("at"))
+
+
+def without_islands(labels: DataFrame, small: DataFrame, height: int, width: int) -> DataFrame:
+    """`image, r, c, label, own`: pixels `small` (image, r, c) of a label map (label 0 pore, 1 carbon, 2 silicon) take the most
+    frequent label of the 25 around them that are not small, silicon counting as carbon; `own` is the label before."""
+    marked = labels.join(small.withColumn("small", F.lit(True)), PLACE, "left")
+    out = marked
+    for k in range(3):
+        votes = local_mean(marked.select(*PLACE, ((F.col("label") == k) & F.col("small").isNull()).cast("int").alias("g")), height, width)
+        out = out.join(votes.select(*PLACE, F.round(F.col("m") * 25).alias(f"v{k}")), PLACE)
+    most = F.greatest("v0", "v1", "v2")
+    chosen = F.when(F.col("v0") == most, 0).otherwise(1)
+    return out.select(*PLACE, F.when(F.col("small"), chosen).otherwise(F.col("label")).cast("long").alias("label"), F.col("label").alias("own"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,28 +12,21 @@ from lamina.operators import image as I
 from lamina.operators import transport as T
 from lamina.plans.baseline_queries import _LINES, rounded
 
-PHANTOMS = 8
 TILE_ROWS = 50
 
 
-def _phantoms(spark: SparkSession, labels: bool) -> DataFrame:
-    """Made-up images, or their true labels, drawn on the executors."""
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for seed in batch["id"]:
-                image, truth = I.synthetic(int(seed))
-                yield pd.DataFrame({"sample_id": [f"phantom{seed}"], "height": [image.shape[0]], "width": [image.shape[1]], "pixels": [(truth if labels else image).tobytes()]})
-
-    return with_workers(spark).range(PHANTOMS).repartition(PHANTOMS).mapInPandas(draw, I.IMAGE)
-
-
 def image_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.measure(_phantoms(spark, False)), "value")
+    """The array kernels over the grey images that embeddings make up."""
+    from lamina.plans.raster_queries import pixels
+
+    def draw(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
+        image = np.zeros((int(part["r"].max()) + 1, int(part["c"].max()) + 1), np.uint8)
+        image[part["r"].to_numpy(), part["c"].to_numpy()] = part["g"].to_numpy()
+        return pd.DataFrame({"sample_id": [f"image{key[0]}"], "height": [image.shape[0]], "width": [image.shape[1]], "pixels": [image.tobytes()]})
 
-def transport_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.simulate(_phantoms(spark, True)), "value")
+    return rounded(I.measure(pixels(with_workers(spark), sf_dir).groupBy("image").applyInPandas(draw, I.IMAGE)), "value")
 
 
 def raster_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +64,7 @@ def simulation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (image_kpis, transport_simulation, raster_transport, bootstrap_ci, simulation_indices, simulation_summary)}
+    return {f.__name__: f for f in (image_kpis, raster_transport, bootstrap_ci, simulation_indices, simulation_summary)}
 
 
 def oracle_sql() -> dict[str, str]:

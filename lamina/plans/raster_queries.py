@@ -266,10 +266,25 @@ def grey_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("share", F.round(F.col("n") / (HEIGHT * WIDTH), 8))
 
 
+def island_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label maps with pores and carbon of fewer than 4 connected pixels given to what surrounds them."""
+    p = Y.phases(LOW, HIGH)
+    labels = stored(pixels(spark, sf_dir).select(*Y.PLACE, F.when(p["pore"], 0).when(p["si"], 2).otherwise(1).cast("long").alias("label")), "labels")
+    small = None
+    for k in (0, 1):
+        runs = _labelled(labels.where(F.col("label") == k).select(*Y.PLACE))
+        few = G.component_sizes(runs).where("n_pixels < 4").select("component")
+        part = runs.join(few, "component").select(F.floor(F.col("row") / STEP).alias("image"), F.pmod("row", F.lit(STEP)).alias("r"), F.explode(F.sequence("first", "last")).alias("c"))
+        small = part if small is None else small.unionByName(part)
+    out = Y.without_islands(labels, small, HEIGHT, WIDTH)
+    return out.groupBy("image", "own", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = (
     image_fractions, strip_fractions, strip_cv, depth_slopes, chord_statistics, smoothing, noise_level, morphology, otsu_thresholds, shading_flag, image_gates, block_labels, block_audit,
     local_means, manual_masks, sensitivity, particle_sizes, pore_connectivity, hysteresis, distance_transform, evidence_fusion,
     material_contrast, contacts, exposed_interface, inclusions, threshold_slope, image_euler, edge_crop, edge_band, grey_histograms,
+    island_removal,
 )
 
 
@@ -466,4 +481,16 @@ g AS (SELECT image, min(r) FILTER (NOT bad) AS a, max(r) FILTER (NOT bad) AS b F
 n AS (SELECT image, count(*) FILTER (r < a) AS x, count(*) FILTER (r > b) AS y, count(*) AS n FROM sm JOIN g USING (image) WHERE bad GROUP BY image)
 SELECT image, CASE WHEN x <= 5 THEN x ELSE 0 END AS first, CASE WHEN y <= 5 THEN y ELSE 0 END AS last, n - x - y AS inner FROM n""",
         "grey_histograms": _PX + f" SELECT image, least(g // 16, 15) AS bin, count(*) AS n, round(count(*) / {HEIGHT * WIDTH}::DOUBLE, 8) AS share FROM px GROUP BY ALL",
+        "island_removal": _PX
+        + f""", k AS (SELECT unnest(range(-2, 3)) AS k),
+lb AS (SELECT image, image * 10000 + r * 100 + c AS id, r, c, CASE WHEN g < {LOW} THEN 0 WHEN g >= {HIGH} THEN 2 ELSE 1 END AS l FROM px),
+e AS (SELECT a.id AS u, b.id AS v FROM lb a JOIN lb b ON b.image = a.image AND b.l = a.l AND (b.r = a.r AND b.c = a.c + 1 OR b.c = a.c AND b.r = a.r + 1) WHERE a.l < 2),
+e2 AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+near AS (SELECT id AS a, id AS b FROM lb WHERE l < 2 UNION SELECT u, v FROM e2 UNION SELECT x.u, y.v FROM e2 x JOIN e2 y ON x.v = y.u UNION SELECT x.u, z.v FROM e2 x JOIN e2 y ON x.v = y.u JOIN e2 z ON y.v = z.u),
+sm AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) < 4),
+big AS (SELECT lb.*, sm.id IS NOT NULL AS small FROM lb LEFT JOIN sm USING (id)),
+ar AS (SELECT s.id, a.k AS dr, b.k AS dc, CASE WHEN r + a.k < 0 THEN -(r + a.k) - 1 WHEN r + a.k >= {HEIGHT} THEN {2 * HEIGHT - 1} - r - a.k ELSE r + a.k END AS r2,
+              CASE WHEN c + b.k < 0 THEN -(c + b.k) - 1 WHEN c + b.k >= {WIDTH} THEN {2 * WIDTH - 1} - c - b.k ELSE c + b.k END AS c2, s.image FROM big s, k a, k b WHERE small),
+vt AS (SELECT ar.id, count(*) FILTER (t.l = 0) AS v0, count(*) FILTER (t.l = 1) AS v1, count(*) FILTER (t.l = 2) AS v2 FROM ar LEFT JOIN big t ON t.image = ar.image AND t.r = r2 AND t.c = c2 AND NOT t.small GROUP BY ar.id)
+SELECT image, l::BIGINT AS own, (CASE WHEN NOT small THEN l WHEN v0 >= v1 AND v0 >= v2 THEN 0 ELSE 1 END)::BIGINT AS label, count(*) AS n FROM big LEFT JOIN vt USING (id) GROUP BY ALL""",
     }

@@ -14,6 +14,7 @@ from lamina.operators import validate as V
 from lamina.plans import assign_queries, baseline_queries, source_queries, validate_queries
 from lamina.plans.baseline_queries import _LINES, _LOO, FACTS, STATS, rounded
 from lamina.sources import samples as S
+from lamina.sources import stores
 
 ORDER = [i.name for i in X.INDICATORS]
 #: Largest concentrations and the positive electrode of the cell.
@@ -163,9 +164,36 @@ def first_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(300).select("vec_id", *at)
 
 
+def stale_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without a cached result of a stage: results are there for two of three, under either of two keys."""
+    pages = X.table(spark, sf_dir, "pages").select("page_id", F.sha1(F.col("html").cast("binary")).alias("fingerprint"))
+    key = F.when(F.pmod("page_id", F.lit(2)) == 0, stores.stage_key("segment", {"sigma": 1.5}, "1")).otherwise(stores.stage_key("segment", {"sigma": 2.0}, "1"))
+    results = pages.where("page_id % 3 <> 1").select("fingerprint", key.alias("stage_key"))
+    return stores.stale(pages, results, stores.stage_key("segment", {"sigma": 1.5}, "1")).select("page_id", "fingerprint")
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered snapshots in order of their numbers, each with the one before."""
+    from pyspark.sql import Window
+
+    name = F.concat(F.lit("kpis_"), F.col("n_nationkey") * 3, F.lit(".csv"))
+    number = F.regexp_extract(name, r"^kpis_([0-9]+)\.csv$", 1).cast("long")
+    files = X.table(spark, sf_dir, "nation").select(name.alias("name"), number.alias("number"))
+    return files.withColumn("previous", F.lag("number").over(Window.orderBy("number")))  # as many rows as snapshots were taken
+
+
+def verdict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document for each sample: its verdict and its first drivers."""
+    verdicts = baseline_queries.verdict_zones(spark, sf_dir)
+    first = R.drivers(baseline_queries.scored(spark, sf_dir), ORDER, 3).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "kpi", "direction"))), lambda d: F.struct(d["kpi"].alias("kpi"), d["direction"].alias("direction"))).alias("drivers"))
+    body = F.struct("sample_id", F.struct("batch", "decision", "n_reject").alias("verdict"), "drivers")
+    return verdicts.join(first, "sample_id").select("sample_id", F.to_json(body).alias("document"))
+
+
 QUERIES = (
     drivers, top_effects, kpi_changes, describe_kpis, batch_counts, median_pivot, present_columns, path_batches, pixel_sizes, manifest, fetch_check, fingerprints, event_properties,
     created_times, holdout_verdicts, alarm_rates, tuned, relative_indices, cell_mapping, size_class_means, report_lines, first_points,
+    stale_stages, snapshot_files, verdict_documents,
 )
 
 
@@ -246,4 +274,9 @@ SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 25 THEN 'middle'
 SELECT v.sample_id, '| ' || v.sample_id || ' | **' || decision || '** | ' || n_reject || '/' || n_investigate || ' | ' || coalesce(kpi || ' ' || direction, 'n/a') || ' |' AS line
 FROM ({verdict}) v LEFT JOIN ({STATS},{_DRIVERS} SELECT * FROM drv WHERE place = 1) d ON d.sample_id = v.sample_id""",
         "first_points": "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y FROM embeddings ORDER BY vec_id LIMIT 300",
+        "stale_stages": "SELECT page_id, sha1(html) AS fingerprint FROM pages WHERE sha1(html) NOT IN (SELECT sha1(html) FROM pages WHERE page_id % 3 <> 1 AND page_id % 2 = 0)",
+        "snapshot_files": "SELECT 'kpis_' || n_nationkey * 3 || '.csv' AS name, n_nationkey::BIGINT * 3 AS number, lag(n_nationkey::BIGINT * 3) OVER (ORDER BY n_nationkey) AS previous FROM nation",
+        "verdict_documents": f"""
+SELECT v.sample_id, to_json(struct_pack(sample_id := v.sample_id, verdict := struct_pack(batch := v.batch, decision := decision, n_reject := n_reject), drivers := d.drivers))::VARCHAR AS document
+FROM ({verdict}) v JOIN (SELECT sample_id, list(struct_pack(kpi := kpi, direction := direction) ORDER BY place) AS drivers FROM ({STATS},{_DRIVERS} SELECT * FROM drv WHERE place <= 3) GROUP BY sample_id) d ON d.sample_id = v.sample_id""",
     }

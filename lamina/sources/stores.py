@@ -15,6 +15,11 @@ def stage_key(stage: str, config: dict, version: str, skip: tuple[str, ...] = ()
     return hashlib.sha1(json.dumps([stage, version, used], sort_keys=True).encode()).hexdigest()[:12]
 
 
+def stale(inputs: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Inputs whose fingerprint has no row in `results` (fingerprint, stage_key) under the key."""
+    return inputs.join(results.where(F.col("stage_key") == key).select("fingerprint"), "fingerprint", "left_anti")
+
+
 class StageCache:
     """Results by content fingerprint, a parquet partition for each stage key."""
 
@@ -34,7 +39,7 @@ class StageCache:
     def stale(self, inputs: DataFrame) -> DataFrame:
         """Inputs whose fingerprint has no result under this key."""
         rows = self._rows()
-        return inputs if rows is None else inputs.join(rows.select("fingerprint"), "fingerprint", "left_anti")
+        return inputs if rows is None else stale(inputs, rows, self.key)
 
     def add(self, results: DataFrame) -> None:
         results.withColumn("stage_key", F.lit(self.key)).write.mode("append").partitionBy("stage_key").parquet(self.folder)
