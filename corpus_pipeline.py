@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
 columns of `documents`; the last returns the pieces with their place in a sequence.
+
+Results for unusual input: a null or empty text has no words, so the quality rules reject it; of rows with equal
+texts the one with the largest identifier stays, of rows that repeat identifier and text one; of near-duplicates the
+one with the smallest identifier stays; a null identifier ranks below all others; texts of any length are read whole;
+columns beside those of `documents` are carried through all stages but the last, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
