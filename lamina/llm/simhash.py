@@ -16,8 +16,10 @@ by adaptive execution.
 shingles have a Jaccard similarity of 0.8 or more. A radius in bits can't give these, as such pairs differ in up to
 a dozen bits and more. In any fixed order of shingles two sets that are so alike share one of their first
 n - ceil(0.8 n) + 1, so an equi-join on these prefixes loses no pair. The order puts shingles that a sample of texts
-shares last; it decides how many candidates there are and nothing else. Parities of the sets rule out most candidates, the
-whole sets decide on the others.
+shares last; it decides how many candidates there are and nothing else. Every text of a prefix shingle meets the
+shortest one first. What these pairs connect need not be compared again, so only texts of different components meet
+inside a shingle's group, and the parities of their sets, folded to FOLDED longs, rule out most of them within the join.
+Longer parities rule out most of the others, and the whole sets decide on what is left.
 
 Components come from min-label propagation with pointer jumping over distinct linked fingerprints; every round is
 written to the shared folder.
@@ -54,6 +56,11 @@ SIMILAR = (4, 5)
 ORDER_DOCS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.05, 200_000
 #: Least length of a sketch; texts of more shingles have as many bits as shingles at least, a power of two.
 SKETCH_BITS = 1024
+#: Further rounds in which the texts of a shingle's group meet some of those that are left, before all that are still apart
+#: meet each other; and how many these are at most.
+CENTRE_ROUNDS, CENTRES = 1, 16
+#: Longs that a sketch is folded to for the join of a shingle's texts.
+FOLDED = 8
 #: Places of a table, by hash, of the texts whose whole sets are needed: it spares the shuffle of most others.
 NEEDED_MARKS = 1 << 22
 
@@ -145,24 +152,28 @@ def _prefix(common: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
 
 def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """`row_key, fp` of every row, and of its text the hash `doc`, the number `n` of five-word shingles, the parities
-    `sketch` of their hashes by their last bits, and the `prefix` of eight bytes a hash."""
+    `sketch` of their hashes by their last bits, these folded to the longs `f0` and so on, and the `prefix` of eight bytes
+    a hash."""
     chosen = _prefix(_common(docs, text_col))
+    folds = [f"f{k}" for k in range(FOLDED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"fp": [], "doc": [], "n": [], "sketch": [], "prefix": []}
+            out: dict[str, list] = {"fp": [], "doc": [], "n": [], "sketch": [], "prefix": [], **{f: [] for f in folds}}
             for text in batch.column(1):
                 doc, shingles = shingle_set(text.as_py())
                 bits = max(SKETCH_BITS, 1 << len(shingles).bit_length())
                 odd = np.bincount((shingles % bits).astype(np.int64), minlength=bits) & 1
-                row = (fingerprint(text.as_py(), words), doc, len(shingles), np.packbits(odd.astype(bool)).tobytes(), chosen(shingles).tobytes())
+                sketch = np.packbits(odd.astype(bool))
+                folded = np.bitwise_xor.reduce(sketch.view(np.int64).reshape(-1, FOLDED), axis=0)
+                row = (fingerprint(text.as_py(), words), doc, len(shingles), sketch.tobytes(), chosen(shingles).tobytes(), *folded.tolist())
                 for values, value in zip(out.values(), row, strict=True):
                     values.append(value)
             yield pa.RecordBatch.from_pydict({"row_key": batch.column(0), **out}, schema)
 
-    kinds = {"row_key": pa.int64(), "fp": pa.int64(), "doc": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "prefix": pa.binary()}
+    kinds = {"row_key": pa.int64(), "fp": pa.int64(), "doc": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "prefix": pa.binary(), **{f: pa.int64() for f in folds}}
     schema = pa.schema(list(kinds.items()))
-    return _texts(docs, id_col, text_col).mapInArrow(run, "row_key long, fp long, doc long, n long, sketch binary, prefix binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "row_key long, fp long, doc long, n long, sketch binary, prefix binary, " + ", ".join(f"{f} long" for f in folds))
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
@@ -248,11 +259,40 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> D
     around = beside.where(down * F.col("cn") >= up * F.col("n")).select(F.col("centre").alias("doc_a"), F.col("doc").alias("doc_b")).distinct()
     star = _verified(_promising(around, rows), docs, text_col)
     linked = star.select(F.col("doc_a").alias("centre"), F.col("doc_b").alias("doc"))
-    rest = beside.join(linked.hint("merge"), ["centre", "doc"], "left_anti").select("token", F.col("doc").alias("doc_a"), F.col("n").alias("na"))
-    others = beside.select("token", F.col("doc").alias("doc_b"), F.col("n").alias("nb"))
-    near = (down * F.least("na", "nb") >= up * F.greatest("na", "nb")) & (F.col("doc_a") != F.col("doc_b"))
-    pairs = rest.hint("merge").join(others, "token").where(near).select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct()
-    return star.unionByName(_verified(_promising(pairs, rows), docs, text_col)).where("a != b").select("a", "b")
+    # What the centres connect is known, so from here on only texts of different components have to meet.
+    folds = [f"f{k}" for k in range(FOLDED)]
+    own = written(rows.select("doc", *folds).dropDuplicates(["doc"]), "folded-sketches")
+    rest = written(beside.join(linked.hint("merge"), ["centre", "doc"], "left_anti").select("token", "doc", "n"), "rest")
+    others = written(beside.select("token", "doc", "n").join(rest.select("token").distinct().hint("merge"), "token", "left_semi"), "others")
+    found = star
+    for turn in range(CENTRE_ROUNDS + 1):
+        known = components(found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).withColumnRenamed("node", "doc")
+        about = written(own.join(known.hint("merge"), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "components-so-far")
+        one = rest
+        if turn < CENTRE_ROUNDS:
+            # Any members will do; the hash makes them others in each round.
+            hashed = rest.withColumn("h", F.xxhash64(F.lit(turn), "doc"))
+            chosen = hashed.groupBy("token", F.pmod("h", F.lit(CENTRES))).agg(F.min(F.struct("h", "doc", "n")).alias("c"))
+            one = chosen.select("token", "c.doc", "c.n")
+        pairs = _apart(one, others, about, folds)
+        found = written(found.unionByName(_verified(_promising(pairs, rows), docs, text_col)), "found")
+    return found.where("a != b").select("a", "b")
+
+
+def _apart(one: DataFrame, other: DataFrame, about: DataFrame, folds: list[str]) -> DataFrame:
+    """Pairs `doc_a, doc_b` of two tables of `token, doc, n` that share a token, have different labels by `about` and may
+    be similar by their sizes and folded parities."""
+
+    def side(of: DataFrame, mark: str) -> DataFrame:
+        full = of.join(about.hint("merge"), "doc")
+        return full.select(F.col("token").alias(f"token_{mark}"), *[F.col(c).alias(f"{c}_{mark}") for c in ("doc", "n", "label", *folds)])
+
+    up, down = SIMILAR
+    sizes = down * F.least("n_a", "n_b") >= up * F.greatest("n_a", "n_b")
+    differ = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in folds), F.lit(0))
+    near = (F.col("label_a") != F.col("label_b")) & sizes & ((up + down) * differ <= (down - up) * (F.col("n_a") + F.col("n_b")))
+    met = side(one, "a").hint("merge").join(side(other, "b"), (F.col("token_a") == F.col("token_b")) & near)
+    return met.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).distinct()
 
 
 def _embedded(fp: Column) -> Column:
