@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import byte_bpe, exact_dedup, importance, license_scans, packing, quality_rules, repeats, secret_scans, simhash, token_files
+from lamina.llm import byte_bpe, divergence, exact_dedup, importance, license_scans, nnls_packing, packing, quality_rules, repeats, secret_scans, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,10 @@ def queries() -> dict[str, Query]:
         "op8_importance_resampling": importance.op8_importance_resampling,
         "op9_repeated_passages": repeats.op9_repeated_passages,
         "op10_license_scans": license_scans.op10_license_scans,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_nnls_packing": nnls_packing.op12_nnls_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op11_source_divergence": divergence.OP11_SQL}
