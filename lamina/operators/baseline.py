@@ -20,16 +20,17 @@ POISSON_SD = 3.0
 TOP = 3
 
 
-def baseline(facts: DataFrame, batch: int = BASELINE, floors: bool = True) -> DataFrame:
-    """Robust statistics of each indicator over the baseline batch."""
+def baseline(facts: DataFrame, batch: int | str = BASELINE, floors: bool = True, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Robust statistics of each indicator over the baseline batch, for each group of `by` on its own."""
     own = facts.where(F.col("batch") == batch).withColumn("floor", abs_floor(F.col("kpi")) if floors else F.lit(0.0))
-    return robust_stats(own, ["kpi"], se="se" if "se" in facts.columns else None, abs_floor="floor")
+    return robust_stats(own, [*by, "kpi"], se="se" if "se" in facts.columns else None, abs_floor="floor")
 
 
-def zscores(facts: DataFrame, stats: DataFrame) -> DataFrame:
-    """`facts` with `z`; null if value or median is missing. Statistics are a row for each indicator."""
+def zscores(facts: DataFrame, stats: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """`facts` with `z`; null if value or median is missing. Statistics are a row for each indicator, and group of `by`."""
+    own = stats.select(*by, "kpi", "med", "scale")
     z = F.try_divide(finite(F.col("value")) - F.col("med"), F.col("scale"))
-    return facts.join(F.broadcast(stats.select("kpi", "med", "scale")), "kpi", "left").withColumn("z", z)
+    return facts.join(own if by else F.broadcast(own), [*by, "kpi"], "left").withColumn("z", z)
 
 
 def top_score(scored: DataFrame, keys: list[str] = ["sample_id", "batch"]) -> DataFrame:  # noqa: B006
@@ -40,13 +41,13 @@ def top_score(scored: DataFrame, keys: list[str] = ["sample_id", "batch"]) -> Da
     return scored.groupBy(*keys).agg(top.alias("top")).select(*keys, F.try_divide(total, F.size("top").cast("double")).alias("score"))
 
 
-def verdicts(scored: DataFrame, alarms: DataFrame | None = None) -> DataFrame:
-    """`sample_id, batch, n_reject, n_investigate, n_watch, n_alarms, decision`."""
+def verdicts(scored: DataFrame, alarms: DataFrame | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """`by, sample_id, batch, n_reject, n_investigate, n_watch, n_alarms, decision`."""
 
     def beyond(limit: float) -> Column:
         return F.count(F.when(F.abs("z") > limit, 1))
 
-    out = scored.groupBy("sample_id", "batch").agg(beyond(REJECT_Z).alias("n_reject"), beyond(INVESTIGATE_Z).alias("n_investigate"), beyond(WATCH_Z).alias("n_watch"))
+    out = scored.groupBy(*by, "sample_id", "batch").agg(beyond(REJECT_Z).alias("n_reject"), beyond(INVESTIGATE_Z).alias("n_investigate"), beyond(WATCH_Z).alias("n_watch"))
     if alarms is not None:
         out = out.join(alarms.groupBy("sample_id").agg(F.count(F.when(F.col("alarm"), 1)).alias("n_alarms")), "sample_id", "left")
     else:
