@@ -255,11 +255,12 @@ def core_median(pixels: DataFrame, mask: DataFrame, times: int, name: str, least
 
 def edge_runs(flags: DataFrame, size: int, most: int | None = None) -> DataFrame:
     """`image, first, last, inner` of the flagged positions `image, at`: how many in a row at either end (none if more
-    than `most`), and how many others."""
+    than `most`), and how many others. If all positions are flagged, they count to the first end."""
     order = Window.partitionBy("image").orderBy("at")
     back = Window.partitionBy("image").orderBy(F.desc("at"))
     placed = flags.withColumns({"__a": F.row_number().over(order) - 1, "__b": F.row_number().over(back) - 1})
     each = placed.groupBy("image").agg(F.count(F.when(F.col("__a") == F.col("at"), 1)).alias("first"), F.count(F.when(F.col("__b") == size - 1 - F.col("at"), 1)).alias("last"), F.count(F.lit(1)).alias("n"))
+    each = each.withColumn("last", F.when(F.col("first") < F.col("n"), F.col("last")).otherwise(0))
     limit = size if most is None else most
     return each.select("image", *[F.when(F.col(c) <= limit, F.col(c)).otherwise(0).alias(c) for c in ("first", "last")], (F.col("n") - F.col("first") - F.col("last")).alias("inner"))
 

@@ -30,6 +30,31 @@ def _mask(px: DataFrame, name: str) -> DataFrame:
     return px.where(Y.phases(LOW, HIGH)[name]).select(*Y.PLACE)
 
 
+#: Columns that are 0, not null, for an image without any pixel of what is measured.
+NOTHING = {
+    "chord_statistics": {},
+    "noise_level": {},
+    "otsu_thresholds": {},
+    "shading_flag": {"flagged": False},
+    "particle_sizes": {"num_density_mm2": 0},
+    "pore_connectivity": {"n": 0, "largest_ecd": 0},
+    "hysteresis": {"weak": 0, "kept": 0, "large": 0},
+    "distance_transform": {"n": 0},
+    "contacts": {"n": 0},
+    "exposed_interface": {"si": 0, "carbon": 0, "index": 0},
+    "inclusions": {"n": 0, "n_large": 0, "largest": 0},
+    "image_euler": {"euler": 0, "density_mm2": 0},
+    "edge_crop": {"first": 0, "last": 0, "inner": 0},
+    "edge_band": {"first": 0, "last": 0, "inner": 0},
+}
+
+
+def _every(px: DataFrame, out: DataFrame, name: str) -> DataFrame:
+    """`out` with a row for each image of `px`, whatever it lacks."""
+    whole = px.select("image").distinct().join(out, "image", "left")
+    return whole.fillna(NOTHING[name]) if NOTHING[name] else whole
+
+
 def image_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Y.fractions(pixels(spark, sf_dir), ["image"], LOW, HIGH), "si_frac_solid", "si_frac_total", "pore_frac_deep", "ambiguous_frac")
 
@@ -61,8 +86,9 @@ def chord_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         um = F.col("length") * PIXEL_UM
         along = h.groupBy(F.floor(F.col("row") / HEIGHT).alias("image")).agg(F.avg(um).alias(f"{name}_h_mean"), F.percentile(um, F.lit(0.9)).alias(f"{name}_h_p90"))
         down = v.groupBy(F.floor(F.col("row") / WIDTH).alias("image")).agg(F.avg(um).alias(f"{name}_v_mean"))
-        both = along.join(down, "image").withColumn(f"{name}_ratio", F.col(f"{name}_h_mean") / F.col(f"{name}_v_mean"))
-        out = both if out is None else out.join(both, "image")
+        both = along.join(down, "image", "full").withColumn(f"{name}_ratio", F.col(f"{name}_h_mean") / F.col(f"{name}_v_mean"))
+        out = both if out is None else out.join(both, "image", "full")
+    out = _every(px, out, "chord_statistics")
     return rounded(out, *[c for c in out.columns if c != "image"])
 
 
@@ -71,27 +97,33 @@ def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Y.noise(pixels(spark, sf_dir), HEIGHT, WIDTH, LOW, HIGH), "noise_sd", digits=6)
+    px = pixels(spark, sf_dir)
+    return rounded(_every(px, Y.noise(px, HEIGHT, WIDTH, LOW, HIGH), "noise_level"), "noise_sd", digits=6)
 
 
 def morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of the pore mask, and of the mask dilated, eroded, closed and opened."""
-    on = _mask(pixels(spark, sf_dir), "pore")
+    px = pixels(spark, sf_dir)
+    on = _mask(px, "pore")
     wide, thin = Y.dilated(on, HEIGHT, WIDTH), Y.eroded(on)
     forms = {"own": on, "dilated": wide, "eroded": thin, "closed": Y.eroded(wide), "opened": Y.dilated(thin, HEIGHT, WIDTH)}
     all_ = None
     for name, mask in forms.items():
         part = mask.select("image", F.lit(name).alias("form"))
         all_ = part if all_ is None else all_.unionByName(part)
-    return all_.groupBy("image", "form").agg(F.count(F.lit(1)).alias("n"))
+    counted = all_.groupBy("image", "form").agg(F.count(F.lit(1)).alias("n"))
+    each = px.select("image").distinct().withColumn("form", F.explode(F.array(*[F.lit(k) for k in forms])))
+    return each.join(counted, ["image", "form"], "left").fillna({"n": 0})
 
 
 def otsu_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.otsu(pixels(spark, sf_dir), ["image"])
+    px = pixels(spark, sf_dir)
+    return _every(px, Y.otsu(px, ["image"]), "otsu_thresholds")
 
 
 def shading_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.shading(pixels(spark, sf_dir), HEIGHT)
+    px = pixels(spark, sf_dir)
+    return _every(px, Y.shading(px, HEIGHT), "shading_flag")
 
 
 def image_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,38 +180,43 @@ def _sizes(on: DataFrame) -> DataFrame:
 
 def particle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of particles of 4 pixels or more, and area-weighted quantiles of their equivalent diameters."""
-    found = _sizes(_mask(pixels(spark, sf_dir), "si")).where("n_pixels >= 4").select("image", (2 * F.sqrt(F.col("n_pixels") / F.pi()) * PIXEL_UM).alias("ecd"))
+    px = pixels(spark, sf_dir)
+    found = _sizes(_mask(px, "si")).where("n_pixels >= 4").select("image", (2 * F.sqrt(F.col("n_pixels") / F.pi()) * PIXEL_UM).alias("ecd"))
     count = found.groupBy("image").agg((F.count(F.lit(1)) / (HEIGHT * WIDTH * PIXEL_UM**2 * 1e-6)).alias("num_density_mm2"))
     q = weighted_quantiles(found.withColumn("w", F.col("ecd") ** 2), ["image"], "ecd", "w", [0.1, 0.5, 0.9], by_item=True)
     wide = q.groupBy("image").pivot("q", [0.1, 0.5, 0.9]).agg(F.first("value")).toDF("image", "d10", "d50", "d90")
-    out = wide.join(count, "image").withColumn("span", (F.col("d90") - F.col("d10")) / F.col("d50"))
+    out = _every(px, wide.join(count, "image").withColumn("span", (F.col("d90") - F.col("d10")) / F.col("d50")), "particle_sizes")
     return rounded(out, "d10", "d50", "d90", "span", digits=6).withColumn("num_density_mm2", F.round("num_density_mm2", 2))
 
 
 def pore_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of pores that cross an image, and the equivalent diameter of the largest."""
-    s = _sizes(_mask(pixels(spark, sf_dir), "pore"))
+    px = pixels(spark, sf_dir)
+    s = _sizes(_mask(px, "pore"))
     top, bottom = F.col("top") - F.col("image") * STEP, F.col("bottom") - F.col("image") * STEP
     down, across = (top == 0) & (bottom == HEIGHT - 1), (F.col("left") == 0) & (F.col("right") == WIDTH - 1)
     share = [F.coalesce(F.sum(F.when(c, F.col("n_pixels"))), F.lit(0)) / F.sum("n_pixels") for c in (down, across)]
     out = s.groupBy("image").agg(F.count(F.lit(1)).alias("n"), share[0].alias("down"), share[1].alias("across"), (2 * F.sqrt(F.max("n_pixels") / F.pi()) * PIXEL_UM).alias("largest_ecd"))
-    return rounded(out, "down", "across", "largest_ecd")
+    return rounded(_every(px, out, "pore_connectivity"), "down", "across", "largest_ecd")
 
 
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels below the upper limit in components with a pixel below the lower one, and those in components of 4 or more."""
-    px = pixels(spark, sf_dir).where(F.col("g") < LOW + 5)
+    all_ = pixels(spark, sf_dir)
+    px = all_.where(F.col("g") < LOW + 5)
     runs = _labelled(px.select(*Y.PLACE))
     spread = runs.select("component", F.floor(F.col("row") / STEP).alias("image"), F.pmod("row", F.lit(STEP)).alias("r"), F.explode(F.sequence("first", "last")).alias("c"))
     whole = spread.join(px, Y.PLACE).groupBy("image", "component").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("least"))
-    return whole.groupBy("image").agg(F.sum("n").alias("weak"), F.coalesce(F.sum(F.when(F.col("least") < LOW - 20, F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("n") >= 4, F.col("n"))), F.lit(0)).alias("large"))
+    out = whole.groupBy("image").agg(F.sum("n").alias("weak"), F.coalesce(F.sum(F.when(F.col("least") < LOW - 20, F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("n") >= 4, F.col("n"))), F.lit(0)).alias("large"))
+    return _every(all_, out, "hysteresis")
 
 
 def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
     solid = px.where(~Y.phases(LOW, HIGH)["pore"]).select(*Y.PLACE)
     d = F.sqrt(F.col("d2").cast("double"))
-    return rounded(Y.squared_distances(solid, _mask(px, "pore")).groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("most"), F.avg(d).alias("mean")), "mean")
+    out = Y.squared_distances(solid, _mask(px, "pore")).groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("most"), F.avg(d).alias("mean"))
+    return rounded(_every(px, out, "distance_transform"), "mean")
 
 
 def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +244,8 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = Y.dilated(si, HEIGHT, WIDTH)
     ring = Y.dilated_times(near, HEIGHT, WIDTH, 3).join(near, Y.PLACE, "left_anti").join(px, Y.PLACE)
     p = Y.phases(LOW, HIGH)
-    return rounded(ring.groupBy("image").agg(F.count(F.lit(1)).alias("n"), *[F.avg(p[k].cast("double")).alias(k) for k in ("pore", "carbon")]), "pore", "carbon")
+    out = ring.groupBy("image").agg(F.count(F.lit(1)).alias("n"), *[F.avg(p[k].cast("double")).alias(k) for k in ("pore", "carbon")])
+    return rounded(_every(px, out, "contacts"), "pore", "carbon")
 
 
 def exposed_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,15 +254,17 @@ def exposed_interface(spark: SparkSession, sf_dir: str) -> DataFrame:
     pore = _mask(px, "pore")
     ring = Y.dilated(pore, HEIGHT, WIDTH).join(pore, Y.PLACE, "left_anti").join(px, Y.PLACE)
     si = F.count(F.when(F.col("g") >= HIGH, 1))
-    return rounded(ring.groupBy("image").agg(si.alias("si"), (F.count(F.lit(1)) - si).alias("carbon")).withColumn("index", (3 * F.col("si") + F.col("carbon")) / (HEIGHT * WIDTH) / PIXEL_UM), "index")
+    out = ring.groupBy("image").agg(si.alias("si"), (F.count(F.lit(1)) - si).alias("carbon")).withColumn("index", (3 * F.col("si") + F.col("carbon")) / (HEIGHT * WIDTH) / PIXEL_UM)
+    return rounded(_every(px, out, "exposed_interface"), "index")
 
 
 def inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bright components, connected along eight directions, of 2 pixels or more."""
-    on = pixels(spark, sf_dir).where("g > 190").select(*Y.PLACE)
+    px = pixels(spark, sf_dir)
+    on = px.where("g > 190").select(*Y.PLACE)
     runs = G.components(on.select((F.col("image") * STEP + F.col("r")).alias("row"), F.col("c").alias("col"), F.lit(True).alias("on")), diagonal=True)
     found = G.component_sizes(runs).withColumn("image", F.floor(F.col("top") / STEP)).groupBy("image").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n_pixels") >= 2, 1)).alias("n_large"), F.max("n_pixels").alias("largest"))
-    return found
+    return _every(px, found, "inclusions")
 
 
 def threshold_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,12 +275,14 @@ def threshold_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Euler number of the pores by square millimetre: pixels less pairs plus full squares."""
-    on = _mask(pixels(spark, sf_dir), "pore")
+    px = pixels(spark, sf_dir)
+    on = _mask(px, "pore")
     parts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for k, a, b in G._PARTS])
     each = on.select("image", "r", "c", F.explode(parts).alias("p")).groupBy("image", (F.col("r") - F.col("p.dr")).alias("r"), (F.col("c") - F.col("p.dc")).alias("c"), F.col("p.k").alias("k")).count()
     full = each.where(F.col("count") == F.element_at(F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(4)), F.col("k")))
     sign = F.sum(F.when(F.col("k").isin(2, 3), -1).otherwise(1)).cast("long")
-    return full.groupBy("image").agg(sign.alias("euler")).withColumn("density_mm2", F.round(F.col("euler") / (HEIGHT * WIDTH * PIXEL_UM**2 * 1e-6), 2))
+    out = full.groupBy("image").agg(sign.alias("euler")).withColumn("density_mm2", F.round(F.col("euler") / (HEIGHT * WIDTH * PIXEL_UM**2 * 1e-6), 2))
+    return _every(px, out, "image_euler")
 
 
 def edge_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,14 +291,14 @@ def edge_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, r, image = F.col("c"), F.col("r"), F.col("image")
     off = ((c < F.pmod(image, F.lit(4))) | (c >= WIDTH - 2) | (c == 20 + image)) & (F.pmod(r, F.lit(10)) < 6)
     px = pixels(spark, sf_dir).withColumns({"red": F.col("g") + off.cast("int"), "blue": F.col("g")})
-    return Y.edge_runs(Y.bad_columns(px), WIDTH)
+    return _every(px, Y.edge_runs(Y.bad_columns(px), WIDTH), "edge_crop")
 
 
 def edge_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of dark and rough rows at the frame. The first channel is made darker, the second rougher, near the top."""
     dark = F.col("r") < F.pmod("image", F.lit(7))
     px = pixels(spark, sf_dir).withColumns({"e": F.when(dark, 3 * (F.col("g") - 128) + 128).otherwise(F.col("g")), "g": F.when(dark, F.floor(F.col("g") / 3)).otherwise(F.col("g"))})
-    return Y.edge_runs(Y.edge_bands(px, HEIGHT, WIDTH, 0.6, 2.0), HEIGHT, HEIGHT // 10)
+    return _every(px, Y.edge_runs(Y.edge_bands(px, HEIGHT, WIDTH, 0.6, 2.0), HEIGHT, HEIGHT // 10), "edge_band")
 
 
 def grey_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +386,15 @@ def _erode(name: str, of: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    """The definitions' SQL, with a row for each image."""
+    out = _definitions()
+    for name, zeros in NOTHING.items():
+        replaced = ", ".join(f'coalesce("{c}", {str(v).lower()}) AS "{c}"' for c, v in zeros.items())
+        out[name] = f"SELECT *{f' REPLACE ({replaced})' if zeros else ''} FROM (SELECT DISTINCT vec_id // {HEIGHT} AS image FROM embeddings) LEFT JOIN ({out[name]}) USING (image)"
+    return out
+
+
+def _definitions() -> dict[str, str]:
     gauss = f"""w AS (SELECT k, exp(-0.5::DOUBLE * (k / {Y.SIGMA}::DOUBLE) ** 2) / sum(exp(-0.5::DOUBLE * (k / {Y.SIGMA}::DOUBLE) ** 2)) OVER () AS w FROM (SELECT unnest(range(-6, 7)) AS k))"""
     phase = f"CASE WHEN g < {LOW} THEN 0 WHEN g < {HIGH} THEN 1 ELSE 2 END"
     votes = f"""v AS (SELECT image, r // 4 AS br, c // 4 AS bc, {phase} AS p, count(*) AS n FROM px WHERE r < 48 GROUP BY ALL),
@@ -373,7 +424,7 @@ SELECT image, round(regr_slope(p, x) * 10, 6) AS pore_slope, round(regr_slope(s,
         + f""",{_chord("pore", f"g < {LOW}")},{_chord("carbon", f"g >= {LOW} AND g < {HIGH}")}
 SELECT image, a.m AS pore_h_mean, a.p90 AS pore_h_p90, b.m AS pore_v_mean, round(a.raw / b.raw, 8) AS pore_ratio,
        d.m AS carbon_h_mean, d.p90 AS carbon_h_p90, e.m AS carbon_v_mean, round(d.raw / e.raw, 8) AS carbon_ratio
-FROM poreh a JOIN porev b USING (image) JOIN carbonh d USING (image) JOIN carbonv e USING (image)""",
+FROM (SELECT DISTINCT image FROM px) LEFT JOIN poreh a USING (image) LEFT JOIN porev b USING (image) LEFT JOIN carbonh d USING (image) LEFT JOIN carbonv e USING (image)""",
         "smoothing": _PX
         + f""", {gauss},
 h AS (SELECT p.image, p.r, p.c, sum(q.g * w) AS s FROM px p, w JOIN px q ON q.image = p.image AND q.r = p.r AND q.c = least(greatest(p.c + k, 0), {WIDTH - 1}) GROUP BY ALL)
@@ -386,8 +437,9 @@ b AS (SELECT image, f.p AS r, c, avg(m) AS m FROM h JOIN f ON f.size = {HEIGHT}
 SELECT image, round(stddev_pop(g - m), 6) AS noise_sd FROM px JOIN b USING (image, r, c) WHERE g >= {LOW} AND g < {HIGH} GROUP BY image""",
         "morphology": _PX
         + f""", {_ON}, {_dilate("wide", "on1")}, {_erode("thin", "on1")}, {_erode("shut", "wide")}, {_dilate("open", "thin")}
-SELECT image, form, count(*) AS n FROM (SELECT image, 'own' AS form FROM on1 UNION ALL SELECT image, 'dilated' FROM wide UNION ALL SELECT image, 'eroded' FROM thin
-  UNION ALL SELECT image, 'closed' FROM shut UNION ALL SELECT image, 'opened' FROM open) GROUP BY ALL""",
+SELECT image, form, count(f) AS n FROM (SELECT DISTINCT image FROM px) CROSS JOIN (SELECT unnest(['own', 'dilated', 'eroded', 'closed', 'opened']) AS form)
+LEFT JOIN (SELECT image, 1 AS f, form FROM (SELECT image, 'own' AS form FROM on1 UNION ALL SELECT image, 'dilated' FROM wide UNION ALL SELECT image, 'eroded' FROM thin
+  UNION ALL SELECT image, 'closed' FROM shut UNION ALL SELECT image, 'opened' FROM open)) USING (image, form) GROUP BY ALL""",
         "otsu_thresholds": _PX + ", src AS (SELECT image, g FROM px)," + _otsu("image") + " SELECT * FROM best",
         "shading_flag": _PX
         + ", src AS (SELECT image, r // 10 AS band, g FROM px),"
@@ -478,7 +530,7 @@ w AS (SELECT image, median(g) AS gm, median(v) AS vm FROM z JOIN b USING (image,
 fl AS (SELECT image, r, (median(g) < 0.6::DOUBLE * any_value(gm) AND median(v) > 2 * any_value(vm))::INT AS flag FROM z JOIN b USING (image, r, c) JOIN w USING (image) GROUP BY image, r),
 sm AS (SELECT image, f.p AS r, round(avg(flag), 9) > 0.5 AS bad FROM fl JOIN f ON f.size = {HEIGHT} AND f.reach = 4 AND f.at = fl.r GROUP BY ALL),
 g AS (SELECT image, min(r) FILTER (NOT bad) AS a, max(r) FILTER (NOT bad) AS b FROM sm GROUP BY image),
-n AS (SELECT image, count(*) FILTER (r < a) AS x, count(*) FILTER (r > b) AS y, count(*) AS n FROM sm JOIN g USING (image) WHERE bad GROUP BY image)
+n AS (SELECT image, count(*) FILTER (a IS NULL OR r < a) AS x, count(*) FILTER (r > b) AS y, count(*) AS n FROM sm JOIN g USING (image) WHERE bad GROUP BY image)
 SELECT image, CASE WHEN x <= 5 THEN x ELSE 0 END AS first, CASE WHEN y <= 5 THEN y ELSE 0 END AS last, n - x - y AS inner FROM n""",
         "grey_histograms": _PX + f" SELECT image, least(g // 16, 15) AS bin, count(*) AS n, round(count(*) / {HEIGHT * WIDTH}::DOUBLE, 8) AS share FROM px GROUP BY ALL",
         "island_removal": _PX
