@@ -11,7 +11,7 @@ indicator. Two facts make it small:
   Folds are grouped by this state; inner samples meet states, not folds, and a fold's own loss, which it must not
   count, is subtracted. With k indicators there are about 2^k states and k times a few more, however many samples there are.
 
-The losses of a state over the grid are columns summed while they are made; no pair of samples is stored or shuffled.
+The losses of a state over the grid are summed while they are made; no pair of samples is stored or shuffled.
 
 A sample that lacks an indicator has 0 for it and does not enter its centroids; a batch without any sample left is no
 candidate; samples without a single baseline statistic to compare with have no row.
@@ -29,7 +29,7 @@ from lamina.operators import baseline as B
 from lamina.operators.facts import BASELINE, abs_floor, weight
 
 #: States are dealt into so many parts, which the inner samples are copied to.
-PARTS = 16
+PARTS = 64
 #: Values beside the middle of a batch.
 MIDDLE = 4
 #: Losses that agree to so many digits are equal; the first pair of the grid wins.
@@ -66,37 +66,44 @@ def median_without(t: Column, a: Column, b: Column) -> Column:
     return F.when(left > 0, (at(F.floor((left + 1) / 2)) + at(F.floor(left / 2) + 1)) / 2)
 
 
-def _terms(state: Column, own: Column, values: Column, inner: Column | None, order: Column) -> Column:
-    """For each indicator of a fold's state: feature `x` of the judged values, and the candidates' centroids `c` without the
-    fold's sample and, if it has a batch `inner`, the judged one."""
+def _feature(s: Column, value: Column) -> Column:
+    return (value - s["med"]) / s["scale"] * s["w"]
 
-    def one(s: Column) -> Column:
-        v = F.try_element_at(values, s["kpi"])
 
-        def centre(t: Column) -> Column:
-            a = F.when(t["batch"] == own, s["place"])
-            b = F.when(t["batch"] == inner, v["place"]) if inner is not None else F.lit(None).cast("int")
-            return (median_without(t, a, b) - s["med"]) / s["scale"] * s["w"]
+def _with_centroids(state: Column, own: Column, order: Column) -> Column:
+    """Adds to each indicator of a fold's state the candidates' centroids `c` without the fold's sample."""
 
-        return F.struct(F.coalesce((v["value"] - s["med"]) / s["scale"] * s["w"], F.lit(0.0)).alias("x"), F.transform(F.try_element_at(order, s["kpi"]), centre).alias("c"))
+    def one(s: Column) -> Column:
+        places = [s[f].alias(f) for f in ("kpi", "med", "scale", "w", "place")]
+        return F.struct(*places, F.transform(F.try_element_at(order, s["kpi"]), lambda t: _feature(s, median_without(t, F.when(t["batch"] == own, s["place"]), F.lit(None).cast("int")))).alias("c"))
 
     return F.transform(state, one)
 
 
-def _squares(terms: Column, candidates: int, delta: Column) -> Column:
-    """Squared distances to the shrunken centroids, one for each candidate, null for one that no indicator has."""
+def _terms(state: Column, values: Column, own: Column, inner: Column | None = None, index: Column | None = None, order: Column | None = None) -> Column:
+    """For each indicator of a fold's state: feature `x` of the judged values, the candidates' centroids `c` and their median
+    `m`. If the judged sample has a batch `inner`, which is the candidate `index`, that one is without it as well."""
+
+    def one(s: Column) -> Column:
+        v = F.try_element_at(values, s["kpi"])
+        c = s["c"]
+        if inner is not None:
+            anew = _feature(s, median_without(F.get(F.try_element_at(order, s["kpi"]), index), F.when(inner == own, s["place"]), v["place"]))
+            c = F.transform(c, lambda old, i: F.when(i == index, anew).otherwise(old))
+        return F.struct(F.coalesce(_feature(s, v["value"]), F.lit(0.0)).alias("x"), c.alias("c"))
+
+    return F.transform(F.transform(state, one), lambda k: F.struct(k["x"].alias("x"), k["c"].alias("c"), A._middle(F.filter(k["c"], lambda c: c.isNotNull())).alias("m")))
 
-    def centred(k: Column) -> Column:
-        return F.struct(k["x"].alias("x"), k["c"].alias("c"), A._middle(F.filter(k["c"], lambda c: c.isNotNull())).alias("m"))
 
-    full = F.transform(terms, centred)
+def _squares(terms: Column, candidates: int, delta: Column) -> Column:
+    """Squared distances to the shrunken centroids, one for each candidate, null for one that no indicator has."""
 
     def square(b: Column) -> Column:
         def add(sum_: Column, k: Column) -> Column:
             c = F.get(k["c"], b)
             return F.when(c.isNull(), sum_).otherwise(F.coalesce(sum_, F.lit(0.0)) + (k["x"] - A._shrink(c, k["m"], delta)) ** 2)
 
-        return F.aggregate(full, F.lit(None).cast("double"), add)
+        return F.aggregate(terms, F.lit(None).cast("double"), add)
 
     return F.transform(F.sequence(F.lit(0), F.lit(candidates - 1)), square)
 
@@ -131,28 +138,32 @@ def nested_tuning(facts: DataFrame, strips: DataFrame, batch: int = BASELINE, de
     values = F.map_from_entries(F.collect_list(F.struct("kpi", F.struct("value", "place"))))
     folds = fitted.groupBy("sample_id", "batch").agg(F.sort_array(F.collect_list(entry)).alias("state"))
     inner = placed.groupBy("sample_id", "batch").agg(values.alias("values"))
-    folds = stored(folds.join(inner, ["sample_id", "batch"]).withColumn("class", F.sha1(F.to_json(F.struct("batch", "state")))), "nested-folds")
+    folds = folds.withColumn("class", F.sha1(F.to_json(F.struct("batch", "state")))).crossJoin(F.broadcast(order))  # one row
+    folds = folds.withColumn("state", _with_centroids(F.col("state"), F.col("batch"), F.col("order"))).drop("order")
+    folds = stored(folds.join(inner, ["sample_id", "batch"]), "nested-folds")
 
     grid = [(d, t) for d in deltas for t in temperatures]
 
     def losses(rows: DataFrame, inner_batch: str) -> DataFrame:
         """`rows` with the loss of the judged sample for each pair of the grid."""
-        terms = rows.crossJoin(F.broadcast(order)).withColumn("terms", _terms(F.col("state"), F.col("batch"), F.col("values"), F.col(inner_batch), F.col("order")))  # one row
-        squares = terms.withColumns({f"d{k}": _squares(F.col("terms"), len(batches), F.lit(float(d))) for k, d in enumerate(deltas)})
         true = sum((F.when(F.col(inner_batch) == b, k).otherwise(0) for k, b in enumerate(batches)), F.lit(0))
+        terms = rows.crossJoin(F.broadcast(order)).withColumn("terms", _terms(F.col("state"), F.col("values"), F.col("batch"), F.col(inner_batch), true, F.col("order")))  # one row
+        squares = terms.withColumn("squares", F.transform(F.array(*[F.lit(float(d)) for d in deltas]), lambda d: _squares(F.col("terms"), len(batches), d)))
+        heats = F.array(*[F.lit(float(t)) for t in temperatures])
 
-        def loss(k: int, t: float) -> Column:
-            return -F.log(F.greatest(F.get(_chances(F.col(f"d{k}"), F.lit(float(t))), true), F.lit(A.LEAST_P)))
+        def loss(squares_: Column, t: Column) -> Column:
+            return -F.log(F.greatest(F.get(_chances(squares_, t), true), F.lit(A.LEAST_P)))
 
-        return squares.withColumns({f"l{k}": loss(k // len(temperatures), t) for k, (_, t) in enumerate(grid)})
+        return squares.withColumn("losses", F.flatten(F.transform("squares", lambda q: F.transform(heats, lambda t: loss(q, t)))))
 
     classes = folds.groupBy("class", "batch").agg(F.first("state").alias("state")).withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)))
     judged = inner.withColumnRenamed("batch", "inner_batch").withColumn("part", F.explode(F.array(*[F.lit(k).cast("long") for k in range(PARTS)])))
-    met = classes.join(judged.hint("shuffle_hash").drop("sample_id"), "part")
-    totals = losses(met, "inner_batch").groupBy("class").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"l{k}").alias(f"s{k}") for k in range(len(grid))])
-    alone = losses(folds.withColumn("inner_batch", F.col("batch")), "inner_batch").select("sample_id", "class", *[f"l{k}" for k in range(len(grid))])
+    # Few bytes and much work: numbers of partitions are given, so that they aren't coalesced.
+    met = classes.repartition(PARTS, "part").join(judged.drop("sample_id").repartition(PARTS, "part").hint("shuffle_hash"), "part")
+    totals = losses(met, "inner_batch").groupBy("class").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("losses", k)).alias(f"s{k}") for k in range(len(grid))])
+    alone = losses(folds.withColumn("inner_batch", F.col("batch")), "inner_batch").select("sample_id", "class", "losses")
     both = alone.join(totals, "class")
-    means = F.array(*[F.round((F.col(f"s{k}") - F.col(f"l{k}")) / (F.col("n") - 1), LOSS_DIGITS) for k in range(len(grid))])
+    means = F.array(*[F.round((F.col(f"s{k}") - F.get("losses", k)) / (F.col("n") - 1), LOSS_DIGITS) for k in range(len(grid))])
     pairs = F.array(*[F.struct(F.lit(float(d)).alias("delta"), F.lit(float(t)).alias("temperature")) for d, t in grid])
     # Too few samples or batches to tune: the defaults.
     few = (F.col("n") - 1 < 3) | (F.size(F.array_distinct(F.col("others"))) < 2)
@@ -166,7 +177,7 @@ def nested_tuning(facts: DataFrame, strips: DataFrame, batch: int = BASELINE, de
 
     def assigned(rows: DataFrame) -> DataFrame:
         """`rows` (state, batch, values) with their chances as an array and the batch with the largest."""
-        terms = rows.join(tuned, "sample_id").crossJoin(F.broadcast(order)).withColumn("terms", _terms(F.col("state"), F.col("batch"), F.col("values"), None, F.col("order")))  # one row
+        terms = rows.join(tuned, "sample_id").withColumn("terms", _terms(F.col("state"), F.col("values"), F.col("batch")))
         out = terms.withColumn("squares", _squares(F.col("terms"), len(batches), F.col("delta"))).withColumn("p", _chances(F.col("squares"), F.col("temperature")))
         even = F.transform("p", lambda p: F.round(p, A.P_DIGITS))
         return out.withColumn("assigned", F.get(F.array(*[F.lit(b) for b in batches]), (F.array_position(even, F.array_max(even)) - 1).cast("int")))
