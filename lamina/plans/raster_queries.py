@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.robust import weighted_quantiles
 from lamina.functions.tables import stored
+from lamina.operators import correlation as C
 from lamina.operators import facts as X
 from lamina.operators import grey as Y
 from lamina.operators import grid as G
@@ -285,6 +286,15 @@ def image_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _every(px, out, "image_euler")
 
 
+def two_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation lengths and integral ranges of pores and silicon in pixels, and the errors of their shares."""
+    px = stored(pixels(spark, sf_dir), "pixels")
+    p = Y.phases(LOW, HIGH)
+    on = stored(px.where(p["pore"] | p["si"]).select("image", F.when(p["pore"], "pore").otherwise("si").alias("phase"), "r", "c"), "masks")
+    groups = px.select("image").distinct().withColumn("phase", F.explode(F.array(F.lit("pore"), F.lit("si"))))
+    return rounded(C.two_point(on, groups, ["image", "phase"], HEIGHT, WIDTH), "length_h", "length_v", "integral_range", "se", digits=6)
+
+
 def edge_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns at the frame whose colours differ, to be cropped, and those inside, which are only flagged. Colours are
     made from the grey level, with differences in a few columns."""
@@ -326,7 +336,7 @@ QUERIES = (
     image_fractions, strip_fractions, strip_cv, depth_slopes, chord_statistics, smoothing, noise_level, morphology, otsu_thresholds, shading_flag, image_gates, block_labels, block_audit,
     local_means, manual_masks, sensitivity, particle_sizes, pore_connectivity, hysteresis, distance_transform, evidence_fusion,
     material_contrast, contacts, exposed_interface, inclusions, threshold_slope, image_euler, edge_crop, edge_band, grey_histograms,
-    island_removal,
+    island_removal, two_point,
 )
 
 
@@ -516,6 +526,21 @@ SELECT image, count(*) AS n, count(*) FILTER (n >= 2) AS n_large, max(n) AS larg
 t AS (SELECT a.image, 1 AS s FROM o a UNION ALL SELECT a.image, -1 FROM o a JOIN o b ON b.image = a.image AND (b.r = a.r AND b.c = a.c + 1 OR b.c = a.c AND b.r = a.r + 1)
   UNION ALL SELECT a.image, 1 FROM o a JOIN o b ON b.image = a.image AND b.r = a.r AND b.c = a.c + 1 JOIN o d ON d.image = a.image AND d.r = a.r + 1 AND d.c = a.c JOIN o f ON f.image = a.image AND f.r = a.r + 1 AND f.c = a.c + 1)
 SELECT image, sum(s)::BIGINT AS euler, round(sum(s) / ({HEIGHT} * {WIDTH} * {PIXEL_UM}::DOUBLE ** 2 * 1e-6::DOUBLE), 2) AS density_mm2 FROM t GROUP BY image""",
+        "two_point": _PX
+        + f""", o AS (SELECT image, CASE WHEN g < {LOW} THEN 'pore' ELSE 'si' END AS phase, r, c FROM px WHERE g < {LOW} OR g >= {HIGH}),
+sh AS (SELECT a.dr, b.d FROM (SELECT unnest(range(-12, 13)) AS dr) a, (SELECT unnest(range(-12, 13)) AS d) b UNION SELECT 0, unnest(range(0, {WIDTH // 2})) UNION SELECT unnest(range(0, {HEIGHT // 2})), 0),
+n AS (SELECT a.image, a.phase, dr, d, count(b.r) AS n FROM o a, sh LEFT JOIN o b ON b.image = a.image AND b.phase = a.phase AND b.r = (a.r + dr + {HEIGHT}) % {HEIGHT} AND b.c = (a.c + d + {WIDTH}) % {WIDTH} GROUP BY ALL),
+f AS (SELECT image, phase, count(*) / {HEIGHT * WIDTH}::DOUBLE AS f FROM o GROUP BY ALL HAVING count(*) < {HEIGHT * WIDTH}),
+c AS (SELECT image, phase, dr, d, (n / {HEIGHT * WIDTH}::DOUBLE - f * f) / (f * (1 - f)) AS c FROM n JOIN f USING (image, phase)),
+l AS (SELECT image, phase, 'h' AS way, d AS k, c, {WIDTH // 2} AS size FROM c WHERE dr = 0 AND d BETWEEN 0 AND {WIDTH // 2 - 1} UNION ALL SELECT image, phase, 'v', dr, c, {HEIGHT // 2} FROM c WHERE d = 0 AND dr BETWEEN 0 AND {HEIGHT // 2 - 1}),
+b AS (SELECT image, phase, way, size, k, c, lag(c) OVER (PARTITION BY image, phase, way ORDER BY k) AS before FROM l),
+w AS (SELECT image, phase, way, coalesce(arg_min(k - 1 + (before - exp(-1::DOUBLE)) / (before - c), k) FILTER (c < exp(-1::DOUBLE)), any_value(size))::DOUBLE AS len FROM b GROUP BY ALL),
+rg AS (SELECT image, phase, floor(sqrt(dr * dr + d * d)) AS ring, sum(c) AS s, round(avg(c), {C.DIGITS}) AS m FROM c WHERE abs(dr) <= 12 AND abs(d) <= 12 GROUP BY ALL),
+en AS (SELECT image, phase, coalesce(min(ring) FILTER (ring <= 12 AND m <= 0), 12) AS ending FROM rg GROUP BY ALL),
+ir AS (SELECT image, phase, greatest(sum(s) FILTER (ring < ending), 1) AS a FROM rg JOIN en USING (image, phase) GROUP BY ALL)
+SELECT image, phase, coalesce(round((SELECT len FROM w WHERE w.image = q.image AND w.phase = q.phase AND way = 'h'), 6), 0) AS length_h, coalesce(round((SELECT len FROM w WHERE w.image = q.image AND w.phase = q.phase AND way = 'v'), 6), 0) AS length_v,
+       coalesce(round(a, 6), 1) AS integral_range, coalesce(round(sqrt(f * (1 - f) * a / {HEIGHT * WIDTH}), 6), 0) AS se
+FROM (SELECT image, phase FROM (SELECT DISTINCT image FROM px), (SELECT unnest(['pore', 'si']) AS phase)) q LEFT JOIN f USING (image, phase) LEFT JOIN ir USING (image, phase)""",
         "edge_crop": _PX
         + f""", bad AS (SELECT image, c FROM px GROUP BY image, c HAVING avg(((c < image % 4 OR c >= {WIDTH - 2} OR c = 20 + image) AND r % 10 < 6)::INT) > 0.5),
 good AS (SELECT image, min(c) AS a, max(c) AS b FROM (SELECT DISTINCT image, c FROM px) WHERE (image, c) NOT IN (SELECT (image, c) FROM bad) GROUP BY image)
