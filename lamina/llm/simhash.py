@@ -15,9 +15,10 @@ by adaptive execution.
 `keep_one` can also link by similarity, as the pipeline's stage does: all pairs of texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more. A radius in bits can't give these, as such pairs differ in up to
 a dozen bits and more. In any fixed order of shingles two sets that are so alike share one of their first
-n - ceil(0.8 n) + 1, so an equi-join on these prefixes loses no pair. The order puts shingles that a sample of texts
-shares last; it decides how many candidates there are and nothing else. Every text of a prefix shingle meets the
-shortest one first. What these pairs connect need not be compared again, so only texts of different components meet
+n - ceil(0.8 n) + 1, so an equi-join on these prefixes loses no pair. The order counts over all texts, for
+one shingle in ELIGIBLE by hash, how many texts have it, and puts the rarest first; shingles of one text alone fill most
+prefixes and link nothing. It decides how many candidates there are and nothing else, and as it counts everything, it
+serves as well at any size. Every text of a prefix shingle meets the shortest one first. What these pairs connect need not be compared again, so only texts of different components meet
 inside a shingle's group, and the parities of their sets, folded to FOLDED longs, rule out most of them within the join.
 Longer parities rule out most of the others, and the whole sets decide on what is left.
 
@@ -31,11 +32,11 @@ they alone make it up; an empty table gives an empty result; other columns are c
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import LOWEST_ID, documents, id_key, packed_row, small_arrow_batches, written
@@ -52,8 +53,8 @@ CHUNK = 1 << 16
 #: Similarity of whole texts: words of a shingle, and the least Jaccard similarity as a fraction.
 SIMILAR_WORDS = 5
 SIMILAR = (4, 5)
-#: Texts that are looked at to see which shingles are common, and the most of these that are put last.
-ORDER_DOCS, ORDER_SHARE, ORDER_SHINGLES = 20_000, 0.05, 200_000
+#: One in so many shingles, by hash, is counted over all texts for the order of prefixes. A prefix has a fifth of a set.
+ELIGIBLE = 4
 #: Least length of a sketch; texts of more shingles have as many bits as shingles at least, a power of two.
 SKETCH_BITS = 1024
 #: Further rounds in which the texts of a shingle's group meet some of those that are left, before all that are still apart
@@ -119,74 +120,66 @@ def _texts(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
     return docs.select(key.alias("row_key"), F.col(text_col).cast("string").alias("text"))
 
 
-def _common(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Shingles that several texts of a sample share, the rarest first."""
-    share = min(1.0, max(ORDER_SHARE, ORDER_DOCS / max(1, docs.count())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(1):
-                yield pa.RecordBatch.from_pydict({"token": shingle_set(text.as_py())[1].view(np.int64)})
-
-    seen = _texts(docs.sample(share, SEED), None, text_col).mapInArrow(run, "token long").groupBy("token").count().where("count > 1")
-    found = seen.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).collect()
-    return np.array([r["token"] for r in reversed(found)], np.int64).view(np.uint64)
-
-
-def _prefix(common: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """The first shingles of a sorted set in the order that puts common ones last."""
-    rank = np.argsort(common)
-    ordered = common[rank]
+def _prefix_size(n: int) -> int:
+    """How many of its first shingles a set of `n` needs, so that two similar sets share one of theirs in any fixed order."""
     up, down = SIMILAR
-
-    def chosen(shingles: np.ndarray) -> np.ndarray:
-        size = len(shingles) - (up * len(shingles) + down - 1) // down + 1 if len(shingles) else 0
-        at = np.searchsorted(ordered, shingles)
-        at[at == len(ordered)] = 0
-        late = ordered[at] == shingles if len(ordered) else np.zeros(len(shingles), bool)
-        rare = shingles[~late][:size]
-        return rare if len(rare) == size else np.concatenate([rare, common[np.sort(rank[at[late]])][: size - len(rare)]])
-
-    return chosen
+    return n - (up * n + down - 1) // down + 1 if n else 0
 
 
 def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """`row_key, fp` of every row, and of its text the hash `doc`, the number `n` of five-word shingles, the parities
-    `sketch` of their hashes by their last bits, these folded to the longs `f0` and so on, and the `prefix` of eight bytes
-    a hash."""
-    chosen = _prefix(_common(docs, text_col))
+    `sketch` of their hashes by their last bits, these folded to the longs `f0` and so on, and of eight bytes a hash the
+    `counted` shingles, those that ELIGIBLE picks by hash, and the `late` ones that the prefix needs if these are too few."""
     folds = [f"f{k}" for k in range(FOLDED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"fp": [], "doc": [], "n": [], "sketch": [], "prefix": [], **{f: [] for f in folds}}
+            out: dict[str, list] = {"fp": [], "doc": [], "n": [], "sketch": [], "counted": [], "late": [], **{f: [] for f in folds}}
             for text in batch.column(1):
                 doc, shingles = shingle_set(text.as_py())
                 bits = max(SKETCH_BITS, 1 << len(shingles).bit_length())
                 odd = np.bincount((shingles % bits).astype(np.int64), minlength=bits) & 1
                 sketch = np.packbits(odd.astype(bool))
                 folded = np.bitwise_xor.reduce(sketch.view(np.int64).reshape(-1, FOLDED), axis=0)
-                row = (fingerprint(text.as_py(), words), doc, len(shingles), sketch.tobytes(), chosen(shingles).tobytes(), *folded.tolist())
+                own = shingles % ELIGIBLE == 0
+                late = shingles[~own][: max(0, _prefix_size(len(shingles)) - int(own.sum()))]
+                row = (fingerprint(text.as_py(), words), doc, len(shingles), sketch.tobytes(), shingles[own].tobytes(), late.tobytes(), *folded.tolist())
                 for values, value in zip(out.values(), row, strict=True):
                     values.append(value)
             yield pa.RecordBatch.from_pydict({"row_key": batch.column(0), **out}, schema)
 
-    kinds = {"row_key": pa.int64(), "fp": pa.int64(), "doc": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "prefix": pa.binary(), **{f: pa.int64() for f in folds}}
+    kinds = {"row_key": pa.int64(), "fp": pa.int64(), "doc": pa.int64(), "n": pa.int64(), "sketch": pa.binary(), "counted": pa.binary(), "late": pa.binary(), **{f: pa.int64() for f in folds}}
     schema = pa.schema(list(kinds.items()))
-    return _texts(docs, id_col, text_col).mapInArrow(run, "row_key long, fp long, doc long, n long, sketch binary, prefix binary, " + ", ".join(f"{f} long" for f in folds))
+    return _texts(docs, id_col, text_col).mapInArrow(run, "row_key long, fp long, doc long, n long, sketch binary, counted binary, late binary, " + ", ".join(f"{f} long" for f in folds))
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """`token, doc, n` of every shingle of the prefixes."""
+    """`token, doc, late` of every shingle that a prefix may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
-            counts = [len(x) for x in tokens]
-            doc, n = (np.repeat(batch.column(k).to_numpy(), counts) for k in (0, 1))
-            yield pa.RecordBatch.from_pydict({"token": np.concatenate([*tokens, np.empty(0, np.int64)]), "doc": doc, "n": n})
+            for column, late in ((1, False), (2, True)):
+                tokens = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(column)]
+                doc = np.repeat(batch.column(0).to_numpy(), [len(x) for x in tokens])
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate([*tokens, np.empty(0, np.int64)]), "doc": doc, "late": np.full(len(doc), late)})
 
-    return rows.select("doc", "n", "prefix").mapInArrow(run, "token long, doc long, n long")
+    return rows.select("doc", "counted", "late").mapInArrow(run, "token long, doc long, late boolean")
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """`token, doc, n` of the shingles of the texts' prefixes that other texts have as well. The order counts, over all
+    texts, how many have an eligible shingle: those of one text come first, then the rarer before the more frequent, and
+    the shingles that aren't eligible last. Shingles of one text link nothing, so it is enough to know how many they are."""
+    tokens = _tokens(rows)
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("texts"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("token", "texts")
+    met = tokens.hint("merge").join(shared, "token").repartition("doc").dropDuplicates(["doc", "token"])
+    up, down = SIMILAR
+    size = F.col("n") - F.floor((up * F.col("n") + down - 1) / down) + 1
+    about = rows.select("doc", "n", (F.octet_length("counted") / 8).cast("long").alias("eligible"), size.alias("size")).dropDuplicates(["doc"])
+    whole = Window.partitionBy("doc")
+    ranked = met.join(about.hint("merge"), "doc").withColumns({"held": F.count(F.when(~F.col("late"), 1)).over(whole), "rank": F.row_number().over(whole.orderBy("late", "texts", "token"))})
+    left = F.least("size", "eligible") - (F.col("eligible") - F.col("held"))
+    return ranked.where(F.col("late") | (F.col("rank") <= left)).select("token", "doc", "n")
 
 
 def _differing(a: bytes, b: bytes) -> int:
@@ -248,9 +241,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 def similar_links(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Fingerprints `a, b` of pairs of similar texts of `docs`, of which `rows` is `shingled`: all pairs, without those
     that the pairs with a shared third text already link."""
-    tokens = _tokens(rows)
-    shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    placed = written(tokens.hint("merge").join(shared, "token").distinct(), "prefixes")
+    placed = written(_prefixes(rows), "prefixes")
     up, down = SIMILAR
     # Every text of a prefix shingle meets the shortest one first; texts that are similar to that one are linked
     # with each other by it, so only the others meet all.
