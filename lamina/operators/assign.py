@@ -6,11 +6,10 @@ own batch's median changes, and `loo_median` gives it from one sort.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.bootstrap import stability  # noqa: F401
 from lamina.functions.ranks import count_beside
 from lamina.functions.robust import loo_median, median
 from lamina.functions.tables import stored
@@ -26,7 +25,6 @@ TIE = 1e-12
 P_DIGITS = 9
 CONFIDENT_P, CONFIDENT_STABILITY, MODERATE_P = 0.75, 0.8, 0.5
 NOVEL_N, NOVEL_QUANTILE, NOVEL_FACTOR = 40, 0.975, 1.25
-BOOTSTRAP_N, BOOTSTRAP_SEED = 1000, 0
 SIGNATURE_EFFECT, SIGNATURE_STABILITY, SIGNATURE_Z = 1.5, 0.8, 1.0
 
 
@@ -135,25 +133,6 @@ def strip_vectors(rows: DataFrame, strips: DataFrame) -> DataFrame:
     return moved.join(rows.select("sample_id", "kpi", "x"), ["sample_id", "kpi"]).select("sample_id", "strip", "kpi", (F.col("x") + F.col("off")).alias("x"))
 
 
-def stability(moved: DataFrame, centres: DataFrame, assigned: DataFrame, resamples: int = BOOTSTRAP_N, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """`sample_id, stability`: share of bootstrap means of the sample's strip vectors (see `strip_vectors`) that lie
-    nearest to the batch of `assigned` (sample_id, assigned). Each sample draws anew from the same seed."""
-    table = pd.DataFrame([r.asDict() for r in centres.select("batch", "kpi", "c").collect()], columns=["batch", "kpi", "c"])  # batches times indicators
-    middle = table.pivot(index="batch", columns="kpi", values="c").sort_index()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        strips = rows.pivot(index="strip", columns="kpi", values="x").sort_index().reindex(columns=middle.columns).fillna(0.0).to_numpy()
-        picks = np.random.default_rng(seed).integers(0, len(strips), size=(resamples, len(strips)))
-        means = strips[picks].mean(axis=1)
-        off = ((means[:, None, :] - middle.to_numpy()[None]) ** 2).sum(axis=2)
-        calls = middle.index.to_numpy()[off.argmin(axis=1)]
-        return pd.DataFrame({"sample_id": rows["sample_id"].iloc[:1], "stability": [float((calls == rows["assigned"].iloc[0]).mean())]})
-
-    kind = moved.schema["sample_id"].dataType.simpleString()
-    both = moved.select("sample_id", "strip", "kpi", "x").join(assigned.select("sample_id", "assigned"), "sample_id")
-    return both.groupBy("sample_id").applyInPandas(run, f"sample_id {kind}, stability double")
-
-
 def new_way(scored: DataFrame, signs: DataFrame, matches: DataFrame, limit: float = REJECT_Z) -> DataFrame:
     """`sample_id, new_way`: far off in an indicator of no signature, while no signature matches."""
     known = signs.where("in_signature").select("kpi").distinct()

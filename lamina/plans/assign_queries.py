@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.bootstrap import literal
 from lamina.operators import assign as A
 from lamina.operators import baseline as B
 from lamina.operators import facts as X
@@ -78,7 +79,7 @@ def strip_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample's batch with its label by the stability of bootstrap means, and its novelty with the signatures' rules.
-    The draws have no SQL; `strip_agreement` and `novelty` are the parts that have."""
+    `bootstrap_stability` and `novelty` are the parts that have SQL."""
     facts = X.facts(spark, sf_dir)
     stats = B.baseline(facts)
     scored = B.zscores(facts, stats)
@@ -96,8 +97,20 @@ def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("confidence", A.confidence(F.col("p_top"), F.col("stability"))), "p_top", "stability", "dmin", "id_score")
 
 
+def bootstrap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample's batch with the share of bootstrap means of its strips that keep it, and the label that follows."""
+    facts = X.facts(spark, sf_dir)
+    stats = B.baseline(facts)
+    rows = A.features(B.zscores(facts, stats))
+    strips = B.zscores(X.strip_facts(spark, sf_dir), stats).select("sample_id", "strip", "kpi", F.coalesce(F.col("z") * X.weight(F.col("kpi")), F.lit(0.0)).alias("x"))
+    centres = A.centroids(rows, 0.0)
+    whole = A.best(A.softmax(A.distances(rows, centres), F.lit(TEMPERATURE), ["sample_id"]), ["sample_id"]).select("sample_id", F.col("candidate").alias("assigned"), F.col("p").alias("p_top"))
+    out = whole.join(A.stability(A.strip_vectors(rows, strips), centres, whole), "sample_id")
+    return rounded(out.withColumn("confidence", A.confidence(F.col("p_top"), F.col("stability"))), "p_top", "stability")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (shrunken_centroids, softmax_assign, grid_tune, within_distance, novelty, signatures, signature_match, jaccard, strip_agreement, assignment)}
+    return {f.__name__: f for f in (bootstrap_stability, shrunken_centroids, softmax_assign, grid_tune, within_distance, novelty, signatures, signature_match, jaccard, strip_agreement, assignment)}
 
 
 _VECTORS = """
@@ -146,6 +159,24 @@ _WEIGHT = "CASE WHEN kpi IN ('qty_mean', 'price_mean', 'unit_price_mean') THEN 1
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _definitions()
+    parts = out["strip_agreement"].split("\nsd AS (")[0].rstrip(",")
+    out["bootstrap_stability"] = (
+        parts
+        + f""",
+pv AS (SELECT *, dense_rank() OVER (PARTITION BY sample_id ORDER BY strip) - 1 AS pos FROM sv),
+pn AS (SELECT sample_id, max(pos) + 1 AS n FROM pv GROUP BY sample_id),
+mean AS (SELECT sample_id, kpi, b, sum(times * x) / n AS m FROM pv JOIN pn USING (sample_id) JOIN {literal(X.STRIPS)} d USING (n, pos) GROUP BY sample_id, kpi, b, n),
+far AS (SELECT sample_id, b, candidate, round(sum((m - c) ** 2), 9) AS e FROM mean JOIN raw USING (kpi) GROUP BY ALL),
+call AS (SELECT sample_id, b, (list(candidate ORDER BY e, candidate))[1] AS call FROM far GROUP BY ALL),
+st AS (SELECT sample_id, assigned, p_top, avg((call = assigned)::INT) AS s FROM call JOIN top USING (sample_id) GROUP BY ALL)
+SELECT sample_id, assigned, round(p_top, 8) AS p_top, round(s, 8) AS stability,
+       CASE WHEN p_top >= 0.75 AND s >= 0.8 THEN 'confident' WHEN p_top >= 0.5 THEN 'moderately confident' ELSE 'low confidence' END AS confidence FROM st"""
+    )
+    return out
+
+
+def _definitions() -> dict[str, str]:
     best = "row_number() OVER (PARTITION BY sample_id ORDER BY round(p, 9) DESC, candidate)"
     return {
         "shrunken_centroids": _CENTRES + " SELECT batch, kpi, round(c, 8) AS c FROM centres",

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.bootstrap import intervals, literal
 from lamina.functions.tables import with_workers
 from lamina.operators import facts as X
 from lamina.operators import image as I
@@ -44,7 +45,7 @@ def raster_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.bootstrap(X.strip_facts(spark, sf_dir).select("sample_id", "kpi", "strip", "value")), "lo", "hi")
+    return rounded(intervals(X.strip_facts(spark, sf_dir), ["sample_id", "kpi"]), "lo", "hi")
 
 
 def simulation_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,16 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     from lamina.plans.baseline_queries import FACTS
+    from lamina.plans.nested_queries import _STRIP_FACTS
 
     return {
+        "bootstrap_ci": "WITH "
+        + _LINES
+        + f""",
+s AS ({_STRIP_FACTS}),
+p AS (SELECT *, row_number() OVER (PARTITION BY sample_id, kpi ORDER BY strip) - 1 AS pos, count(*) OVER (PARTITION BY sample_id, kpi) AS n FROM s),
+m AS (SELECT sample_id, kpi, b, sum(times * value) / sum(times) AS m FROM p JOIN {literal(X.STRIPS)} d ON d.n = p.n AND d.pos = p.pos GROUP BY ALL)
+SELECT sample_id, kpi, round(quantile_cont(m, 0.025), 8) AS lo, round(quantile_cont(m, 0.975), 8) AS hi FROM m GROUP BY ALL""",
         "simulation_indices": "WITH "
         + _LINES
         + """,
