@@ -12,10 +12,13 @@ from lamina.operators import correlation as C
 from lamina.operators import facts as X
 from lamina.operators import grey as Y
 from lamina.operators import grid as G
+from lamina.operators import segment as S
 from lamina.plans.baseline_queries import rounded
 
 HEIGHT, WIDTH, LOW, HIGH = 50, 64, 108, 150
 PIXEL_UM = 0.025
+#: Hysteresis, least pore and margin of the segmentation here.
+SEGMENT = (2, 6, 1)
 #: Rows between the images where they lie below one another.
 STEP = HEIGHT + 1
 MASKS = [(0, "rows", 0, 4), (0, "cols", 60, 63), (1, "rows", 45, 49), (3, "cols", 0, 9), (3, "cols", 5, 12)]
@@ -295,6 +298,26 @@ def two_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.two_point(on, groups, ["image", "phase"], HEIGHT, WIDTH), "length_h", "length_v", "integral_range", "se", digits=6)
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's images with thresholds of their own; the row below stands for the second channel. As smoothed noise has a
+    narrow range, the levels and the least size are smaller than for micrographs."""
+    px = stored(pixels(spark, sf_dir), "pixels")
+    below = px.select("image", (F.col("r") - 1).alias("r"), "c", F.col("g").alias("e"))
+    both = px.join(below, Y.PLACE, "left").withColumn("e", F.coalesce("e", "g"))
+    return S.segmented(both, HEIGHT, WIDTH, *SEGMENT)
+
+
+def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds and areas of each image."""
+    n = [F.count(F.when(F.col("phase") == k, 1)).alias(k) for k in ("pore", "doubtful", "si", "carbon")]
+    return _segmented(spark, sf_dir).groupBy("image").agg(F.max("t1").alias("t1"), F.max("t2").alias("t2"), *n)
+
+
+def segmentation_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the phases with their errors over strips."""
+    return rounded(S.with_errors(_segmented(spark, sf_dir), WIDTH), "value", "se")
+
+
 def edge_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns at the frame whose colours differ, to be cropped, and those inside, which are only flagged. Colours are
     made from the grey level, with differences in a few columns."""
@@ -336,7 +359,7 @@ QUERIES = (
     image_fractions, strip_fractions, strip_cv, depth_slopes, chord_statistics, smoothing, noise_level, morphology, otsu_thresholds, shading_flag, image_gates, block_labels, block_audit,
     local_means, manual_masks, sensitivity, particle_sizes, pore_connectivity, hysteresis, distance_transform, evidence_fusion,
     material_contrast, contacts, exposed_interface, inclusions, threshold_slope, image_euler, edge_crop, edge_band, grey_histograms,
-    island_removal, two_point,
+    island_removal, two_point, segmentation, segmentation_kpis,
 )
 
 
@@ -384,6 +407,41 @@ sizes AS (SELECT image, component, sum(b - a + 1)::BIGINT AS n, min(r) - image *
           FROM lab JOIN runs USING (node) GROUP BY image, component)"""
 
 
+def _parts(name: str, of: str) -> str:
+    """Components of pixels `image, r, c, v` as `name`_l (image, r, c, v, label), by recursion over neighbours."""
+    return f"""{name}_o AS (SELECT image, image * 10000 + r * 100 + c AS id, r, c, v FROM {of}),
+{name}_e AS (SELECT a.id AS u, b.id AS w FROM {name}_o a JOIN {name}_o b ON b.image = a.image AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+{name}_reach(id, label) AS (SELECT id, id FROM {name}_o UNION SELECT e.w, {name}_reach.label FROM {name}_reach JOIN {name}_e e ON e.u = {name}_reach.id WHERE {name}_reach.label < e.w),
+{name}_l AS (SELECT image, r, c, v, label FROM (SELECT id, min(label) AS label FROM {name}_reach GROUP BY id) JOIN {name}_o USING (id))"""
+
+
+def _segmentation(gauss: str) -> str:
+    """The label maps `seg` (image, r, c, t1, t2, phase) from the definition."""
+    hysteresis, least, margin = SEGMENT
+
+    def smooth(name: str, of: str) -> str:
+        return f"""{name}h AS (SELECT p.image, p.r, p.c, sum(q.g * w) AS s FROM {of} p, w JOIN {of} q ON q.image = p.image AND q.r = p.r AND q.c = least(greatest(p.c + k, 0), {WIDTH - 1}) GROUP BY ALL),
+{name} AS (SELECT p.image, p.r, p.c, round(sum(q.s * w), {S.DIGITS}) AS s FROM {name}h p, w JOIN {name}h q ON q.image = p.image AND q.c = p.c AND q.r = least(greatest(p.r + k, 0), {HEIGHT - 1}) GROUP BY ALL)"""
+
+    return (
+        _PX
+        + f""", {gauss}, py AS (SELECT p.image, p.r, p.c, coalesce(q.g, p.g) AS g FROM px p LEFT JOIN px q ON q.image = p.image AND q.r = p.r + 1 AND q.c = p.c),
+{smooth("sa", "px")}, {smooth("sb", "py")}, src AS (SELECT image, floor(s + 0.5)::BIGINT AS g FROM sa), {_otsu("image")},
+ct AS (SELECT sa.image, sa.r, sa.c, sa.s, sb.s AS e, t1, t2 FROM sa JOIN sb USING (image, r, c) LEFT JOIN best USING (image)),
+lm AS (SELECT image, quantile_cont(e, {S.DARK_SHARE}) FILTER (s >= t1 AND s < t2) AS lim FROM ct GROUP BY image),
+wk AS (SELECT image, r, c, (s <= t1)::INT AS v FROM ct WHERE s <= t1 + {hysteresis}), {_parts("a", "wk")},
+po AS (SELECT ct.image, ct.r, ct.c, coalesce(e < lim, true) AS dark FROM a_l JOIN ct USING (image, r, c) JOIN lm USING (image) WHERE label IN (SELECT label FROM a_l GROUP BY label HAVING max(v) = 1)),
+dk AS (SELECT image, r, c, 0 AS v FROM po WHERE dark), {_parts("b", "dk")},
+dp AS (SELECT image, r, c FROM b_l WHERE label IN (SELECT label FROM b_l GROUP BY label HAVING count(*) >= {least})),
+d5 AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dr, dc)),
+hi AS (SELECT image, r, c FROM ct WHERE s >= t2), {_erode("he", "hi")}, {_dilate("br", "he")}, {_erode("be", "br")},
+bv AS (SELECT br.image, br.r, br.c, CASE WHEN be.r IS NOT NULL THEN s - t2 END AS v FROM br JOIN ct USING (image, r, c) LEFT JOIN be ON be.image = br.image AND be.r = br.r AND be.c = br.c), {_parts("d", "bv")},
+si AS (SELECT image, r, c FROM d_l WHERE label IN (SELECT label FROM d_l GROUP BY label HAVING median(v) >= {margin})),
+seg AS (SELECT ct.image, ct.r, ct.c, t1, t2, CASE WHEN dp.r IS NOT NULL THEN 'pore' WHEN si.r IS NOT NULL THEN 'si' WHEN po.dark = false THEN 'doubtful' ELSE 'carbon' END AS phase
+        FROM ct LEFT JOIN dp ON dp.image = ct.image AND dp.r = ct.r AND dp.c = ct.c LEFT JOIN si ON si.image = ct.image AND si.r = ct.r AND si.c = ct.c LEFT JOIN po ON po.image = ct.image AND po.r = ct.r AND po.c = ct.c)"""
+    )
+
+
 _ON = f"on1 AS (SELECT image, r, c FROM px WHERE g < {LOW}), d5 AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dr, dc))"
 
 
@@ -421,7 +479,16 @@ md AS (SELECT ph.image, ph.p, CASE WHEN count(er.r) >= 20 THEN median(g) FILTER
 mc AS (SELECT image, max(m) FILTER (p = 'si') AS si, max(m) FILTER (p = 'carbon') AS carbon, max(m) FILTER (p = 'pore') AS pore FROM md GROUP BY image)"""
     )
     change = "round(max(abs((m.{0} - b.{0}) / nullif(abs(b.{0}), 0))) FILTER (m.variation = '{1}'), 8) AS {1}"
+    shares = "count(*) FILTER (phase = 'pore') / count(*)::DOUBLE AS pore, count(*) FILTER (phase = 'doubtful') / count(*)::DOUBLE AS doubtful, count(*) FILTER (phase = 'si') / count(*)::DOUBLE AS si, count(*) FILTER (phase = 'si') / nullif(count(*) FILTER (phase <> 'pore'), 0)::DOUBLE AS si_solid"
     return {
+        "segmentation": _segmentation(gauss)
+        + " SELECT image, max(t1) AS t1, max(t2) AS t2, count(*) FILTER (phase = 'pore') AS pore, count(*) FILTER (phase = 'doubtful') AS doubtful, count(*) FILTER (phase = 'si') AS si, count(*) FILTER (phase = 'carbon') AS carbon FROM seg GROUP BY image",
+        "segmentation_kpis": _segmentation(gauss)
+        + f""", sw AS (SELECT image, {shares} FROM seg GROUP BY image), ss AS (SELECT image, {_STRIP} AS strip, {shares} FROM seg GROUP BY ALL),
+ls AS (SELECT image, unnest(['pore', 'doubtful', 'si', 'si_solid']) AS kpi, unnest([pore, doubtful, si, si_solid]) AS x FROM ss)
+SELECT image, k.kpi, round(CASE k.kpi WHEN 'pore' THEN pore WHEN 'doubtful' THEN doubtful WHEN 'si' THEN si ELSE si_solid END, 8) AS value,
+       (SELECT round(CASE WHEN count(x) >= 2 THEN stddev_samp(x) / sqrt(count(x)) END, 8) FROM ls WHERE ls.image = sw.image AND ls.kpi = k.kpi) AS se
+FROM sw, (SELECT unnest(['pore', 'doubtful', 'si', 'si_solid']) AS kpi) k""",
         "image_fractions": _PX + f" SELECT image, {_FRACTIONS} FROM px GROUP BY image",
         "strip_fractions": _PX + f" SELECT image, {_STRIP} AS strip, {_FRACTIONS} FROM px GROUP BY ALL",
         "strip_cv": _PX

@@ -35,7 +35,7 @@ def views(monkeypatch, lacking):
     return lacking
 
 
-@pytest.mark.parametrize("name", sorted({*R.NOTHING, "morphology", "image_fractions", "material_contrast", "image_gates", "evidence_fusion", "island_removal", "sensitivity", "two_point"}))
+@pytest.mark.parametrize("name", sorted({*R.NOTHING, "morphology", "image_fractions", "material_contrast", "image_gates", "evidence_fusion", "island_removal", "sensitivity", "two_point", "segmentation", "segmentation_kpis"}))
 def test_rows_and_values(spark, views, name):
     query = R.queries()[name]
     same(spark, query, R.oracle_sql()[name], views)
