@@ -7,7 +7,7 @@ through the byte table and joins the bytes; a character that tokens split comes
 joined before they are read as UTF-8.
 
 Results for unusual input: null and empty texts have no ids and decode to nothing; texts of any length are
-encoded whole; repeated rows get equal results; a null identifier stays null; other columns are not needed. Ids
+encoded whole; repeated rows get equal results; a null identifier stays null; an empty table gives an empty result; other columns are not needed. Ids
 outside the vocabulary raise an error when they are decoded.
 """
 

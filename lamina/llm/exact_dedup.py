@@ -9,7 +9,8 @@ itself is never shuffled: both joins and the sums over sightings work on its buc
 An index outlives the session: a `DigestIndex` at the same place opens it again. The functions that get none make one
 for the call, add their rows in BATCHES batches, and remove it in the end.
 
-Results for unusual input: a null text equals an empty one; a null identifier ranks below all others and can
+Results for unusual input: a null text equals an empty one; rows that repeat their group's largest identifier are all
+marked as kept, as the identifier can't tell them apart; a null identifier ranks below all others and can
 stay only if its whole group has none; of rows that repeat identifier and text, `drop_duplicates` keeps the one whose
 columns have the smallest hash; an empty table gives an empty result; other columns, whatever their names, are
 ignored by the index and carried by `drop_duplicates`.

@@ -9,7 +9,8 @@ given. The score of a run that fails is the share of the mandatory
 words that it got through. Phrases are plain places of consecutive words and give base labels.
 
 Results for unusual input: null and empty texts have no words, places or labels and score 0; texts of any length
-are read whole; repeated rows get equal results; a null identifier stays null; other columns are ignored.
+are read whole; repeated rows get equal results; a null identifier stays null; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ aside. Spark counts (feature, bin, label) histograms for each step, so the drive
 
 Results for unusual input: a null text has no words and fails the base rules; without labels of both kinds the
 list is empty and only the base rules decide; repeated rows get equal results; very long texts are measured
-whole; other columns are carried along.
+whole; null identifiers and ties are judged by their text alone; an empty table gives an empty result. Other columns are
+carried along, but ones named as those that are added (n_words, f_*, kept, rule) are replaced: pass the row as a struct.
 """
 
 from __future__ import annotations

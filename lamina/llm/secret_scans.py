@@ -12,7 +12,8 @@ left out. Time grows in proportion to the text: candidates carry their own chara
 and a redacted text is put together from short chunks of it.
 
 Results for unusual input: null and empty texts have no spans; a text of any length is scanned whole; repeated
-rows get equal results; other columns are carried along.
+rows get equal results; an empty table gives an empty result. Other columns are carried along, but ones named base_spans or
+all_spans are replaced: pass the row as a struct.
 """
 
 from __future__ import annotations
