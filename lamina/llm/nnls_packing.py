@@ -21,7 +21,6 @@ tasks and rows; an empty table gives an empty result; other columns are ignored,
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -50,16 +49,14 @@ PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
     """PIECE rows of every document, with the end id; `nth` counts the pieces of the same length before it in its task."""
-    small_arrow_batches(docs.sparkSession)
+    small_arrow_batches(docs.sparkSession, 4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, task, number = encoder(path, memo_chunks), np.array([end], np.uint32), TaskContext.get().partitionId(), 0
         wide = "<u2" if own.vocabulary <= 1 << 16 else "<u4"
         before = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            gc.disable()  # many small lists and no cycles: looking for some takes a tenth of the time
             lists = own.encode_many(batch.column(1))
-            gc.enable()
             tokens = np.array([len(x) + 1 for x in lists], np.int64)
             ids = np.concatenate([part for x in lists for part in (x, last)] or [last[:0]]).astype("<u4")
             # All pieces but a document's first are full.

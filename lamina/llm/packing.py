@@ -57,7 +57,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text", memo_chunks: int = MEMO_CHUNKS) -> DataFrame:
     """Every document's pieces, with the separator at its end; ids themselves stay in the worker."""
-    small_arrow_batches(docs.sparkSession)
+    small_arrow_batches(docs.sparkSession, 4096)  # the more texts, the fewer distinct chunks to look up; 8 MB hold either way
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(path, memo_chunks), np.array([separator], np.uint32)
