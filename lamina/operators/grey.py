@@ -216,17 +216,25 @@ def fused(pixels: DataFrame, low: int, high: int, width: float = 3.0, trust: flo
 
 
 def squared_distances(on: DataFrame, off: DataFrame) -> DataFrame:
-    """`image, r, c, d2`: the squared distance of every set pixel to the nearest unset one of its image. The nearest one
-    along the row bounds the rows that have to be looked at, so a pixel asks as many rows as it is deep."""
+    """`image, r, c, d2`: the squared distance of every set pixel to the nearest unset one of its image; an image without an
+    unset pixel has no rows. What the nearest rows with an unset pixel have along them bounds the rows that have to be
+    looked at, so a pixel asks about as many rows as it is deep."""
     all_ = on.withColumn("at", F.lit(None).cast("long")).unionByName(off.withColumn("at", F.col("c")))
     line = Window.partitionBy("image", "r").orderBy("c")
     before = F.last("at", ignorenulls=True).over(line)
     after = F.first("at", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
     rows = all_.select(*PLACE, F.least(F.col("c") - before, after - F.col("c")).alias("h"), F.col("at").isNull().alias("on"))
     column = Window.partitionBy("image", "c").orderBy("r")
-    up = F.last(F.when(F.col("h") == 0, F.col("r")), ignorenulls=True).over(column)
-    down = F.first(F.when(F.col("h") == 0, F.col("r")), ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
-    bounded = rows.withColumn("reach", F.least("h", F.col("r") - up, down - F.col("r"))).where("on AND reach IS NOT NULL")
+    below = column.rowsBetween(0, Window.unboundedFollowing)
+
+    def nearest(found: Column) -> Column:
+        """How far the unset pixel along the nearest row with `found` is at most, by steps along rows and columns."""
+        place = F.when(found, F.struct("r", "h"))
+        up, down = F.last(place, ignorenulls=True).over(column), F.first(place, ignorenulls=True).over(below)
+        return F.least(F.col("r") - up["r"] + up["h"], down["r"] - F.col("r") + down["h"])
+
+    reach = F.least("h", nearest(F.col("h") == 0), nearest(F.col("h").isNotNull()))
+    bounded = rows.withColumn("reach", reach).where("on AND reach IS NOT NULL")
     asked = bounded.select(*PLACE, F.explode(F.sequence(F.col("r") - F.col("reach") + 1, F.col("r") + F.col("reach") - 1)).alias("q"), "reach")
     other = rows.select("image", F.col("r").alias("q"), "c", "h")
     found = asked.join(other, ["image", "q", "c"], "left").groupBy(*PLACE).agg(F.least(F.min(F.col("h") ** 2 + (F.col("r") - F.col("q")) ** 2), F.max(F.col("reach") ** 2)).alias("d2"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.plans import assign_queries, baseline_queries, grid_queries, image_queries, nested_queries, raster_queries, report_queries, source_queries, validate_queries
+from lamina.plans import assign_queries, baseline_queries, grid_queries, image_queries, nested_queries, raster_queries, report_queries, shape_queries, source_queries, validate_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [baseline_queries, assign_queries, validate_queries, nested_queries, grid_queries, source_queries, image_queries, raster_queries, report_queries]
+MODULES = [baseline_queries, assign_queries, validate_queries, nested_queries, grid_queries, source_queries, image_queries, raster_queries, shape_queries, report_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lamina.plans import raster_queries as R
+from lamina.plans import shape_queries as Q
 from tests.oracle import SF, same
 
 
@@ -35,10 +36,14 @@ def views(monkeypatch, lacking):
     return lacking
 
 
-@pytest.mark.parametrize("name", sorted({*R.NOTHING, "morphology", "image_fractions", "material_contrast", "image_gates", "evidence_fusion", "island_removal", "sensitivity", "two_point", "segmentation", "segmentation_kpis"}))
+NAMES = sorted({*R.NOTHING, "morphology", "image_fractions", "material_contrast", "image_gates", "evidence_fusion", "island_removal", "sensitivity", "two_point", "segmentation", "segmentation_kpis"})
+NAMES += ["local_thickness", "shape_kpis", "perturbation", "perturbation_robustness"]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_rows_and_values(spark, views, name):
-    query = R.queries()[name]
-    same(spark, query, R.oracle_sql()[name], views)
+    query = (R.queries() | Q.queries())[name]
+    same(spark, query, (R.oracle_sql() | Q.oracle_sql())[name], views)
     out = query(spark, views)
     if "image" in out.columns:
         assert {r["image"] for r in out.select("image").distinct().collect()} == set(range(7))
