@@ -56,7 +56,7 @@ def facts(counts: DataFrame, low: int, high: int, level: Column | None = None) -
 
 def perturbed(counts: DataFrame, low: int, high: int, changes: dict[str, tuple[float, float, float]] = CHANGES) -> DataFrame:
     """`image, change, kpi, value, moved, z, z_moved, shift` of every image, change and indicator: values and z-scores without
-    and with the change, against the baseline of all unchanged images, and the shift in scales (null where the scale is 0)."""
+    and with the change, against the baseline of all unchanged images, and the shift in scales (the least scale is 1e-9)."""
     own = stored(facts(counts, low, high), "facts")
     stats = stored(B.baseline(own, 0), "baseline")
     base = B.zscores(own, stats).select("sample_id", "kpi", "value", "z")

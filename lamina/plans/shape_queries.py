@@ -146,7 +146,8 @@ wh AS (UNPIVOT (SELECT image, change, {kpis} FROM lv GROUP BY image, change) ON
 st AS (UNPIVOT (SELECT image, {_STRIP} AS strip, {kpis} FROM px GROUP BY ALL) ON {names} INTO NAME kpi VALUE v),
 se AS (SELECT image, kpi, CASE WHEN count(*) >= 2 THEN stddev_samp(v) / sqrt(count(*)) END AS se FROM st GROUP BY ALL),
 ce AS (SELECT kpi, median(v) AS med, coalesce(median(se), 0) AS within FROM wh LEFT JOIN se USING (image, kpi) WHERE change = 'own' GROUP BY kpi),
-sc AS (SELECT kpi, any_value(med) AS med, greatest(1.4826::DOUBLE * median(abs(v - med)), any_value(within), 0.05::DOUBLE * abs(any_value(med))) AS scale FROM wh JOIN ce USING (kpi) WHERE change = 'own' GROUP BY kpi),
+sr AS (SELECT kpi, any_value(med) AS med, greatest(1.4826::DOUBLE * median(abs(v - med)), any_value(within), 0.05::DOUBLE * abs(any_value(med))) AS scale FROM wh JOIN ce USING (kpi) WHERE change = 'own' GROUP BY kpi),
+sc AS (SELECT kpi, med, CASE WHEN scale > 0 THEN scale ELSE 1e-9::DOUBLE END AS scale FROM sr),
 pe AS (SELECT a.image, a.change, kpi, o.v AS value, a.v AS moved, (o.v - med) / nullif(scale, 0) AS z, (a.v - med) / nullif(scale, 0) AS z_moved, abs(a.v - o.v) / nullif(scale, 0) AS shift
        FROM wh a JOIN wh o USING (image, kpi) JOIN sc USING (kpi) WHERE a.change <> 'own' AND o.change = 'own')"""
     )
