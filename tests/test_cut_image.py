@@ -15,6 +15,6 @@ def cut(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["smoothing", "segmentation", "segmentation_kpis"])
+@pytest.mark.parametrize("name", ["smoothing", "noise_level", "segmentation", "segmentation_kpis", "shape_kpis", "edge_band"])
 def test_cut_image(spark, cut, name):
     same(spark, entry.queries()[name], entry.oracle_sql()[name], cut)
