@@ -11,7 +11,7 @@ indicator. Two facts make it small:
   Folds are grouped by this state; inner samples meet states, not folds, and a fold's own loss, which it must not
   count, is subtracted. With k indicators there are about 2^k states and k times a few more, however many samples there are.
 
-The losses of a state over the grid are summed while they are made; no pair of samples is stored or shuffled.
+The losses of a state over the grid are summed in blocks while they are made (`fold_losses`); no pair of samples is stored or shuffled.
 
 A sample that lacks an indicator has 0 for it and does not enter its centroids; a batch without any sample left is no
 candidate; samples without a single baseline statistic to compare with have no row.
@@ -23,13 +23,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.robust import finite, robust_stats
-from lamina.functions.tables import stored
+from lamina.functions.tables import stored, with_workers
 from lamina.operators import assign as A
 from lamina.operators import baseline as B
+from lamina.operators import fold_losses as K
 from lamina.operators.facts import BASELINE, abs_floor, weight
 
-#: States are dealt into so many parts, which the inner samples are copied to.
-PARTS = 64
+#: About so many samples of five equal batches share a hash; a block has those of one batch.
+BLOCK = 2000
+#: States of a block.
+STATES = 128
+#: Tasks that judge at most.
+MOST_TASKS = 1024
 #: Values beside the middle of a batch.
 MIDDLE = 4
 #: Losses that agree to so many digits are equal; the first pair of the grid wins.
@@ -143,11 +148,21 @@ def nested_tuning(facts: DataFrame, strips: DataFrame, batch: int = BASELINE, de
     folds = stored(folds.join(inner, ["sample_id", "batch"]), "nested-folds")
 
     grid = [(d, t) for d in deltas for t in temperatures]
+    nothing = {"": [{"n": None, "p0": None, "mid": []}] * len(batches)}
+    middles = order.first()["order"] or nothing  # a few numbers for each batch and indicator
+    kpis = sorted(middles)
+
+    def index_of(name: Column) -> Column:
+        return sum((F.when(name == b, k).otherwise(0) for k, b in enumerate(batches)), F.lit(0))
+
+    def first_place(kpi: str) -> Column:
+        return F.element_at(F.array(*[F.lit(t["p0"]).cast("int") for t in middles[kpi]]), index_of(F.col("batch")) + 1)
 
     def losses(rows: DataFrame, inner_batch: str) -> DataFrame:
         """`rows` with the loss of the judged sample for each pair of the grid."""
-        true = sum((F.when(F.col(inner_batch) == b, k).otherwise(0) for k, b in enumerate(batches)), F.lit(0))
+        true = index_of(F.col(inner_batch))
         terms = rows.crossJoin(F.broadcast(order)).withColumn("terms", _terms(F.col("state"), F.col("values"), F.col("batch"), F.col(inner_batch), true, F.col("order")))  # one row
+        terms = stored(terms.drop("order", "state", "values"), "nested-terms")  # a plan in one piece makes them anew for each candidate and delta
         squares = terms.withColumn("squares", F.transform(F.array(*[F.lit(float(d)) for d in deltas]), lambda d: _squares(F.col("terms"), len(batches), d)))
         heats = F.array(*[F.lit(float(t)) for t in temperatures])
 
@@ -156,11 +171,40 @@ def nested_tuning(facts: DataFrame, strips: DataFrame, batch: int = BASELINE, de
 
         return squares.withColumn("losses", F.flatten(F.transform("squares", lambda q: F.transform(heats, lambda t: loss(q, t)))))
 
-    classes = folds.groupBy("class", "batch").agg(F.first("state").alias("state")).withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)))
-    judged = inner.withColumnRenamed("batch", "inner_batch").withColumn("part", F.explode(F.array(*[F.lit(k).cast("long") for k in range(PARTS)])))
-    # Few bytes and much work: numbers of partitions are given, so that they aren't coalesced.
-    met = classes.repartition(PARTS, "part").join(judged.drop("sample_id").repartition(PARTS, "part").hint("shuffle_hash"), "part")
-    totals = losses(met, "inner_batch").groupBy("class").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("losses", k)).alias(f"s{k}") for k in range(len(grid))])
+    # States are about 2^k a batch and a few times more in the baseline, some hundred bytes each: blocks of them are broadcast to
+    # blocks of samples, so that no pair of a state and a sample is a row.
+    n_states, n_samples = folds.select("class").distinct().count(), inner.count()
+    held = folds.groupBy("class", "batch").agg(F.first("state").alias("state")).withColumn("state", F.map_from_arrays(F.col("state")["kpi"], F.col("state")))
+    nan, nowhere = F.lit(float("nan")), F.lit(K.NONE)
+    each = [F.try_element_at("state", F.lit(k)) for k in kpis]
+    ends = [first_place(k) for k in kpis]
+    states = held.select(
+        "class",
+        index_of(F.col("batch")).alias("own"),
+        *[F.array(*[F.coalesce(s[f], nan) for s in each]).alias(f) for f in ("med", "scale", "w")],
+        F.array(*[F.coalesce(s["place"] - p + 1, nowhere) for s, p in zip(each, ends, strict=True)]).alias("place"),
+        F.flatten(F.array(*[F.transform(F.coalesce(s["c"], F.array_repeat(nan, len(batches))), lambda c: F.coalesce(c, nan)) for s in each])).alias("c"),
+    )
+
+    def blocks(rows: DataFrame, names: list[str], flat: list[str], *keys: Column) -> DataFrame:
+        """One row for each of `keys` with the rows' `names` as arrays, those in `flat` as one each."""
+        whole = rows.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("l"))
+        return whole.select(*[c for c in whole.columns if not c.startswith("__") and c != "l"], *[(F.flatten(F.col("l")[n]) if n in flat else F.col("l")[n]).alias("classes" if n == "class" else n) for n in names])
+
+    def part(name: str, n: int, size: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(max(1, n // size))).alias("__part")
+
+    flat = ["med", "scale", "w", "place", "c"]
+    judges = blocks(states, ["class", "own", *flat], flat, part("class", n_states, STATES))
+    v = [F.try_element_at("values", F.lit(k)) for k in kpis]
+    asked = inner.select("sample_id", index_of(F.col("batch")).alias("inner"), F.array(*[F.coalesce(x["value"], nan) for x in v]).alias("values"), F.array(*[F.coalesce(x["place"] - p + 1, nowhere) for x, p in zip(v, ends, strict=True)]).alias("places"))
+    samples = blocks(asked, ["values", "places"], ["values", "places"], F.col("inner"), part("sample_id", n_samples, BLOCK))
+    # Few bytes and much work: the number of partitions is given, so that they aren't coalesced.
+    met = samples.repartition(max(1, min(len(batches) * max(1, n_samples // BLOCK), MOST_TASKS))).crossJoin(F.broadcast(judges))
+    tables = [[K.medians_without(middles[k][b]["n"], middles[k][b]["p0"], middles[k][b]["mid"]) for k in kpis] for b in range(len(batches))]
+    with_workers(clean.sparkSession)
+    sums = met.mapInArrow(K.judge(tables, deltas, temperatures, A.LEAST_P), "class string, n long, losses array<double>")
+    totals = sums.groupBy("class").agg(F.sum("n").alias("n"), *[F.sum(F.get("losses", k)).alias(f"s{k}") for k in range(len(grid))])
     alone = losses(folds.withColumn("inner_batch", F.col("batch")), "inner_batch").select("sample_id", "class", "losses")
     both = alone.join(totals, "class")
     means = F.array(*[F.round((F.col(f"s{k}") - F.get("losses", k)) / (F.col("n") - 1), LOSS_DIGITS) for k in range(len(grid))])
