@@ -38,15 +38,16 @@ def pair_counts(on: DataFrame, keys: list[str], height: int, width: int, reach:
         """Rows with the row `q` they meet."""
         return rows.select("*", shifts).withColumn("q", F.pmod(F.col("r") + F.col("dr"), F.lit(height)))
 
+    # Stored masks are a hundredth of their size in memory, so a plan would broadcast what follows from them: joins are by merge.
     ends = _ends(on, keys, height, width)
     other = ends.select(*keys, F.col("r").alias("q"), F.col("at").alias("to"), F.col("s").alias("t"))
-    bends = down(ends).join(other, [*keys, "q"]).groupBy(*keys, "dr", F.pmod(F.col("to") - F.col("at"), F.lit(width)).alias("d")).agg((-F.sum(F.col("s") * F.col("t"))).alias("bend"))
+    bends = down(ends).join(other.hint("merge"), [*keys, "q"]).groupBy(*keys, "dr", F.pmod(F.col("to") - F.col("at"), F.lit(width)).alias("d")).agg((-F.sum(F.col("s") * F.col("t"))).alias("bend"))
     areas = on.groupBy(*keys, "r").agg(F.count(F.lit(1)).alias("a"))
-    products = down(areas).join(areas.select(*keys, F.col("r").alias("q"), F.col("a").alias("b")), [*keys, "q"], "left").groupBy(*keys, "dr").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("total"))
+    products = down(areas).join(areas.select(*keys, F.col("r").alias("q"), F.col("a").alias("b")).hint("merge"), [*keys, "q"], "left").groupBy(*keys, "dr").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("total"))
     dense = products.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
     order = Window.partitionBy(*keys, "dr").orderBy("d")
     whole = Window.partitionBy(*keys, "dr")
-    curve = dense.join(bends, [*keys, "dr", "d"], "left").withColumn("slope", F.sum(F.when(F.col("d") > 0, F.coalesce("bend", F.lit(0))).otherwise(0)).over(order))
+    curve = dense.join(bends.hint("merge"), [*keys, "dr", "d"], "left").withColumn("slope", F.sum(F.when(F.col("d") > 0, F.coalesce("bend", F.lit(0))).otherwise(0)).over(order))
     curve = curve.withColumn("rise", F.coalesce(F.sum("slope").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     curve = curve.withColumn("first", (-F.sum("slope").over(whole) / width).cast("long")).withColumn("part", F.col("rise") + F.col("first") * F.col("d"))
     start = ((F.col("total") - F.sum("part").over(whole)) / width).cast("long")

@@ -46,11 +46,11 @@ def _boundary(runs: DataFrame) -> DataFrame:
     def bucketed(rows: DataFrame, first: str, last: str) -> DataFrame:
         return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(first) / G.BUCKET), F.floor(F.col(last) / G.BUCKET))))
 
-    both = bucketed(upper, "a", "b").join(bucketed(lower, "a2", "b2"), ["component", "row", "bucket"])
+    both = bucketed(upper, "a", "b").join(bucketed(lower, "a2", "b2").hint("merge"), ["component", "row", "bucket"])
     start, end = F.greatest("a", "a2"), F.least("b", "b2")
     met = both.where((start <= end) & (F.col("bucket") == F.floor(start / G.BUCKET)))
     pairs = met.groupBy("component").agg(*[F.coalesce(F.sum(F.when(c, end - start + 1)), F.lit(0)).alias(k) for k, c in (("down", F.col("s") == 0), ("slanted", F.col("s") != 0))])
-    own = runs.groupBy("component").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.count(F.lit(1)).alias("lines")).join(pairs, "component", "left")
+    own = runs.groupBy("component").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.count(F.lit(1)).alias("lines")).join(pairs.hint("merge"), "component", "left")
     down, slanted = F.coalesce("down", F.lit(0)), F.coalesce("slanted", F.lit(0))
     straight = 2 * F.col("lines") + 2 * (F.col("n") - down)
     length = F.pi() / 8 * (straight + (4 * F.col("n") - 2 * slanted) / F.sqrt(F.lit(2.0)))
@@ -96,7 +96,7 @@ def shapes(runs: DataFrame, least: int = 1) -> DataFrame:
     boundary length, 1.5 at most."""
     size = F.sum(F.col("last") - F.col("first") + 1).over(Window.partitionBy("component"))
     own = runs.select("component", "row", "first", "last").withColumn("__n", size).where(F.col("__n") >= least).drop("__n")
-    both = _moments(own).join(_boundary(own), "component").join(hulls(own), "component")
+    both = _moments(own).join(_boundary(own).hint("merge"), "component").join(hulls(own).hint("merge"), "component")
     n = F.col("n").cast("double")
     mid, off = (F.col("vr") + F.col("vc")) / 2, F.sqrt(((F.col("vr") - F.col("vc")) / 2) ** 2 + F.col("cov") ** 2)
     tilt = F.when(F.round(off, 9) > 0, F.degrees(0.5 * F.atan2(F.lit(0.0) - 2 * F.round("cov", 9), F.col("vc") - F.col("vr"))))
@@ -115,4 +115,5 @@ def shapes(runs: DataFrame, least: int = 1) -> DataFrame:
 
 def interior_spread(levels: DataFrame, labelled: DataFrame, inner: DataFrame, place: list[str]) -> DataFrame:
     """`component, texture`: the deviation of levels `place, s` over the pixels `inner` of labelled pixels `place, component`."""
-    return inner.join(labelled, place).join(levels, place).groupBy("component").agg(F.stddev_pop("s").alias("texture"))
+    # Stored pixels are a hundredth of their size in memory, so a plan would broadcast them: joins are by merge.
+    return inner.hint("merge").join(labelled.hint("merge"), place).join(levels.hint("merge"), place).groupBy("component").agg(F.stddev_pop("s").alias("texture"))

@@ -44,7 +44,7 @@ def _shapes(px: DataFrame) -> DataFrame:
     placed = runs.select("component", F.floor(F.col("row") / STEP).alias("image"), F.pmod("row", F.lit(STEP)).alias("r"), F.explode(F.sequence("first", "last")).alias("c"))
     smooth = Y.smoothed(px, HEIGHT, WIDTH).withColumn("s", F.round("s", S.DIGITS))
     texture = P.interior_spread(smooth, placed, Y.eroded(mask), Y.PLACE)
-    return stored(own.join(texture, "component", "left").withColumn("row", F.col("row") - F.col("image") * STEP), "shapes")
+    return stored(own.join(texture.hint("merge"), "component", "left").withColumn("row", F.col("row") - F.col("image") * STEP), "shapes")
 
 
 SHAPES = ["row", "col", "ecd", "aspect", "direction", "solidity", "circularity", "texture"]
