@@ -256,9 +256,9 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> D
     rest = written(beside.join(linked.hint("merge"), ["centre", "doc"], "left_anti").select("token", "doc", "n"), "rest")
     others = written(beside.select("token", "doc", "n").join(rest.select("token").distinct().hint("merge"), "token", "left_semi"), "others")
     found = star
+    known = components(found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).withColumnRenamed("node", "doc")
+    about = written(own.join(known.hint("merge"), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "components-so-far")
     for turn in range(CENTRE_ROUNDS + 1):
-        known = components(found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).withColumnRenamed("node", "doc")
-        about = written(own.join(known.hint("merge"), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "components-so-far")
         one = rest
         if turn < CENTRE_ROUNDS:
             # Any members will do; the hash makes them others in each round.
@@ -266,7 +266,14 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> D
             chosen = hashed.groupBy("token", F.pmod("h", F.lit(CENTRES))).agg(F.min(F.struct("h", "doc", "n")).alias("c"))
             one = chosen.select("token", "c.doc", "c.n")
         pairs = _apart(one, others, about, folds)
-        found = written(found.unionByName(_verified(_promising(pairs, rows), docs, text_col)), "found")
+        more = _verified(_promising(pairs, rows), docs, text_col)
+        found = found.unionByName(more)
+        if turn < CENTRE_ROUNDS:
+            # New pairs join components; only these are connected anew.
+            ends = [about.select(F.col("doc").alias(f"doc_{k}"), F.col("label").alias(f"label_{k}")) for k in "ab"]
+            joined = more.join(ends[0].hint("merge"), "doc_a").join(ends[1].hint("merge"), "doc_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+            merged = components(joined).toDF("label", "least")
+            about = written(about.join(merged, "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least"), "components-so-far")
     return found.where("a != b").select("a", "b")
 
 
@@ -332,18 +339,33 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """`node, label` with the smallest node that can be reached, of all nodes of `edges` (a, b)."""
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b"), F.col("a")).toDF("node", "other")).distinct(), "edges")
-    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
-    while True:
-        # the smallest label among the neighbours, then the label of that label
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
-        new = written(jump.select("node", "old", F.coalesce(F.least("label", "next"), "label").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.where("old != label").isEmpty():
-            return labels
+    """`node, label` with the smallest node that can be reached, of all nodes of `edges` (a, b).
+
+    In each round every node goes to the one among itself and its neighbours that a hash, another in each round, puts first; edges
+    are carried over and those within a node go. About half of the nodes are left, and fewer edges, so all rounds together
+    cost a few times the first, even on a long path. Then the rounds are followed backwards."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b"), F.col("a")).toDF("node", "other"))
+    left = written(both.where("node != other").distinct(), "edges")
+    alone = edges.where("a = b").select(F.col("a").alias("node"))
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+
+        def place(name: str, turn: int = len(moves)) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), name).alias("h"), F.col(name).alias("to"))
+
+        move = written(left.groupBy("node").agg(F.least(F.min(place("other")), F.first(place("node")))["to"].alias("to")), "moves")
+        moves.append(move)
+        near = left.join(move, "node").select(F.col("to").alias("node"), "other").distinct()
+        far = near.join(move.select(F.col("node").alias("other"), F.col("to").alias("end")), "other")
+        left = written(far.select("node", F.col("end").alias("other")).where("node != other").distinct(), "edges")
+    if not moves:
+        return alone.distinct().select("node", F.col("node").alias("label"))
+    roots = moves[-1]
+    for move in reversed(moves[:-1]):
+        roots = written(move.join(roots.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("to")), "roots")
+    label = F.least(F.min("node"), F.first("to"))
+    found = roots.join(roots.groupBy("to").agg(label.alias("label")), "to").select("node", "label")
+    return found.unionByName(alone.join(found, "node", "left_anti").distinct().select("node", F.col("node").alias("label")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, bits: int = MAX_BITS, similar: bool = False) -> DataFrame:
