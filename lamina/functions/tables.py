@@ -1,4 +1,4 @@
-"""Cutting lineage through the shared folder, and the search path of Python workers."""
+"""Cutting lineage through the shared folder, dealing rows over tasks, and the search path of Python workers."""
 
 from __future__ import annotations
 
@@ -38,3 +38,10 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     writer = df.write if compression is None else df.write.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` dealt by `keys` over all shuffle partitions, for work that is dear by row: adaptive execution joins small
+    partitions by their bytes, and leaves a number that is asked for alone. Rows that a join or a grouping has dealt by the same
+    keys are not dealt anew, so `df` should be stored ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

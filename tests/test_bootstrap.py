@@ -45,3 +45,22 @@ def test_too_many_strips(spark):
     rows = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("strip"), F.rand(1).alias("value"))
     with pytest.raises(ValueError, match="strips"):
         B.intervals(rows, ["k"])
+
+
+def test_equal_draws_are_one(spark):
+    """The broadcast table has each different multiplicity once, with its number of resamples."""
+    table = B.drawn(spark, 5).first()["drawn"]
+    assert [len(table[n]) for n in range(1, 6)] == [len({tuple(m) for m in B.multiplicities(n)}) for n in range(1, 6)]
+    assert len(table[5]) <= 126
+    for n, held in table.items():
+        assert sorted(list(d["times"]) for d in held for _ in range(d["n"])) == sorted(B.multiplicities(n))
+
+
+@pytest.mark.parametrize("name", ["intervals", "stability"])
+def test_means_are_dealt_over_all_partitions(spark, name):
+    """Few bytes, but much work a row: adaptive execution must not join the partitions."""
+    rows = spark.range(200).select(F.col("id").alias("sample_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("strip"), F.lit("k").alias("kpi"), F.rand(1).alias("x"))
+    centres = spark.createDataFrame([(1, "k", 0.2), (2, "k", 0.7)], "batch long, kpi string, c double")
+    assigned = spark.range(200).select(F.col("id").alias("sample_id"), F.lit(1).cast("long").alias("assigned"))
+    out = B.intervals(rows.withColumnRenamed("x", "value"), ["sample_id"]) if name == "intervals" else B.stability(rows, centres, assigned)
+    assert out.rdd.getNumPartitions() == 4
