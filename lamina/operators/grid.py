@@ -5,15 +5,18 @@ Everything that can works on runs, which are far fewer than pixels.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.tables import stored
-
+from lamina.functions.tables import stored, with_workers
 
 #: Positions of a line that one task looks at together, and columns of a bucket in which runs look for neighbours.
 PART = 4096
 BUCKET = 256
+#: Rows of a tile whose runs one call labels: 128 times half of PART at most, whatever the raster.
+TILE_ROWS = 128
 
 
 def runs(pixels: DataFrame, line: str = "row", at: str = "col") -> DataFrame:
@@ -81,33 +84,81 @@ def euler_number(pixels: DataFrame) -> DataFrame:
 _PARTS = [(1, 0, 0), (2, 0, 0), (2, 0, 1), (3, 0, 0), (3, 1, 0), (4, 0, 0), (4, 0, 1), (4, 1, 0), (4, 1, 1)]
 
 
+def _label_tile(rows: pd.DataFrame, reach: int, height: int, width: int) -> pd.DataFrame:
+    """The runs of a tile of `height` rows and `width` columns with their `part`, the smallest node that a run is connected with inside the tile, and whether that
+    part is `open`: it has a run in the tile's first or last row, or one that other tiles have as well. A run is the tile's `own` if it starts there."""
+    rows = rows.sort_values("node", ignore_index=True)
+    row, first, last = (rows[c].to_numpy() for c in ("row", "first", "last"))
+    line = int(last.max() - first.min()) + 3
+    starts, ends = row * line + first - first.min(), row * line + last - first.min()
+    low = np.searchsorted(ends, starts + line - reach, "left")
+    n = np.maximum(np.searchsorted(starts, ends + line + reach, "right") - low, 0)
+    up = np.repeat(np.arange(len(rows)), n)
+    down = np.arange(len(up)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(rows))
+    while True:
+        a, b = root[up], root[down]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    edge = (row % height == 0) | (row % height == height - 1) | (first // width != (last + reach) // width)
+    open_ = np.zeros(len(rows), bool)
+    open_[root[edge]] = True
+    return rows[["row", "first", "last", "node"]].assign(part=rows["node"].to_numpy()[root], open=open_[root], own=first // width == rows["__across"].to_numpy())
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """`node, label` of the nodes of `edges` (node, other; both ways): the smallest node that can be reached. Labels sink to
+    the smallest neighbour and jump along their own labels; each round is stored."""
+    labels = edges.select("node").distinct().select("node", F.col("node").alias("label"))
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        new = stored(jump.select("node", "old", F.least("label", "next").alias("label")), "labels")
+        labels = new.select("node", "label")
+        if new.where("old != label").isEmpty():
+            return labels
+
+
 def components(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
     """`row, first, last, component` of every run, connected along four directions, or eight with `diagonal`: the
-    smallest run number (row * 2^32 + first) that can be reached. Labels sink to the smallest neighbour and jump along
-    their own labels; each round is stored."""
+    smallest run number (row * 2^32 + first) that can be reached. Tiles of TILE_ROWS rows and PART columns are labelled
+    each on its own; what goes through rounds of joins is only their parts that reach a tile's edge."""
     node = F.col("row").cast("long") * F.lit(2**32) + F.col("first").cast("long")
-    line = stored(runs(pixels).withColumn("node", node), "runs")
-    # Runs look for neighbours in buckets of columns, so that two wide rows are not compared run by run; of the
-    # buckets that two runs share, the one where the later of them starts counts.
+    # A run is in every tile that it, or with `diagonal` the place behind it, has a column in, so that of two runs that touch
+    # within the rows of a tile some tile has both.
     reach = int(diagonal)
+    line = runs(pixels).select(*[F.col(c).cast("long").alias(c) for c in ("row", "first", "last")], node.alias("node"))
+    tiles = line.withColumn("__across", F.explode(F.sequence(F.floor(F.col("first") / PART), F.floor((F.col("last") + reach) / PART))))
+    grouped = tiles.groupBy(F.floor(F.col("row") / TILE_ROWS).alias("__down"), "__across")
+    with_workers(pixels.sparkSession)
+    height, width = TILE_ROWS, PART
+    found = grouped.applyInPandas(lambda rows: _label_tile(rows, reach, height, width), "row long, first long, last long, node long, part long, open boolean, own boolean")
+    labelled = stored(found, "tiles")
+    # Parts of different tiles belong together by a run that both have, or by runs that touch across rows; these look for
+    # neighbours in buckets of columns, and of the buckets that two runs share, the one where the later of them starts counts.
+    open_ = labelled.where("open")
 
     def bucketed(rows: DataFrame, first: str, last: str) -> DataFrame:
         return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(first) / BUCKET), F.floor(F.col(last) / BUCKET))))
 
-    here = bucketed(line.select("row", "node", "first", (F.col("last") + reach).alias("end")), "first", "end")
-    below = bucketed(line.select((F.col("row") - 1).alias("row"), F.col("first").alias("f2"), (F.col("last") + reach).alias("l2"), F.col("node").alias("other")), "f2", "l2")
+    at = F.pmod("row", F.lit(TILE_ROWS))
+    here = bucketed(open_.where(at == TILE_ROWS - 1).select("row", "first", (F.col("last") + reach).alias("end"), F.col("part").alias("node")), "first", "end")
+    below = bucketed(open_.where(at == 0).select((F.col("row") - 1).alias("row"), F.col("first").alias("f2"), (F.col("last") + reach).alias("l2"), F.col("part").alias("other")), "f2", "l2")
     overlap = (F.col("first") <= F.col("l2")) & (F.col("f2") <= F.col("end")) & (F.col("bucket") == F.floor(F.greatest("first", "f2") / BUCKET))
     touch = here.join(below, ["row", "bucket"]).where(overlap).select("node", "other")
-    edges = stored(touch.unionByName(touch.select(F.col("other").alias("node"), F.col("node").alias("other"))), "edges")
-    labels = line.select("node", F.col("node").alias("label"))
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
-        new = stored(jump.select("node", "old", F.least("label", "next").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.where("old != label").isEmpty():
-            return line.join(labels, "node").select("row", "first", "last", F.col("label").alias("component"))
+    wide = open_.where(F.floor(F.col("first") / PART) != F.floor((F.col("last") + reach) / PART))
+    shared = wide.select(F.col("node").alias("run"), F.col("part").alias("node")).join(wide.groupBy(F.col("node").alias("run")).agg(F.min("part").alias("other")), "run").select("node", "other")
+    links = touch.unionByName(shared).where("node != other")
+    edges = stored(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
+    whole = _linked(edges).withColumnRenamed("node", "part")
+    # A run of several tiles is given once, by the tile of its first column; all its parts have the same label.
+    closed = labelled.where("NOT open").select("row", "first", "last", F.col("part").alias("component"))
+    joined = open_.where("own").join(whole, "part", "left").select("row", "first", "last", F.coalesce("label", "part").alias("component"))
+    return closed.unionByName(joined)
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
