@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lamina.functions.bootstrap import stability  # noqa: F401
 from lamina.functions.ranks import count_beside
 from lamina.functions.robust import loo_median, median
-from lamina.functions.tables import stored
+from lamina.functions.tables import spread, stored
 from lamina.operators.baseline import REJECT_Z, loo_stats
 from lamina.operators.facts import BASELINE, weight
 
@@ -76,22 +76,34 @@ def loo_distances(rows: DataFrame, deltas: list[float]) -> DataFrame:
     own = loo_median(rows, ["batch", "kpi"], "x", "own", "sample_id")
     raw = rows.groupBy("batch", "kpi").agg(median(F.col("x")).alias("raw"))
     table = raw.groupBy("kpi").agg(F.collect_list(F.struct(F.col("batch").alias("candidate"), "raw")).alias("table"))  # batches
-    both = own.join(F.broadcast(table), "kpi")
+    # Whole samples are dealt to tasks before they grow by batches and deltas, so that a task adds up its own samples alone.
+    both = spread(own.select("sample_id", "batch", "kpi", "x", "own"), ["sample_id"]).join(F.broadcast(table), "kpi")
     refitted = F.filter(F.transform("table", lambda t: F.struct(t["candidate"].alias("candidate"), F.when(t["candidate"] == F.col("batch"), F.col("own")).otherwise(t["raw"]).alias("c"))), lambda t: t["c"].isNotNull())
-    spread = both.select("sample_id", "batch", "kpi", "x", refitted.alias("table")).withColumn("centre", _middle(F.col("table")["c"]))
-    wide = spread.select("sample_id", "batch", "kpi", "x", "centre", F.explode("table").alias("t")).withColumn("delta", F.explode(F.array(*[F.lit(float(d)) for d in deltas])))
-    off = F.col("x") - _shrink(F.col("t.c"), F.col("centre"), F.col("delta"))
-    return wide.groupBy("sample_id", "batch", "delta", F.col("t.candidate").alias("candidate")).agg(F.sqrt(F.sum(off**2)).alias("d"))
+    refit = both.select("sample_id", "batch", "kpi", "x", refitted.alias("table")).withColumn("centre", _middle(F.col("table")["c"]))
+    wide = refit.select("sample_id", "batch", "kpi", "x", "centre", F.explode("table").alias("t"))
+    # A delta is a column, not a row.
+    off = [F.col("x") - _shrink(F.col("t.c"), F.col("centre"), F.lit(float(d))) for d in deltas]
+    sums = wide.groupBy("sample_id", "batch", F.col("t.candidate").alias("candidate")).agg(*[F.sqrt(F.sum(o**2)).alias(f"__d{k}") for k, o in enumerate(off)])
+    each = F.explode(F.array(*[F.struct(F.lit(float(d)).alias("delta"), F.col(f"__d{k}").alias("d")) for k, d in enumerate(deltas)]))
+    return sums.select("sample_id", "batch", "candidate", each.alias("e")).select("sample_id", "batch", "e.delta", "candidate", "e.d")
 
 
 def tuning(rows: DataFrame, deltas: list[float] = SHRINKAGES, temperatures: list[float] = TEMPERATURES) -> DataFrame:
-    """`delta, temperature, nll, accuracy` over the grid."""
-    measured = loo_distances(rows, deltas).withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
-    keys = ["sample_id", "batch", "delta", "temperature"]
-    chances = softmax(measured, F.col("temperature"), keys)
-    true = F.max(F.when(F.col("candidate") == F.col("batch"), F.col("p")))
-    top = F.max(F.struct(F.round("p", P_DIGITS).alias("p"), (-F.col("candidate")).alias("c")))
-    each = chances.groupBy(*keys).agg(F.coalesce(true, F.lit(0.0)).alias("p_true"), top.alias("top"))
+    """`delta, temperature, nll, accuracy` over the grid. The chances of a sample at a delta come from the small array of its
+    distances, so nothing is sorted."""
+    keys = ["sample_id", "batch", "delta"]
+    held = loo_distances(rows, deltas).groupBy(*keys).agg(F.collect_list(F.struct("candidate", "d")).alias("far"), F.min("d").alias("least"))
+    every = held.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
+
+    def mass(t: Column) -> Column:
+        return F.exp((F.col("least") ** 2 - t["d"] ** 2) / (2 * F.col("temperature")))
+
+    chances = every.withColumn("mass", F.transform("far", lambda t: F.struct(t["candidate"].alias("candidate"), mass(t).alias("e"))))
+    total = F.aggregate("mass", F.lit(0.0), lambda a, t: a + F.coalesce(t["e"], F.lit(0.0)))
+    placed = chances.withColumn("total", total).withColumn("p", F.transform("mass", lambda t: F.struct((t["e"] / F.col("total")).alias("p"), t["candidate"].alias("candidate"))))
+    true = F.array_max(F.filter("p", lambda t: t["candidate"] == F.col("batch")))["p"]
+    top = F.array_max(F.transform("p", lambda t: F.struct(F.round(t["p"], P_DIGITS).alias("p"), (-t["candidate"]).alias("c"))))
+    each = placed.select(*keys, "temperature", F.coalesce(true, F.lit(0.0)).alias("p_true"), top.alias("top"))
     loss = -F.log(F.greatest(F.col("p_true"), F.lit(LEAST_P)))
     return each.groupBy("delta", "temperature").agg(F.avg(loss).alias("nll"), F.avg((-F.col("top.c") == F.col("batch")).cast("double")).alias("accuracy"))
 
