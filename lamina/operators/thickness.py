@@ -1,65 +1,107 @@
 """Local thickness of masks: the largest disk inside a mask that covers a pixel.
 
-A disk reaches a row as an interval, so the centres that are deep enough for a radius, given as runs, hand on one interval
-a run and row, and pixels never meet pixels. Intervals of one radius are merged within each row; the ends of all radii then
-add up to a number whose bits tell which radii cover a stretch, and its highest bit is the answer.
+Masks are cut into tiles, each with a margin of twice the largest radius: whatever decides about a pixel lies within that.
+A tile is one call of an array kernel, so a task holds a tile and its margin at most, however large the image, and a
+pixel moves once, or once for each tile whose margin it is in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.functions.tables import spread, with_workers
 from lamina.operators import grey as Y
-from lamina.operators import grid as G
 
 #: Radii of the disks in pixels of the coarse mask, and the step of that mask.
 RADII = [*range(1, 21), *range(22, 41, 2), 45, 50, 60, 70, 80, 100]
 FACTOR = 2
+#: Coarse places along the side of a tile, without its margin.
+TILE = 512
 
 
-def _merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys, first, last` of intervals, those that overlap or touch put together."""
-    order = Window.partitionBy(*keys).orderBy("first", "last")
-    until = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("first") > until + 1).cast("int"), F.lit(1))
-    grouped = intervals.withColumn("__fresh", fresh).withColumn("__part", F.sum("__fresh").over(order))
-    return grouped.groupBy(*keys, "__part").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__part")
-
-
-def covered(depths: DataFrame, radii: list[int] = RADII) -> DataFrame:
-    """`image, r, first, last, radius`: the largest of at most 62 ascending `radii` whose disk around some pixel `image, r, c, d2`
-    with d2 >= radius^2 reaches the stretch; places that none reaches have no row, some may lie beyond the mask."""
-    if len(radii) > 62 or sorted(set(radii)) != list(radii):
-        raise ValueError("radii must ascend and number at most 62")
-    fits = F.filter(F.array(*[F.lit(k).cast("long") for k in radii]), lambda k: k * k <= F.col("d2"))
-    deep = depths.select(*Y.PLACE, F.explode(fits).alias("radius"))
-    centres = deep.select(F.struct("image", "radius", "r").alias("line"), F.col("c").alias("at"), F.lit(True).alias("on"))
-    runs = G.runs(centres, "line", "at").select("line.*", "first", "last")
-    spread = runs.withColumn("k", F.explode(F.sequence(-F.col("radius"), F.col("radius"))))
-    half = F.floor(F.sqrt((F.col("radius") * F.col("radius") - F.col("k") * F.col("k")).cast("double")))
-    reached = _merged(spread.select("image", "radius", (F.col("r") + F.col("k")).alias("r"), (F.col("first") - half).alias("first"), (F.col("last") + half).alias("last")), ["image", "r", "radius"])
-    bit = F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in range(len(radii))]), F.array_position(F.array(*[F.lit(k).cast("long") for k in radii]), F.col("radius")).cast("int"))
-    ends = F.explode(F.array(F.struct(F.col("first").alias("at"), bit.alias("b")), F.struct((F.col("last") + 1).alias("at"), (-bit).alias("b"))))
-    order = Window.partitionBy("image", "r").orderBy("first")
-    steps = reached.select("image", "r", ends.alias("e")).groupBy("image", "r", F.col("e.at").alias("first")).agg(F.sum("e.b").alias("b"))
-    placed = steps.select("image", "r", "first", (F.lead("first").over(order) - 1).alias("last"), F.sum("b").over(order).alias("bits")).where("bits > 0")
-    largest = F.element_at(F.array(*[F.lit(k).cast("long") for k in radii]), F.length(F.bin("bits")))
-    return placed.select("image", "r", "first", "last", largest.alias("radius"))
+def _near(places: np.ndarray, reach: int) -> np.ndarray:
+    """The squared distance of each place of an array to the nearest set one, and more than `reach` squared where none is near."""
+    at = np.arange(places.shape[1])
+    far = len(at) + reach + 1
+    before = np.maximum.accumulate(np.where(places, at, -far), axis=1)
+    after = np.minimum.accumulate(np.where(places, at, 2 * far)[:, ::-1], axis=1)[:, ::-1]
+    along = np.minimum(np.minimum(at - before, after - at), reach + 1) ** 2
+    out = along.copy()
+    for k in range(1, min(reach, len(places) - 1) + 1):
+        np.minimum(out[k:], along[:-k] + k * k, out=out[k:])
+        np.minimum(out[:-k], along[k:] + k * k, out=out[:-k])
+    return out
+
+
+def _widest(on: np.ndarray, off: np.ndarray, radii: list[int]) -> np.ndarray:
+    """The largest radius with a disk without a place of `off` closer than it to its centre in `on` that reaches a place, or 0."""
+    depth = np.where(on, _near(off, radii[-1]), 0)
+    out = np.zeros(on.shape, np.int64)
+    for k in radii:
+        centres = depth >= k * k
+        if not centres.any():
+            break
+        out[_near(centres, k) <= k * k] = k
+    return out
+
+
+def _measure_tile(rows: pd.DataFrame, factor: int, radii: list[int], tile: int, sides: tuple[bool, ...]) -> pd.DataFrame:
+    """`image, r, c, on, t` of the pixels of `sides` that are the tile's own; the others are its margin."""
+    br, bc, on = rows["r"].to_numpy() // factor, rows["c"].to_numpy() // factor, rows["on"].to_numpy(bool)
+    own = ((br + 2 * radii[-1]) // tile == rows["down"].to_numpy()) & ((bc + 2 * radii[-1]) // tile == rows["across"].to_numpy())
+    coarse = ((rows["r"] % factor == 0) & (rows["c"] % factor == 0)).to_numpy()
+    br, bc = br - br.min(), bc - bc.min()
+    masks = np.zeros((2, br.max() + 1, bc.max() + 1), bool)
+    masks[on[coarse].astype(int), br[coarse], bc[coarse]] = True
+    t, asked = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+    for side in sides:
+        mine = own & (on == side)
+        if mine.any():
+            this, other = masks[int(side)], masks[int(not side)]
+            found = np.where(this, np.maximum(2 * factor * _widest(this, other, radii), factor), 0)
+            t[mine] = found[br[mine], bc[mine]]
+            asked |= mine
+    return rows.loc[asked, ["image", "r", "c", "on"]].assign(t=t[asked])
+
+
+def _coarse(factor: int) -> Column:
+    return (F.pmod("r", F.lit(factor)) == 0) & (F.pmod("c", F.lit(factor)) == 0)
+
+
+def _tiles(pixels: DataFrame, factor: int, radii: list[int]) -> DataFrame:
+    """`pixels` by tile: each in its own, and those at coarse places in all tiles whose margin has them as well. Tiles begin a
+    margin before 0, so that an image of at most TILE - 2 margins a side lies in one."""
+    margin = 2 * radii[-1]
+
+    def across(at: str) -> Column:
+        place = F.floor(F.col(at) / factor)
+        own = F.floor((place + margin) / TILE)
+        return F.explode(F.when(_coarse(factor), F.sequence(F.floor(place / TILE), F.floor((place + 2 * margin) / TILE))).otherwise(F.array(own)))
+
+    placed = pixels.dropna(subset=Y.PLACE).select(*[F.col(k).cast("long").alias(k) if k != "image" else F.col(k) for k in Y.PLACE], "on")
+    return placed.withColumn("down", across("r")).withColumn("across", across("c"))
+
+
+def both_sides(pixels: DataFrame, factor: int = FACTOR, radii: list[int] = RADII, sides: tuple[bool, ...] = (True, False)) -> DataFrame:
+    """`image, r, c, on, t` of pixels `image, r, c, on`: local thickness of a mask and, as a mask of its own, of the other pixels
+    of its image, or of one of these `sides`. See `local_thickness`."""
+    if not radii or sorted(set(radii)) != list(radii) or radii[0] < 1 or len(radii) > 62:
+        raise ValueError("radii must ascend from 1 or more and number at most 62")
+    with_workers(pixels.sparkSession)
+    tile, keys = TILE, ["image", "down", "across"]
+    shape = f"image {pixels.schema['image'].dataType.simpleString()}, r long, c long, on boolean, t long"
+    grouped = spread(_tiles(pixels, factor, radii), keys).groupBy(*keys)
+    found = grouped.applyInPandas(lambda rows: _measure_tile(rows, factor, radii, tile, sides), shape)
+    bounded = pixels.where(_coarse(factor)).select("image", (~F.col("on")).alias("on")).distinct().withColumn("bounded", F.lit(True))
+    return found.join(bounded.hint("merge"), ["image", "on"], "left").select(*Y.PLACE, "on", F.when(F.col("bounded"), F.col("t").cast("double")).alias("t"))
 
 
 def local_thickness(on: DataFrame, off: DataFrame, factor: int = FACTOR, radii: list[int] = RADII) -> DataFrame:
     """`image, r, c, t`: thickness in pixels of every pixel `image, r, c` of a mask, from every `factor`-th row and column of it;
     `off` has the other pixels. It is the diameter of the largest disk, `factor` where not even the smallest fits, 0 for a pixel
     whose coarse place is not of the mask, and null in an image of whose coarse places all are: nothing bounds it."""
-
-    def coarse(mask: DataFrame) -> DataFrame:
-        return mask.where((F.pmod("r", F.lit(factor)) == 0) & (F.pmod("c", F.lit(factor)) == 0)).select("image", F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c"))
-
-    depths = Y.squared_distances(coarse(on), coarse(off))
-    widest = covered(depths, radii).select("image", "r", F.explode(F.sequence("first", "last")).alias("c"), "radius")
-    each = depths.join(widest, Y.PLACE, "left").select("image", F.col("r").alias("br"), F.col("c").alias("bc"), F.coalesce(2 * factor * F.col("radius"), F.lit(factor)).alias("t"))
-    bounded = coarse(off).select("image").distinct().withColumn("bounded", F.lit(0))
-    placed = on.select(*Y.PLACE, F.floor(F.col("r") / factor).alias("br"), F.floor(F.col("c") / factor).alias("bc"))
-    found: Column = F.coalesce(F.col("t"), F.col("bounded")).cast("double")
-    return placed.join(each, ["image", "br", "bc"], "left").join(bounded, "image", "left").select(*Y.PLACE, found.alias("t"))
+    pixels = on.select(*Y.PLACE, F.lit(True).alias("on")).unionByName(off.where(_coarse(factor)).select(*Y.PLACE, F.lit(False).alias("on")))
+    return both_sides(pixels, factor, radii, (True,)).select(*Y.PLACE, "t")

@@ -22,13 +22,9 @@ FACTOR, LEAST = 1, 4
 def local_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binned median, mean and largest local thickness of pores and of the solid in micrometres; null where nothing bounds a
     phase, as in an image that lacks the other, or where there is none of it."""
-    px = stored(pixels(spark, sf_dir), "pixels")
-    pore, solid = _mask(px, "pore"), px.where(~Y.phases(LOW, HIGH)["pore"]).select(*Y.PLACE)
-    each = None
-    for name, on, off in (("pore", pore, solid), ("solid", solid, pore)):
-        part = T.local_thickness(on, off, FACTOR).withColumns({"phase": F.lit(name), "t": F.col("t") * PIXEL_UM})
-        each = part if each is None else each.unionByName(part)
-    each = stored(each, "thickness")
+    px = pixels(spark, sf_dir)
+    each = T.both_sides(px.select(*Y.PLACE, Y.phases(LOW, HIGH)["pore"].alias("on")), FACTOR)
+    each = stored(each.select("image", F.when(F.col("on"), "pore").otherwise("solid").alias("phase"), (F.col("t") * PIXEL_UM).alias("t")), "thickness")
     keys = ["image", "phase"]
     middle = G.binned_median(each.where("t IS NOT NULL"), keys, "t").withColumnRenamed("value", "d50")
     own = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("mean"), F.max("t").alias("most"))
