@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.tables import spread, with_workers
@@ -49,7 +49,7 @@ def _widest(on: np.ndarray, off: np.ndarray, radii: list[int]) -> np.ndarray:
 
 
 def _measure_tile(rows: pd.DataFrame, factor: int, radii: list[int], tile: int, sides: tuple[bool, ...]) -> pd.DataFrame:
-    """`image, r, c, on, t` of the pixels of `sides` that are the tile's own; the others are its margin."""
+    """The tile's own pixels of `sides` with their `t`; the others are its margin."""
     br, bc, on = rows["r"].to_numpy() // factor, rows["c"].to_numpy() // factor, rows["on"].to_numpy(bool)
     own = ((br + 2 * radii[-1]) // tile == rows["down"].to_numpy()) & ((bc + 2 * radii[-1]) // tile == rows["across"].to_numpy())
     coarse = ((rows["r"] % factor == 0) & (rows["c"] % factor == 0)).to_numpy()
@@ -64,39 +64,54 @@ def _measure_tile(rows: pd.DataFrame, factor: int, radii: list[int], tile: int,
             found = np.where(this, np.maximum(2 * factor * _widest(this, other, radii), factor), 0)
             t[mine] = found[br[mine], bc[mine]]
             asked |= mine
-    return rows.loc[asked, ["image", "r", "c", "on"]].assign(t=t[asked])
+    return rows[asked].assign(t=t[asked])
 
 
 def _coarse(factor: int) -> Column:
     return (F.pmod("r", F.lit(factor)) == 0) & (F.pmod("c", F.lit(factor)) == 0)
 
 
-def _tiles(pixels: DataFrame, factor: int, radii: list[int]) -> DataFrame:
-    """`pixels` by tile: each in its own, and those at coarse places in all tiles whose margin has them as well. Tiles begin a
-    margin before 0, so that an image of at most TILE - 2 margins a side lies in one."""
-    margin = 2 * radii[-1]
+def _own(at: str, factor: int, margin: int) -> Column:
+    """The number of the tile that a row or column lies in. Tiles begin a margin before 0, so that an image of at most TILE less
+    two margins a side lies in one and in no other's margin."""
+    return F.floor((F.floor(F.col(at) / factor) + margin) / TILE)
+
+
+def _tiles(pixels: DataFrame, factor: int, margin: int) -> DataFrame:
+    """`pixels` by tile: each in its own, and those at coarse places in all tiles whose margin has them as well."""
 
     def across(at: str) -> Column:
         place = F.floor(F.col(at) / factor)
-        own = F.floor((place + margin) / TILE)
-        return F.explode(F.when(_coarse(factor), F.sequence(F.floor(place / TILE), F.floor((place + 2 * margin) / TILE))).otherwise(F.array(own)))
+        near = F.sequence(F.floor(place / TILE), F.floor((place + 2 * margin) / TILE))
+        return F.explode(F.when(_coarse(factor), near).otherwise(F.array(_own(at, factor, margin))))
 
-    placed = pixels.dropna(subset=Y.PLACE).select(*[F.col(k).cast("long").alias(k) if k != "image" else F.col(k) for k in Y.PLACE], "on")
+    placed = pixels.select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "on")
     return placed.withColumn("down", across("r")).withColumn("across", across("c"))
 
 
+def _bounded(pixels: DataFrame, factor: int, margin: int) -> DataFrame:
+    """`image, down, across, on` of the tiles and sides of an image that a coarse place of the other side bounds, in whichever tile."""
+    tiles = pixels.groupBy("image", _own("r", factor, margin).alias("down"), _own("c", factor, margin).alias("across"))
+    has = tiles.agg(*[F.max(_coarse(factor) & (F.col("on") == side)).alias(name) for side, name in ((True, "set"), (False, "unset"))])
+    whole = Window.partitionBy("image")
+    sides = F.array(*[F.struct(F.lit(side).alias("on"), F.max(name).over(whole).alias("by")) for side, name in ((True, "unset"), (False, "set"))])
+    return has.withColumn("sides", sides).select("image", "down", "across", F.explode("sides").alias("s")).where("s.by").select("image", "down", "across", "s.on")
+
+
 def both_sides(pixels: DataFrame, factor: int = FACTOR, radii: list[int] = RADII, sides: tuple[bool, ...] = (True, False)) -> DataFrame:
     """`image, r, c, on, t` of pixels `image, r, c, on`: local thickness of a mask and, as a mask of its own, of the other pixels
     of its image, or of one of these `sides`. See `local_thickness`."""
     if not radii or sorted(set(radii)) != list(radii) or radii[0] < 1 or len(radii) > 62:
         raise ValueError("radii must ascend from 1 or more and number at most 62")
     with_workers(pixels.sparkSession)
-    tile, keys = TILE, ["image", "down", "across"]
-    shape = f"image {pixels.schema['image'].dataType.simpleString()}, r long, c long, on boolean, t long"
-    grouped = spread(_tiles(pixels, factor, radii), keys).groupBy(*keys)
+    tile, margin, keys = TILE, 2 * radii[-1], ["image", "down", "across"]
+    known = pixels.dropna(subset=Y.PLACE)
+    shape = f"image {pixels.schema['image'].dataType.simpleString()}, r long, c long, on boolean, down long, across long, t long"
+    grouped = spread(_tiles(known, factor, margin), keys).groupBy(*keys)
     found = grouped.applyInPandas(lambda rows: _measure_tile(rows, factor, radii, tile, sides), shape)
-    bounded = pixels.where(_coarse(factor)).select("image", (~F.col("on")).alias("on")).distinct().withColumn("bounded", F.lit(True))
-    return found.join(bounded.hint("merge"), ["image", "on"], "left").select(*Y.PLACE, "on", F.when(F.col("bounded"), F.col("t").cast("double")).alias("t"))
+    # By tile, not by image alone, so that the pixels of a large image do not meet in one task.
+    bounded = _bounded(known, factor, margin).withColumn("bounded", F.lit(True))
+    return found.join(bounded.hint("merge"), [*keys, "on"], "left").select(*Y.PLACE, "on", F.when(F.col("bounded"), F.col("t").cast("double")).alias("t"))
 
 
 def local_thickness(on: DataFrame, off: DataFrame, factor: int = FACTOR, radii: list[int] = RADII) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lamina.operators import thickness as T
@@ -65,6 +66,19 @@ def test_pixels_move_once(spark):
     assert n <= shuffled(spark, T.local_thickness(*frames(spark, masks), 1)) <= 2 * n + 100
 
 
+def test_large_images_fill_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(T, "TILE", 16)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        found = T.local_thickness(*frames(spark, {0: np.arange(120 * 120).reshape(120, 120) % 7 > 0}), 1, [1, 2])
+        tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(name, before)
+    assert max(n for _, n in tasks) < 0.6 * sum(n for _, n in tasks)
+
+
 @pytest.fixture(scope="module")
 def odd(tmp_path_factory):
     """Two whole images, 30 rows of a third, rows given twice, and rows without a number."""
