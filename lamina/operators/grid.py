@@ -111,12 +111,12 @@ def _label_tile(rows: pd.DataFrame, reach: int, height: int, width: int) -> pd.D
 
 def _linked(edges: DataFrame) -> DataFrame:
     """`node, label` of the nodes of `edges` (node, other; both ways): the smallest node that can be reached. Labels sink to
-    the smallest neighbour and jump along their own labels; each round is stored."""
+    the smallest neighbour and jump along their own labels; each round is stored. Labels grow with the raster, so joins are by merge."""
     labels = edges.select("node").distinct().select("node", F.col("node").alias("label"))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        near = edges.join(labels.select(F.col("node").alias("other"), "label").hint("merge"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")).hint("merge"), "label")
         new = stored(jump.select("node", "old", F.least("label", "next").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("old != label").isEmpty():
@@ -149,15 +149,15 @@ def components(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
     here = bucketed(open_.where(at == TILE_ROWS - 1).select("row", "first", (F.col("last") + reach).alias("end"), F.col("part").alias("node")), "first", "end")
     below = bucketed(open_.where(at == 0).select((F.col("row") - 1).alias("row"), F.col("first").alias("f2"), (F.col("last") + reach).alias("l2"), F.col("part").alias("other")), "f2", "l2")
     overlap = (F.col("first") <= F.col("l2")) & (F.col("f2") <= F.col("end")) & (F.col("bucket") == F.floor(F.greatest("first", "f2") / BUCKET))
-    touch = here.join(below, ["row", "bucket"]).where(overlap).select("node", "other")
+    touch = here.join(below.hint("merge"), ["row", "bucket"]).where(overlap).select("node", "other")
     wide = open_.where(F.floor(F.col("first") / PART) != F.floor((F.col("last") + reach) / PART))
-    shared = wide.select(F.col("node").alias("run"), F.col("part").alias("node")).join(wide.groupBy(F.col("node").alias("run")).agg(F.min("part").alias("other")), "run").select("node", "other")
+    shared = wide.select(F.col("node").alias("run"), F.col("part").alias("node")).join(wide.groupBy(F.col("node").alias("run")).agg(F.min("part").alias("other")).hint("merge"), "run").select("node", "other")
     links = touch.unionByName(shared).where("node != other")
     edges = stored(links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
     whole = _linked(edges).withColumnRenamed("node", "part")
     # A run of several tiles is given once, by the tile of its first column; all its parts have the same label.
     closed = labelled.where("NOT open").select("row", "first", "last", F.col("part").alias("component"))
-    joined = open_.where("own").join(whole, "part", "left").select("row", "first", "last", F.coalesce("label", "part").alias("component"))
+    joined = open_.where("own").join(whole.hint("merge"), "part", "left").select("row", "first", "last", F.coalesce("label", "part").alias("component"))
     return closed.unionByName(joined)
 
 

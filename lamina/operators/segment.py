@@ -27,8 +27,8 @@ def _kept(on: DataFrame, height: int, values: list[Column], keep: Column) -> Dat
     step = height + 1
     runs = G.components(on.select((F.col("image") * step + F.col("r")).alias("row"), F.col("c").alias("col"), F.lit(True).alias("on")))
     spread = runs.select("component", F.floor(F.col("row") / step).alias("image"), F.pmod("row", F.lit(step)).alias("r"), F.explode(F.sequence("first", "last")).alias("c"))
-    good = spread.join(on, Y.PLACE).groupBy("component").agg(*values).where(keep).select("component")
-    return spread.join(good, "component").select(*Y.PLACE)
+    good = spread.join(on.hint("merge"), Y.PLACE).groupBy("component").agg(*values).where(keep).select("component")
+    return spread.join(good.hint("merge"), "component").select(*Y.PLACE)
 
 
 def thresholds(smooth: DataFrame) -> DataFrame:
@@ -40,23 +40,24 @@ def segmented(pixels: DataFrame, height: int, width: int, hysteresis: int = HYST
     """`image, r, c, s, t1, t2, phase` of pixels `image, r, c, g, e` with a second channel `e`; the phase is pore, doubtful (a
     pore by the first channel alone), si or carbon. In an image without thresholds all is carbon, in one without a pixel
     between them the second channel is not asked."""
+    # Stored pixels are a hundredth of their size in memory, so a plan would broadcast them: joins are by merge.
     first = Y.smoothed(pixels, height, width).withColumn("s", F.round("s", DIGITS))
     second = Y.smoothed(pixels.select(*Y.PLACE, F.col("e").alias("g")), height, width).select(*Y.PLACE, F.round("s", DIGITS).alias("e"))
-    both = stored(first.join(second, Y.PLACE), "smoothed")
-    cut = stored(both.join(thresholds(both), "image", "left"), "thresholds")
+    both = stored(first.join(second.hint("merge"), Y.PLACE), "smoothed")
+    cut = stored(both.join(thresholds(both).hint("merge"), "image", "left"), "thresholds")
     between = (F.col("s") >= F.col("t1")) & (F.col("s") < F.col("t2"))
     limit = cut.groupBy("image").agg(F.percentile(F.when(between, F.col("e")), F.lit(DARK_SHARE)).alias("limit"))
 
     weak = cut.where(F.col("s") <= F.col("t1") + hysteresis).select(*Y.PLACE, (F.col("s") <= F.col("t1")).alias("strong"))
-    pore = stored(_kept(weak, height, [F.max("strong").alias("strong")], F.col("strong")).join(cut, Y.PLACE).join(limit, "image").select(*Y.PLACE, F.coalesce(F.col("e") < F.col("limit"), F.lit(True)).alias("dark")), "pores")
+    pore = stored(_kept(weak, height, [F.max("strong").alias("strong")], F.col("strong")).join(cut.hint("merge"), Y.PLACE).join(limit.hint("merge"), "image").select(*Y.PLACE, F.coalesce(F.col("e") < F.col("limit"), F.lit(True)).alias("dark")), "pores")
     dark = stored(_kept(pore.where("dark").select(*Y.PLACE), height, [F.count(F.lit(1)).alias("n")], F.col("n") >= pore_pixels), "dark-pores")
 
     bright = stored(Y.dilated(Y.eroded(cut.where(F.col("s") >= F.col("t2")).select(*Y.PLACE)), height, width), "bright")
-    inner = Y.eroded(bright).join(cut, Y.PLACE).select(*Y.PLACE, (F.col("s") - F.col("t2")).alias("above"))
-    silicon = stored(_kept(bright.join(inner, Y.PLACE, "left"), height, [F.percentile("above", F.lit(0.5)).alias("above")], F.col("above") >= margin), "silicon")
+    inner = Y.eroded(bright).join(cut.hint("merge"), Y.PLACE).select(*Y.PLACE, (F.col("s") - F.col("t2")).alias("above"))
+    silicon = stored(_kept(bright.join(inner.hint("merge"), Y.PLACE, "left"), height, [F.percentile("above", F.lit(0.5)).alias("above")], F.col("above") >= margin), "silicon")
 
     marks = dark.withColumn("phase", F.lit("pore")).unionByName(pore.where("NOT dark").select(*Y.PLACE, F.lit("doubtful").alias("phase")))
-    rest = cut.join(marks, Y.PLACE, "left").join(silicon.withColumn("bright", F.lit(True)), Y.PLACE, "left")
+    rest = cut.join(marks.hint("merge"), Y.PLACE, "left").join(silicon.withColumn("bright", F.lit(True)).hint("merge"), Y.PLACE, "left")
     # A doubtful pixel is no pore, so silicon may have it.
     phase = F.when(F.col("phase") == "pore", "pore").when(F.col("bright"), "si").otherwise(F.coalesce("phase", F.lit("carbon")))
     return stored(rest.select(*Y.PLACE, "s", "t1", "t2", phase.alias("phase")), "segmented")
