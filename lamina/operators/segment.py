@@ -79,4 +79,4 @@ def with_errors(labels: DataFrame, width: int, strips: int = 5) -> DataFrame:
     whole = fractions(labels, ["image"]).unpivot(["image"], names, "kpi", "value")
     each = fractions(labels.withColumn("strip", Y.strip_of(F.col("c"), width, strips)), ["image", "strip"]).unpivot(["image", "strip"], names, "kpi", "x")
     spread = each.groupBy("image", "kpi").agg(F.when(F.count("x") >= 2, F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("se"))
-    return whole.join(spread, ["image", "kpi"])
+    return whole.join(spread.hint("merge"), ["image", "kpi"])

@@ -47,5 +47,10 @@ def test_segmentation(spark, monkeypatch):
     assert [name for name, text in seen.items() if "Broadcast" in text] == []
 
 
+def test_errors_of_shares(mask):
+    labels = stored(mask.selectExpr("image", "r", "c", "IF(r > 2, 'pore', 'si') AS phase"), "segmented")
+    assert "Broadcast" not in plan(S.with_errors(labels, 8))
+
+
 def test_thresholds(mask):
     assert "Broadcast" not in plan(Y.otsu(mask.selectExpr("image", "c AS g"), ["image"]))
